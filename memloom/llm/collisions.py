@@ -1,0 +1,141 @@
+"""Rows that share a key, compared by the Hamming distance of 128-bit sketches.
+
+The similarity operators turn each record into rows (key, id, s0, s1): equal
+keys mean "look at this pair", the two 64-bit sketch words tell at once which
+pairs are far apart.  Rows meet by a shuffle on the key and are compared in
+sorted runs over Arrow batches; only pairs within the distance are emitted.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_SAMPLED = 32
+_SPLITS_MOST = 5_000
+_HOT_LEAST = 8_192
+PAIR_SCHEMA = "a long, b long"
+
+
+def mix64(x):
+    """A 64-bit finaliser over numpy uint64 arrays."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def close_in_runs(end, ids, s0, s1, most: int):
+    """Pairs (a < b) of rows i < j < end[i] whose sketches differ in at most ``most`` bits.
+
+    ``end[i]`` is the end of the run that row i is in.  Works by distance: row i
+    against i + 1, then i + 2, and so on, as long as any run is that long.
+    """
+    import numpy as np
+
+    n = len(ids)
+    found_a, found_b = [], []
+    at = np.flatnonzero(end > np.arange(n) + 1)
+    d = 1
+    while len(at):
+        if len(at) > 0.5 * (n - d):
+            bits = np.bitwise_count(s0[:-d] ^ s0[d:]) + np.bitwise_count(s1[:-d] ^ s1[d:])
+            i = np.flatnonzero(bits <= most)
+            i = i[end[i] > i + d]
+        else:
+            j = at + d
+            i = at[np.bitwise_count(s0[at] ^ s0[j]) + np.bitwise_count(s1[at] ^ s1[j]) <= most]
+        if len(i):
+            found_a.append(ids[i])
+            found_b.append(ids[i + d])
+        d += 1
+        at = at[end[at] > at + d]
+    if not found_a:
+        return np.empty((2, 0), np.int64)
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)])
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    order = np.lexsort((pairs[1], pairs[0]))
+    pairs = pairs[:, order]
+    keep = np.ones(pairs.shape[1], bool)
+    keep[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+    return pairs[:, keep]
+
+
+def _compare_runs(most: int):
+    def compare(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def out(rows):
+            key, ids, s0, s1 = rows
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(start, len(key)))
+            full = np.repeat(sizes > 1, sizes)  # rows alone under their key are most of all
+            if not full.any():
+                return None
+            end = np.repeat(np.cumsum(sizes[sizes > 1]), sizes[sizes > 1])
+            pairs = close_in_runs(end, ids[full], s0[full], s1[full], most)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"]) if pairs.shape[1] else None
+
+        held, n_held = [], 0
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            rows = [rows[0], rows[1], rows[2].view(np.uint64), rows[3].view(np.uint64)]
+            held.append(rows)
+            n_held += len(rows[0])
+            if n_held < 200_000 and len(held) < 64:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))[-1])
+            if cut:  # the last run may go on in the next batch
+                if (done := out([x[:cut] for x in rows])) is not None:
+                    yield done
+            held, n_held = [[x[cut:] for x in rows]], 0
+        if held:
+            if (done := out([np.concatenate(x) for x in zip(*held)])) is not None:
+                yield done
+
+    return compare
+
+
+def in_sample(id_col: str = "id") -> Column:
+    """One id in 32, by hash; used only to tell where rows pile up."""
+    return F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(_SAMPLED)) == 0
+
+
+def split_hot_keys(rows: DataFrame, sampled: DataFrame, n_rows: int) -> DataFrame:
+    """Rows (key, id, ..) with the keys that hold very many rows split over block pairs.
+
+    Members of a hot key fall into blocks by their id, and each two blocks meet
+    under a key of their own, so every pair still meets and no task gets the
+    whole key.  Hot keys are told by ``sampled``, the rows of a sample of the ids (see
+    :func:`in_sample`); that they are told only roughly changes how work is
+    spread and nothing else.  At most about
+    ``_SPLITS_MOST`` keys can be hot, so they are broadcast.
+    """
+    hot_from = max(_HOT_LEAST, n_rows // _SPLITS_MOST)
+    hot = (
+        sampled.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_from // _SAMPLED)
+        .select("key", F.ceil(F.col("n") * _SAMPLED / hot_from).cast("int").alias("blocks"))
+    )
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)),
+    )
+    # with two blocks or more the mixed cells hold the pairs within a block too
+    cells = F.when(F.col("blocks") > 1, F.array_remove(cells, F.xxhash64("key", block, block))).otherwise(F.array("key"))
+    rest = [c for c in rows.columns if c != "key"]
+    joined = rows.join(F.broadcast(hot), "key", "left")
+    return joined.withColumn("keys", F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cells)).select(F.explode("keys").alias("key"), *rest)
+
+
+def colliding_pairs(rows: DataFrame, most_bits: int, *, partitions: int | None = None) -> DataFrame:
+    """Distinct (a, b), a < b, of ids under one key within ``most_bits``; rows: key, id, s0, s1, all longs and not null."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.select("key", "id", "s0", "s1").repartition(n, "key").sortWithinPartitions("key")
+    return met.mapInArrow(_compare_runs(most_bits), PAIR_SCHEMA).distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memloom.functions.keys import NO_VALUE_WORDS, WHITE_SPACE
 from memloom.llm.components import connected_components, pair_edges
+from memloom.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
+from memloom.llm.neighbours import most_similar, neighbour_pairs
 from memloom.llm.survivors import choose_survivors, vote_survivors
 
 
@@ -30,6 +32,23 @@ def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote_survivors(_read(spark, sf_dir, "memories"), _groups(spark, sf_dir), as_of="2026-12-31 00:00:00")
 
 
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "memories").filter("deleted_at IS NULL")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neighbour_pairs(most_similar(_live(spark, sf_dir), "mem_id", "embedding"))
+    return pairs.selectExpr("a AS mem_id_a", "b AS mem_id_b")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_pairs(*near_duplicates(_live(spark, sf_dir), "mem_id", "content")).selectExpr("a AS mem_id_a", "b AS mem_id_b")
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_groups(*near_duplicates(_live(spark, sf_dir), "mem_id", "content")).withColumnRenamed("id", "mem_id")
+
+
 _WS = "'" + WHITE_SPACE + "'"
 _TREE = f"""
 pairs AS (
@@ -51,7 +70,7 @@ _PICK = lambda name, order, where: (
     f"QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY {order}{_RANK}) = 1"
 )
 
-QUERIES = {"p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found}
+QUERIES = {"p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLES = {
     "p3_found": f"WITH RECURSIVE {_TREE} SELECT mem_key, group_key FROM groups",
     "p2_found": f"""WITH RECURSIVE {_TREE},
