@@ -8,6 +8,7 @@ from memloom.functions.keys import NO_VALUE_WORDS, WHITE_SPACE
 from memloom.llm.components import connected_components, pair_edges
 from memloom.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from memloom.llm.neighbours import most_similar, neighbour_pairs
+from memloom.llm.spans import shared_passages, shared_share, sharing_pairs
 from memloom.llm.survivors import choose_survivors, vote_survivors
 
 
@@ -49,6 +50,15 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(*near_duplicates(_live(spark, sf_dir), "mem_id", "content")).withColumnRenamed("id", "mem_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sharing_pairs(shared_passages(_read(spark, sf_dir, "documents"), "doc_id", "text"))
+    return pairs.selectExpr("a AS doc_id_a", "b AS doc_id_b")
+
+
+def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_share(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
 _WS = "'" + WHITE_SPACE + "'"
 _TREE = f"""
 pairs AS (
@@ -70,7 +80,7 @@ _PICK = lambda name, order, where: (
     f"QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY {order}{_RANK}) = 1"
 )
 
-QUERIES = {"p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_share": p9_share}
 ORACLES = {
     "p3_found": f"WITH RECURSIVE {_TREE} SELECT mem_key, group_key FROM groups",
     "p2_found": f"""WITH RECURSIVE {_TREE},
