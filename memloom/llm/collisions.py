@@ -28,10 +28,12 @@ def mix64(x):
     return x ^ (x >> np.uint64(33))
 
 
-def close_in_runs(end, ids, s0, s1, most: int):
-    """Pairs (a < b) of rows i < j < end[i] whose sketches differ in at most ``most`` bits.
+def close_in_runs(end, ids, sketches, most):
+    """Pairs (a < b) of rows i < j < end[i] that are close by every one of ``sketches``.
 
-    ``end[i]`` is the end of the run that row i is in.  Works by distance: row i
+    ``end[i]`` is the end of the run that row i is in.  A sketch is a list of
+    arrays of 64-bit words, ``most`` the bits in which it may differ; later sketches
+    are looked at only where the earlier ones agree.  Works by distance: row i
     against i + 1, then i + 2, and so on, as long as any run is that long.
     """
     import numpy as np
@@ -42,12 +44,12 @@ def close_in_runs(end, ids, s0, s1, most: int):
     d = 1
     while len(at):
         if len(at) > 0.5 * (n - d):
-            bits = np.bitwise_count(s0[:-d] ^ s0[d:]) + np.bitwise_count(s1[:-d] ^ s1[d:])
-            i = np.flatnonzero(bits <= most)
+            i = np.flatnonzero(sum(np.bitwise_count(w[:-d] ^ w[d:]).astype(np.int16) for w in sketches[0]) <= most[0])
             i = i[end[i] > i + d]
         else:
-            j = at + d
-            i = at[np.bitwise_count(s0[at] ^ s0[j]) + np.bitwise_count(s1[at] ^ s1[j]) <= most]
+            i = at[sum(np.bitwise_count(w[at] ^ w[at + d]).astype(np.int16) for w in sketches[0]) <= most[0]]
+        for sketch, bits in zip(sketches[1:], most[1:]):
+            i = i[sum(np.bitwise_count(w[i] ^ w[i + d]).astype(np.int16) for w in sketch) <= bits]
         if len(i):
             found_a.append(ids[i])
             found_b.append(ids[i + d])
@@ -78,7 +80,7 @@ def _compare_runs(most: int):
             if not full.any():
                 return None
             end = np.repeat(np.cumsum(sizes[sizes > 1]), sizes[sizes > 1])
-            pairs = close_in_runs(end, ids[full], s0[full], s1[full], most)
+            pairs = close_in_runs(end, ids[full], [[s0[full], s1[full]]], [most])
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"]) if pairs.shape[1] else None
 
         held, n_held = [], 0

@@ -4,7 +4,7 @@ Each tree gives a vector a long hash string of random-hyperplane bits.  The
 strings of a tree form one sorted array, spread over the cluster by range
 partitioning; a vector's candidates are those under its longest prefix that has
 no more than ``leaf`` members, which is where a descent to the longest match and
-a synchronous ascent until enough candidates are seen end up.  A 128-bit sketch
+a synchronous ascent until enough candidates are seen end up.  A 256-bit sketch
 prunes the candidates, exact cosines decide.
 """
 
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from memloom.session import materialize
 
-TREES = 28
-SKETCH_BITS_MOST = 40
+TREES = 20
+#: Bits in which the first 128, and all 256, of the sketch may differ: each lets 0.998 of the pairs of cosine 0.8 pass.
+SKETCH_BITS_MOST = (40, 72)
+_SKETCH = [f"s{i}" for i in range(4)]
+_ROWS = "tree int, string long, id long, " + ", ".join(f"{c} long" for c in _SKETCH)
 _STRING_BITS = 63
 
 
@@ -34,7 +37,7 @@ def _hasher(trees: int, dim: int, seed: int):
         import numpy as np
         import pyarrow as pa
 
-        planes = np.random.default_rng(seed).standard_normal((dim, trees * 64 + 128)).astype(np.float32)
+        planes = np.random.default_rng(seed).standard_normal((dim, (trees + len(_SKETCH)) * 64)).astype(np.float32)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -49,10 +52,9 @@ def _hasher(trees: int, dim: int, seed: int):
                     pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)),
                     pa.array(strings.reshape(-1).view(np.int64)),
                     pa.array(np.tile(ids, trees)),
-                    pa.array(np.tile(words[:, trees], trees).view(np.int64)),
-                    pa.array(np.tile(words[:, trees + 1], trees).view(np.int64)),
+                    *[pa.array(np.tile(words[:, trees + i], trees).view(np.int64)) for i in range(len(_SKETCH))],
                 ],
-                names=["tree", "string", "id", "s0", "s1"],
+                names=["tree", "string", "id", *_SKETCH],
             )
 
     return hashed
@@ -67,7 +69,7 @@ def _leaf_ends(strings, lo: int, hi: int, leaf: int, end) -> None:
         a, b, bit = stack.pop()
         if b - a <= leaf:
             end[a:b] = b
-        elif bit < 0:  # equal strings: the sketches, sorted too, go on as the string
+        elif bit < 0:  # equal strings: the sketch, sorted too, goes on as the string
             for c in range(a, b, leaf):
                 end[c : c + leaf] = min(c + leaf, b)
         else:
@@ -80,17 +82,18 @@ def _leaf_ends(strings, lo: int, hi: int, leaf: int, end) -> None:
                 stack.append((a, b, bit - 1))
 
 
-def _leaf_pairs(leaf: int, most: int):
+def _leaf_pairs(leaf: int, most: tuple[int, int]):
     def pairs(batches: Iterable) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         from memloom.llm.collisions import close_in_runs
 
-        held = [[batch.column(i).to_numpy() for i in range(5)] for batch in batches if batch.num_rows]
+        held = [[batch.column(i).to_numpy() for i in range(3 + len(_SKETCH))] for batch in batches if batch.num_rows]
         if not held:
             return
-        tree, string, ids, s0, s1 = (np.concatenate(x) for x in zip(*held))
+        tree, string, ids, *words = (np.concatenate(x) for x in zip(*held))
+        words = [w.view(np.uint64) for w in words]
         held.clear()
         end = np.empty(len(ids), np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, tree[1:] != tree[:-1])), len(tree))
@@ -100,7 +103,8 @@ def _leaf_pairs(leaf: int, most: int):
         at = 0
         while at < len(ids):
             to = int(end[min(at + 100_000, len(ids)) - 1])
-            found = close_in_runs(end[at:to] - at, ids[at:to], s0[at:to].view(np.uint64), s1[at:to].view(np.uint64), most)
+            part = [w[at:to] for w in words]
+            found = close_in_runs(end[at:to] - at, ids[at:to], [part[:2], part], most)
             if found.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
             at = to
@@ -124,14 +128,15 @@ def _cosines(batches: Iterable) -> Iterator:
 
 def most_similar(
     records: DataFrame, id_col: str, vec_col: str, *, k: int = 5, least_cos: float = 0.8, dim: int = 64,
-    trees: int = TREES, leaf: int | None = None, sketch_bits: int = SKETCH_BITS_MOST, seed: int = 11,
+    trees: int = TREES, leaf: int | None = None, sketch_bits: tuple[int, int] = SKETCH_BITS_MOST, seed: int = 11,
 ) -> DataFrame:
     """(id, neighbour, cos): for every record its ``k`` most similar others of at least ``least_cos``; ties to the smaller id.
 
     Records without a usable vector are left out (see :func:`usable_vector`).
     Equal vectors are indexed once and their records written out at the end, so
     any number of them may be equal.  ``leaf`` is the number of candidates a tree
-    gives; unset it is the square root of the number of different vectors.  The
+    gives; unset it is twice the square root of the number of different
+    vectors.  The
     sketch parameter suits cosines of 0.8 and more.
     """
     vec = F.col(f"`{vec_col}`")
@@ -139,10 +144,10 @@ def most_similar(
     usable = usable.filter("id IS NOT NULL").withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")})
     reps, _ = materialize(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec")), "reps")
     n = reps.count()
-    leaf = leaf or max(64, round(n**0.5))
+    leaf = leaf or max(128, round(2 * n**0.5))
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    strings = reps.select("rep", "vec").mapInArrow(_hasher(trees, dim, seed), "tree int, string long, id long, s0 long, s1 long")
-    arrays = strings.repartitionByRange(parts, "tree", "string", "s0", "s1").sortWithinPartitions("tree", "string", "s0", "s1")
+    strings = reps.select("rep", "vec").mapInArrow(_hasher(trees, dim, seed), _ROWS)
+    arrays = strings.repartitionByRange(parts, "tree", "string", "s0").sortWithinPartitions("tree", "string", "s0")
     met, _ = materialize(arrays.mapInArrow(_leaf_pairs(leaf, sketch_bits), "a long, b long").distinct(), "met")
     ids = met.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     vectors = reps.select("rep", "vec").join(ids, "rep", "left_semi")
