@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from memloom.functions.keys import NO_VALUE_WORDS, WHITE_SPACE
 from memloom.llm.components import connected_components, pair_edges
 from memloom.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from memloom.llm.neighbours import most_similar, neighbour_pairs
+from memloom.llm.pii import KINDS, find_mentions, lexicon_of, redact
 from memloom.llm.spans import shared_passages, shared_share, sharing_pairs
 from memloom.llm.survivors import choose_survivors, vote_survivors
 
@@ -21,6 +23,23 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(edges, "a_key", "b_key", node="mem_key", component="group_key")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = lexicon_of(_read(spark, sf_dir, "roster"))
+    log = find_mentions(_read(spark, sf_dir, "daily_log"), "entry_id", ["user_text", "assistant_text"], lexicon)
+    memories = find_mentions(_read(spark, sf_dir, "memories"), "mem_id", ["content"], lexicon)
+    both = log.select(F.lit("daily_log").alias("table_name"), "*").unionByName(memories.select(F.lit("memories").alias("table_name"), "*"))
+    return both.filter(F.col("kind").isin(*KINDS)).select("table_name", "row_id", "field_name", "kind", "start_at")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = lexicon_of(_read(spark, sf_dir, "roster"))
+    log = redact(_read(spark, sf_dir, "daily_log"), ["user_text", "assistant_text"], lexicon)
+    memories = redact(_read(spark, sf_dir, "memories"), ["content"], lexicon)
+    return log.select(F.lit("daily_log").alias("table_name"), F.col("entry_id").alias("row_id"), "user_text", "assistant_text", F.lit(None).cast("string").alias("content")).unionByName(
+        memories.select(F.lit("memories").alias("table_name"), F.col("mem_id").alias("row_id"), F.lit(None).cast("string").alias("user_text"), F.lit(None).cast("string").alias("assistant_text"), "content")
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
@@ -80,7 +99,7 @@ _PICK = lambda name, order, where: (
     f"QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY {order}{_RANK}) = 1"
 )
 
-QUERIES = {"p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_share": p9_share}
 ORACLES = {
     "p3_found": f"WITH RECURSIVE {_TREE} SELECT mem_key, group_key FROM groups",
     "p2_found": f"""WITH RECURSIVE {_TREE},
