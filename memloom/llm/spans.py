@@ -227,8 +227,9 @@ def _windows(least: int, k: int, flanks: bool):
                         reach = []
                         if flanks:  # windows with the first or the last anchor that go beyond the path
                             reach = [np.arange(max(0, a + k - least), a), np.arange(b - least + 1, min(b - k, len(code) - least) + 1)]
-                    else:
-                        reach = [np.arange(max(0, b - least), min(a, len(code) - least) + 1)]
+                    else:  # all windows with the whole path, or with its first or last anchor
+                        low, high = (a + k - least, b - k) if flanks else (b - least, a)
+                        reach = [np.arange(max(0, low), min(high, len(code) - least) + 1)]
                     for at in reach:
                         if len(at):
                             add(x["path"], hashes[at], doc, at, at + least)
