@@ -1,14 +1,14 @@
-"""Rows that share a key, compared by the Hamming distance of 128-bit sketches.
+"""Rows that share a key, compared by the Hamming distance of their sketches.
 
-The similarity operators turn each record into rows (key, id, s0, s1): equal
-keys mean "look at this pair", the two 64-bit sketch words tell at once which
+The similarity operators turn each record into rows (key, id, s0, s1, ..): equal
+keys mean "look at this pair", the 64-bit sketch words tell at once which
 pairs are far apart.  Rows meet by a shuffle on the key and are compared in
 sorted runs over Arrow batches; only pairs within the distance are emitted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,28 +67,27 @@ def close_in_runs(end, ids, sketches, most):
     return pairs[:, keep]
 
 
-def _compare_runs(most: int):
+def _compare_runs(most: Sequence[tuple[int, int]]):
     def compare(batches: Iterable) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         def out(rows):
-            key, ids, s0, s1 = rows
+            key, ids, *words = rows
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(start, len(key)))
             full = np.repeat(sizes > 1, sizes)  # rows alone under their key are most of all
             if not full.any():
                 return None
             end = np.repeat(np.cumsum(sizes[sizes > 1]), sizes[sizes > 1])
-            pairs = close_in_runs(end, ids[full], [[s0[full], s1[full]]], [most])
+            words = [w[full].view(np.uint64) for w in words]
+            pairs = close_in_runs(end, ids[full], [words[:n] for n, _ in most], [bits for _, bits in most])
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"]) if pairs.shape[1] else None
 
         held, n_held = [], 0
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(4)]
-            rows = [rows[0], rows[1], rows[2].view(np.uint64), rows[3].view(np.uint64)]
-            held.append(rows)
-            n_held += len(rows[0])
+            held.append([c.to_numpy() for c in batch.columns])
+            n_held += batch.num_rows
             if n_held < 200_000 and len(held) < 64:
                 continue
             rows = [np.concatenate(x) for x in zip(*held)]
@@ -136,8 +135,13 @@ def split_hot_keys(rows: DataFrame, sampled: DataFrame, n_rows: int) -> DataFram
     return joined.withColumn("keys", F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cells)).select(F.explode("keys").alias("key"), *rest)
 
 
-def colliding_pairs(rows: DataFrame, most_bits: int, *, partitions: int | None = None) -> DataFrame:
-    """Distinct (a, b), a < b, of ids under one key within ``most_bits``; rows: key, id, s0, s1, all longs and not null."""
+def colliding_pairs(rows: DataFrame, most: Sequence[tuple[int, int]], *, partitions: int | None = None) -> DataFrame:
+    """Distinct (a, b), a < b, of ids under one key whose sketches are close.
+
+    rows: key, id and the words s0, s1, .. of the sketch, all longs and not null.
+    ``most`` lists (words, bits): how many of the first words may differ in how many bits.
+    """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.select("key", "id", "s0", "s1").repartition(n, "key").sortWithinPartitions("key")
-    return met.mapInArrow(_compare_runs(most_bits), PAIR_SCHEMA).distinct()
+    words = [f"s{i}" for i in range(max(w for w, _ in most))]
+    met = rows.select("key", "id", *words).repartition(n, "key").sortWithinPartitions("key")
+    return met.mapInArrow(_compare_runs(most), PAIR_SCHEMA).distinct()

@@ -4,7 +4,7 @@ Each word set is described by minhash components, cut into segments.  A pair as
 similar as asked for seldom agrees in a whole segment but nearly surely has one
 segment in which at most one component differs; so each segment is indexed
 under its variants with one component deleted, and an equality join of the
-variants brings the pair together.  What meets is pruned by a 128-bit sketch and
+variants brings the pair together.  What meets is pruned by a 192-bit sketch and
 then verified exactly on the words.
 
 With 9 segments of 4 components a pair of similarity 0.6 meets with probability
@@ -24,7 +24,10 @@ from memloom.session import materialize
 
 SEGMENTS = 9
 COMPONENTS = 4
-SKETCH_BITS_MOST = 39
+#: How many of the first 128, and of all 192, sketch bits may differ.
+SKETCH_BITS_MOST = ((2, 39), (3, 55))
+_WORDS = 3
+_ROWS = "key long, id long, " + ", ".join(f"s{i} long" for i in range(_WORDS))
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -42,7 +45,7 @@ def _signer(segments: int, components: int):
         from memloom.llm.collisions import mix64
 
         n_key = segments * components
-        seeds = np.random.default_rng(20_260_101).integers(1, 2**63, (n_key + 128, 2), dtype=np.uint64) | np.uint64(1)
+        seeds = np.random.default_rng(20_260_101).integers(1, 2**63, (n_key + 64 * _WORDS, 2), dtype=np.uint64) | np.uint64(1)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -53,8 +56,8 @@ def _signer(segments: int, components: int):
             start = np.append(0, np.cumsum(sizes)[:-1])
             hashed = mix64(words * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
             low = lambda i: np.minimum.reduceat((hashed ^ seeds[i, 0]) * seeds[i, 1], start)  # noqa: E731, B023
-            sketch = np.zeros((2, len(ids)), np.uint64)
-            for i in range(128):
+            sketch = np.zeros((_WORDS, len(ids)), np.uint64)
+            for i in range(64 * _WORDS):
                 sketch[i // 64] |= (mix64(low(n_key + i)) >> np.uint64(63)) << np.uint64(i % 64)
             keys = []
             for s in range(segments):
@@ -67,10 +70,9 @@ def _signer(segments: int, components: int):
                 [
                     pa.array(np.concatenate(keys).view(np.int64)),
                     pa.array(np.tile(ids, n)),
-                    pa.array(np.tile(sketch[0], n).view(np.int64)),
-                    pa.array(np.tile(sketch[1], n).view(np.int64)),
+                    *[pa.array(np.tile(w, n).view(np.int64)) for w in sketch],
                 ],
-                names=["key", "id", "s0", "s1"],
+                names=["key", "id", *(f"s{i}" for i in range(_WORDS))],
             )
 
     return sign
@@ -88,7 +90,7 @@ def near_duplicate_classes(records: DataFrame, id_col: str, text_col: str, *, le
 
 def near_duplicates(
     records: DataFrame, id_col: str, text_col: str, *, similarity: float = 0.6, least_words: int = 12,
-    segments: int = SEGMENTS, components: int = COMPONENTS, sketch_bits: int = SKETCH_BITS_MOST,
+    segments: int = SEGMENTS, components: int = COMPONENTS, sketch_bits: tuple[tuple[int, int], ...] = SKETCH_BITS_MOST,
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (a, b, shared, either) and membership (id, rep).
 
@@ -105,7 +107,7 @@ def near_duplicates(
         "reps",
     )
     n = reps.count()
-    sign = lambda df: df.select("rep", "w").mapInArrow(_signer(segments, components), "key long, id long, s0 long, s1 long")
+    sign = lambda df: df.select("rep", "w").mapInArrow(_signer(segments, components), _ROWS)
     rows = split_hot_keys(sign(reps), sign(reps.filter(in_sample("rep"))), n * segments * components)
     met, _ = materialize(colliding_pairs(rows, sketch_bits), "met")
     ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
