@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
 _LEFT: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "memloom", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -50,12 +51,18 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` below the shared folder; return it as read back, and its path.
 
-    The path goes to :func:`release` once nothing reads the table any more;
-    what is never released is removed when the process ends.
+    The shuffle files behind the table are dropped as soon as it is written.  The
+    path goes to :func:`release` once nothing reads the table any more; what is
+    never released is removed when the process ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/memloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _LEFT.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
