@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from memloom.functions.keys import NO_VALUE_WORDS, WHITE_SPACE
 from memloom.llm.components import connected_components, pair_edges
+from memloom.llm.mixing import mix_sources
 from memloom.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from memloom.llm.neighbours import most_similar, neighbour_pairs
+from memloom.llm.packing import pack_documents, pack_fill, pack_list
 from memloom.llm.pii import KINDS, find_mentions, lexicon_of, redact
 from memloom.llm.spans import shared_passages, shared_share, sharing_pairs
 from memloom.llm.survivors import choose_survivors, vote_survivors
@@ -69,6 +71,32 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(*near_duplicates(_live(spark, sf_dir), "mem_id", "content")).withColumnRenamed("id", "mem_id")
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packs = pack_list(_read(spark, sf_dir, "pack_sizes"))
+    return pack_documents(_read(spark, sf_dir, "documents"), "doc_id", "text", packs).withColumnRenamed("doc", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_fill(p7_packed(spark, sf_dir), _read(spark, sf_dir, "pack_sizes"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, **kw) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(_read(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang", _read(spark, sf_dir, "mix_targets"), **kw)
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p8_shares_of_fixed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares where the mix must have a size that some sources can't keep up with."""
+    return _mixed(spark, sf_dir, total_tokens=250_000.0)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = sharing_pairs(shared_passages(_read(spark, sf_dir, "documents"), "doc_id", "text"))
     return pairs.selectExpr("a AS doc_id_a", "b AS doc_id_b")
@@ -99,7 +127,7 @@ _PICK = lambda name, order, where: (
     f"QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY {order}{_RANK}) = 1"
 )
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_of_fixed_size": p8_shares_of_fixed_size, "p9_found": p9_found, "p9_share": p9_share}
 ORACLES = {
     "p3_found": f"WITH RECURSIVE {_TREE} SELECT mem_key, group_key FROM groups",
     "p2_found": f"""WITH RECURSIVE {_TREE},
