@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.collisions import colliding_pairs, in_sample, split_hot_keys
 from memloom.llm.components import connected_components
-from memloom.session import materialize
+from memloom.session import materialize, release
 
 SEGMENTS = 9
 COMPONENTS = 4
@@ -109,11 +109,16 @@ def near_duplicates(
     n = reps.count()
     sign = lambda df: df.select("rep", "w").mapInArrow(_signer(segments, components), _ROWS)
     rows = split_hot_keys(sign(reps), sign(reps.filter(in_sample("rep"))), n * segments * components)
-    met, _ = materialize(colliding_pairs(rows, sketch_bits), "met")
-    ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    met, met_path = materialize(colliding_pairs(rows, sketch_bits), "met")
+    # first on word numbers, which are short; one word is allowed for equal numbers of different words
+    numbered = met.join(reps.select(F.col("rep").alias("a"), F.col("w").alias("wa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("w").alias("wb")), "b")
+    alike = F.size(F.array_intersect("wa", "wb")) + 1
+    near, _ = materialize(numbered.filter(alike >= (F.size("wa") + F.size("wb") - alike) * similarity - 1e-9).select("a", "b"), "near")
+    release(records.sparkSession, met_path)
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     words = described.select("id", "words").join(ids, "id", "left_semi").dropDuplicates(["id"])
     words, _ = materialize(words, "words")
-    both = met.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(
+    both = near.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(
         words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b"
     )
     shared = F.size(F.array_intersect("wa", "wb"))
