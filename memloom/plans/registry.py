@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from memloom.plans import change_queries, function_queries, graph_queries, lifecycle_queries, relational_queries, search_queries
+from memloom.plans import change_queries, function_queries, graph_queries, lifecycle_queries, relational_queries, search_queries, source_queries
 
-_MODULES = (change_queries, function_queries, graph_queries, lifecycle_queries, relational_queries, search_queries)
+_MODULES = (change_queries, function_queries, graph_queries, lifecycle_queries, relational_queries, search_queries, source_queries)
 FLAGSHIP = "p4_found"
 
 
