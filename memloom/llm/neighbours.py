@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.operators.vectors import usable
 from memloom.session import materialize
 
 TREES = 20
@@ -25,13 +26,6 @@ _ROWS = "tree int, string long, id long, " + ", ".join(f"{c} long" for c in _SKE
 _STRING_BITS = 63
 
 
-def usable_vector(vec: Column | str, dim: int = 64) -> Column:
-    """True for a vector of ``dim`` finite values, not all zero; never null."""
-    v = F.col(vec) if isinstance(vec, str) else vec
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
-
-
 def _hasher(trees: int, dim: int, seed: int):
     def hashed(batches: Iterable) -> Iterator:
         import numpy as np
@@ -87,7 +81,7 @@ def _leaf_pairs(leaf: int, most: tuple[int, int]):
         import numpy as np
         import pyarrow as pa
 
-        from memloom.llm.collisions import close_in_runs
+        from memloom.operators.collisions import close_in_runs
 
         held = [[batch.column(i).to_numpy() for i in range(3 + len(_SKETCH))] for batch in batches if batch.num_rows]
         if not held:
@@ -132,7 +126,7 @@ def most_similar(
 ) -> DataFrame:
     """(id, neighbour, cos): for every record its ``k`` most similar others of at least ``least_cos``; ties to the smaller id.
 
-    Records without a usable vector are left out (see :func:`usable_vector`).
+    Records without a usable vector are left out (see :func:`memloom.operators.vectors.usable`).
     Equal vectors are indexed once and their records written out at the end, so
     any number of them may be equal.  ``leaf`` is the number of candidates a tree
     gives; unset it is twice the square root of the number of different
@@ -140,7 +134,7 @@ def most_similar(
     sketch parameter suits cosines of 0.8 and more.
     """
     vec = F.col(f"`{vec_col}`")
-    usable = records.filter(usable_vector(vec, dim)).select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.cast("array<float>").alias("vec"))
+    usable = records.filter(usable(vec, dim)).select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.cast("array<float>").alias("vec"))
     usable = usable.filter("id IS NOT NULL").withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")})
     reps, _ = materialize(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec")), "reps")
     n = reps.count()

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from memloom.llm import collisions
+from memloom.operators import collisions
 from memloom.llm.neardup import distinct_words, duplicate_groups, duplicate_pairs, near_duplicates
 
 WORD = re.compile(r"[^\W_]+")
