@@ -134,9 +134,9 @@ def most_similar(
     sketch parameter suits cosines of 0.8 and more.
     """
     vec = F.col(f"`{vec_col}`")
-    usable = records.filter(usable(vec, dim)).select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.cast("array<float>").alias("vec"))
-    usable = usable.filter("id IS NOT NULL").withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")})
-    reps, _ = materialize(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec")), "reps")
+    chosen = records.filter(usable(vec, dim)).select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.cast("array<float>").alias("vec"))
+    chosen = chosen.filter("id IS NOT NULL").withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")})
+    reps, _ = materialize(chosen.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec")), "reps")
     n = reps.count()
     leaf = leaf or max(128, round(2 * n**0.5))
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -153,7 +153,7 @@ def most_similar(
     sides = sides.select("s.x", "s.y", "cos")
 
     keys = ["h1", "h2"]
-    ids_of = usable.select("id", *keys)
+    ids_of = chosen.select("id", *keys)
     # of each class only the smallest k + 1 ids can be anybody's neighbours
     few = ids_of.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("r") <= k + 1)
     few = few.join(reps.select(*keys, "rep"), keys).select(F.col("rep").alias("y"), "id")
