@@ -20,18 +20,27 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(_d(a)) == F.size(_d(b))) & (norms > 0), dot(a, b) / F.sqrt(norms)).otherwise(0.0)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not again for every element of an inner lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """The vector at unit length; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(_d(v), lambda x: x / norm)).otherwise(_d(v))
+    parts = F.struct(_d(v).alias("v"), F.sqrt(dot(v, v)).alias("n"))
+    return _once(parts, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]))
 
 
 def int8_quantize(v: Column | str) -> Column:
     """(scale, q): q = v / scale rounded half away from zero within -127..127, scale = max |v| / 127 or 1."""
-    top = F.array_max(F.transform(_d(v), lambda x: F.abs(x)))
-    scale = F.when(top > 0, top / 127.0).otherwise(1.0)
-    q = F.transform(_d(v), lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / scale))).cast("byte"))
-    return F.struct(scale.cast("float").alias("scale"), q.alias("q"))
+    top = F.greatest(F.array_max(_d(v)), -F.array_min(_d(v)))
+    parts = F.struct(_d(v).alias("v"), F.when(top > 0, top / 127.0).otherwise(1.0).alias("scale"))
+    return _once(
+        parts,
+        lambda s: F.struct(
+            s["scale"].cast("float").alias("scale"), F.transform(s["v"], lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / s["scale"]))).cast("byte")).alias("q")
+        ),
+    )
 
 
 def int8_restore(s: Column | str) -> Column:
@@ -54,8 +63,8 @@ def _words(bits: Column) -> Column:
 
 def centred_mask(v: Column | str, means: Column | None = None) -> Column:
     """Bit i set where v[i] is above the mean of its dimension, or above the vector's own mean if ``means`` is not given or does not fit."""
-    own = F.aggregate(_d(v), F.lit(0.0), lambda s, x: s + x) / F.size(_d(v))
-    by_own = F.transform(_d(v), lambda x: x > own)
+    parts = F.struct(_d(v).alias("v"), (F.aggregate(_d(v), F.lit(0.0), lambda s, x: s + x) / F.size(_d(v))).alias("mean"))
+    by_own = _once(parts, lambda s: F.transform(s["v"], lambda x: x > s["mean"]))
     if means is None:
         return _words(by_own)
     return F.when(F.size(means) == F.size(_d(v)), _words(F.zip_with(_d(v), means, lambda x, m: x > m))).otherwise(_words(by_own))

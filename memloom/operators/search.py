@@ -149,10 +149,9 @@ def hash_embedding(texts: DataFrame, text_col: str, dim: int = 64, *, prefix: st
     """
     digest = F.sha2(F.concat(F.lit(prefix), F.col(text_col)), 256)
     at = lambda h, i: (F.conv(F.substring(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5) * F.sin(i + 1.0)
-    raw = F.transform(F.array(digest), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: at(h, i)))
-    # one-element arrays hold what must not be computed once per coordinate
-    unit = F.transform(F.transform(raw, lambda v: F.struct(v.alias("v"), F.sqrt(V.dot(v, v)).alias("n"))), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))
-    return texts.select(text_col).filter(F.col(text_col).isNotNull()).distinct().withColumn("vec", F.element_at(unit, 1).cast("array<float>"))
+    # a one-element array holds what must not be computed once per coordinate
+    raw = F.element_at(F.transform(F.array(digest), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: at(h, i))), 1)
+    return texts.select(text_col).filter(F.col(text_col).isNotNull()).distinct().withColumn("vec", V.l2_normalize(raw).cast("array<float>"))
 
 
 def fingerprint_matches(stored: dict, current: dict) -> bool:
