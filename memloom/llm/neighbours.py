@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from memloom.operators.vectors import usable
 from memloom.session import materialize
 
-TREES = 20
+TREES = 26
 #: Bits in which the first 128, and all 256, of the sketch may differ: each lets 0.998 of the pairs of cosine 0.8 pass.
 SKETCH_BITS_MOST = (40, 72)
 _SKETCH = [f"s{i}" for i in range(4)]
