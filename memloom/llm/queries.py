@@ -136,4 +136,21 @@ members AS (
 )
 {_PICK('canonical', '', 'true')} UNION ALL {_PICK('content', 'length(content) DESC, ', _VALUE('content'))}
 UNION ALL {_PICK('source', '', _VALUE('source'))} UNION ALL {_PICK('project_id', 'updated_at DESC NULLS LAST, ', _VALUE('project_id'))}""",
+    "p5_found": f"""
+WITH v AS (SELECT mem_id, embedding::double[] AS e FROM memories WHERE deleted_at IS NULL AND embedding IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT mem_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+p AS (SELECT a.mem_id AS a, b.mem_id AS b, round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) AS cos FROM n a JOIN n b ON a.mem_id < b.mem_id WHERE cos >= 0.8),
+near AS (SELECT x, y FROM (SELECT a AS x, b AS y, cos FROM p UNION ALL SELECT b, a, cos FROM p) QUALIFY row_number() OVER (PARTITION BY x ORDER BY cos DESC, y) <= 5)
+SELECT DISTINCT least(x, y) AS mem_id_a, greatest(x, y) AS mem_id_b FROM near""",
+    "p6_found": r"""
+WITH w AS (SELECT mem_id, list_distinct(list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM memories WHERE deleted_at IS NULL AND content IS NOT NULL),
+s AS (SELECT mem_id, w, len(w) AS n FROM w WHERE len(w) >= 12),
+p AS (SELECT a.mem_id AS a, b.mem_id AS b, a.n + b.n AS total, len(list_intersect(a.w, b.w)) AS shared FROM s a JOIN s b ON a.mem_id < b.mem_id AND 10 * a.n >= 6 * b.n AND 10 * b.n >= 6 * a.n)
+SELECT a AS mem_id_a, b AS mem_id_b FROM p WHERE 5 * shared >= 3 * (total - shared)""",
+    "p9_found": """
+WITH s AS (SELECT DISTINCT doc_id, substr(text, i, 120) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS i FROM documents WHERE length(text) >= 120)),
+r AS (SELECT s FROM s GROUP BY s HAVING count(*) > 1),
+d AS (SELECT doc_id, md5_number(s) AS k FROM s SEMI JOIN r USING (s))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.k = b.k AND a.doc_id < b.doc_id""",
 }
