@@ -197,7 +197,7 @@ def fn_20(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", X.estimate_tokens("text").alias("tokens"))
 
 
-@C.add("fn_21")
+@C.add("fn_21", "SELECT doc_id, rtrim(lower('/Api/' || regexp_replace(path, '[0-9]+', ':param', 'g')), '/') AS api_path FROM documents WHERE path IS NOT NULL")
 def fn_21(spark: SparkSession, d: str) -> DataFrame:
     """Paths of documents as API paths, with numbers as parameters."""
     path = F.concat(F.lit("/Api/"), F.regexp_replace("path", "[0-9]+", "{n}"), F.lit("/"))
@@ -320,3 +320,12 @@ def fn_32(spark: SparkSession, d: str) -> DataFrame:
     return x.select("category", F.round(S.f1(F.col("tp"), F.col("fp"), F.lit(0)), 6).alias("f1"))
 
 
+
+
+@C.add("udf_1", f"SELECT mem_id, 'm_' || substr(sha256(trim(content)), 1, 12) AS k, greatest(1, length(content) // 3)::bigint AS tokens, round(least(1.0, ln(1 + greatest(0, access_count)) / ln(50)), 6) AS saturation FROM memories")
+def udf_1(spark: SparkSession, d: str) -> DataFrame:
+    """Expressions called from SQL."""
+    from memloom.functions.register import register_functions
+
+    register_functions(spark)
+    return read(spark, d, "memories").selectExpr("mem_id", "memory_key(content) AS k", "estimate_tokens(content) AS tokens", "round(access_saturation(access_count), 6) AS saturation")

@@ -180,7 +180,20 @@ def gr_12(spark: SparkSession, d: str) -> DataFrame:
     return G.strong_components(graph_edges(spark, d).filter(F.col("label").isin(*USAGE)))
 
 
-@C.add("gr_13")
+def _labels_sql(rounds: int) -> str:
+    """Label propagation unrolled: ways (src, dst, w)."""
+    out = ["l0 AS (SELECT DISTINCT src AS id, src AS c FROM ways)"]
+    for r in range(rounds):
+        out.append(f"b{r} AS MATERIALIZED (SELECT id, arg_min(c, (-round(w, 9), c)) AS n FROM (SELECT src AS id, c, sum(w) AS w FROM ways JOIN l{r} ON l{r}.id = dst GROUP BY 1, 2) GROUP BY id)")
+        out.append(f"l{r + 1} AS MATERIALIZED (SELECT l{r}.id, CASE WHEN l{r}.id % 2 = {r % 2} AND n IS NOT NULL THEN n ELSE c END AS c FROM l{r} LEFT JOIN b{r} ON b{r}.id = l{r}.id)")
+    return ", ".join(out)
+
+
+@C.add(
+    "gr_13",
+    f"""{G_}, ways AS (SELECT src, dst, sum(weight) AS w FROM (SELECT src, dst, weight FROM edges WHERE src <> dst UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst) GROUP BY 1, 2), {_labels_sql(6)}
+SELECT c AS community, count(*) AS n FROM l6 GROUP BY 1 HAVING count(*) >= 3""",
+)
 def gr_13(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d).select("src", "dst", F.col("weight").alias("w"))
     labels = G.propagate_labels(e, 6)

@@ -75,7 +75,11 @@ def lc_5(spark: SparkSession, d: str) -> DataFrame:
     return L.weak_records(live(_m(spark, d))).select("mem_id")
 
 
-@C.add("lc_6")
+@C.add(
+    "lc_6",
+    """WITH e AS (SELECT user_id, list(CASE event_type WHEN 'purchase' THEN 0.15 WHEN 'error' THEN -0.2 WHEN 'click' THEN -0.3 ELSE 0.02 END::double ORDER BY ts, event_id) AS d FROM events GROUP BY user_id)
+SELECT user_id, round(list_reduce(d, lambda t, x: least(1.0, greatest(0.0, t + x)), 0.5::double), 6) AS trust FROM e""",
+)
 def lc_6(spark: SparkSession, d: str) -> DataFrame:
     """Trust of users after their events: views touch, purchases help, errors don't."""
     e = read(spark, d, "events")
@@ -101,7 +105,7 @@ def lc_9(spark: SparkSession, d: str) -> DataFrame:
     return _m(spark, d).select("mem_id", F.when(old, "purged").when(weak, "tombstone").otherwise("kept").alias("fate"))
 
 
-@C.add("lc_10")
+@C.add("lc_10", "SELECT lesson_id, round(list_reduce(list_transform(range(0, reinforcements), lambda x: 0.0::double), lambda c, x: round((c + 0.1 * (1 - c)) * 1000) / 1000, confidence), 3) AS confidence FROM lessons")
 def lc_10(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lessons").select("lesson_id", F.round(L.reinforced(F.col("confidence"), F.col("reinforcements")), 3).alias("confidence"))
 
@@ -275,6 +279,18 @@ def ex_2(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("doc_id").agg(F.count_distinct("name").alias("names"))
 
 
+@C.add("ex_3", r"SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(text, '[A-Z]{3}-[0-9]+'))) AS label FROM documents WHERE text IS NOT NULL")
+def ex_3(spark: SparkSession, d: str) -> DataFrame:
+    """A pluggable extractor, here one that finds ticket numbers."""
+    import re
+
+    from memloom.functions.register import extract_chunks
+
+    tickets = lambda texts: [[(x, "Ticket", "") for x in dict.fromkeys(re.findall("[A-Z]{3}-[0-9]+", t))] for t in texts]
+    docs = read(spark, d, "documents").filter("text IS NOT NULL")
+    return extract_chunks(docs, "doc_id", "text", tickets).select("id", "label")
+
+
 @C.add("snk_1", "SELECT trim(mem_key) AS mem_key, arg_max(content, (feed_id)) AS content FROM memory_feed WHERE trim(mem_key) <> '' AND content IS NOT NULL GROUP BY 1")
 def snk_1(spark: SparkSession, d: str) -> DataFrame:
     """Upsert by key in order of arrival."""
@@ -368,7 +384,12 @@ def st_1(spark: SparkSession, d: str) -> DataFrame:
     return T.conversation_pairs(T.log_messages(read(spark, d, "daily_log")))
 
 
-@C.add("st_2")
+@C.add(
+    "st_2",
+    f"""WITH {_MSGS}, n AS (SELECT session, content, row_number() OVER w AS n, lag(role) OVER w AS prev FROM msgs WINDOW w AS (PARTITION BY session ORDER BY turn)),
+b AS (SELECT session, floor((n - 1 - (coalesce(prev = 'user' AND n % 60 = 1, false))::int) / 60.0)::bigint AS batch, sum(greatest(1, length(content) // 3))::bigint AS tokens FROM n GROUP BY ALL)
+SELECT session, batch, tokens, sum(tokens) OVER (PARTITION BY session ORDER BY batch ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 2000 AND batch < 5 AS summarised FROM b""",
+)
 def st_2(spark: SparkSession, d: str) -> DataFrame:
     return T.consolidation_rounds(T.log_messages(read(spark, d, "daily_log")), 2_000)
 

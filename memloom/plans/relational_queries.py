@@ -268,7 +268,7 @@ def jn_14(spark: SparkSession, d: str) -> DataFrame:
     return keys.join(F.broadcast(words), F.col("mem_key").startswith(F.col("source"))).groupBy("source").agg(F.min("mem_key").alias("mem_key"))
 
 
-@C.add("jn_15")
+@C.add("jn_15", "WITH r AS (SELECT path, min(doc_id)::varchar AS route FROM documents WHERE path IS NOT NULL GROUP BY path) SELECT DISTINCT CASE WHEN project_id IS NULL THEN '' ELSE project_id || '#' END || doc_id AS client, route FROM documents d JOIN r ON lower(d.path) = lower(r.path)")
 def jn_15(spark: SparkSession, d: str) -> DataFrame:
     """Documents of one project whose paths are the same API path."""
     docs = read(spark, d, "documents").filter("path IS NOT NULL")
@@ -645,7 +645,7 @@ def xo_3(spark: SparkSession, d: str) -> DataFrame:
     return _memories(spark, d).join(ids, "mem_id", "left_semi").select("mem_id", F.coalesce(unit_interval("trust"), F.lit(0.5)).alias("trust"))
 
 
-@C.add("xo_4")
+@C.add("xo_4", "WITH e AS (SELECT user_id, list({'a': value, 'n': 1} ORDER BY ts, event_id) AS l FROM events WHERE value <= 3600 GROUP BY 1) SELECT user_id, round(list_reduce(l, lambda s, x: {'a': s.a + (x.a - s.a) / least(s.n + 1, 10), 'n': s.n + 1}).a, 6) AS mean FROM e")
 def xo_4(spark: SparkSession, d: str) -> DataFrame:
     return L.capped_running_mean(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
 

@@ -58,7 +58,11 @@ def src_6(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).agg(F.count("*").alias("entries"), F.count("user_text").alias("asked"))
 
 
-@C.add("src_7")
+@C.add(
+    "src_7",
+    """WITH f AS (SELECT path, arg_max(text, doc_id) AS t FROM documents WHERE path IS NOT NULL AND text IS NOT NULL GROUP BY path)
+SELECT path, CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'ts-js' WHEN 'md' THEN 'markdown' WHEN 'go' THEN 'go' WHEN 'sql' THEN 'sql' END AS lang, strlen(t)::bigint AS size_bytes, sha256(t) AS hash FROM f""",
+)
 def src_7(spark: SparkSession, d: str) -> DataFrame:
     """One file per path of the documents, read back as a source tree."""
     from memloom.operators.codegraph import manifest_hash
