@@ -88,7 +88,8 @@ def working_set_boost(weight: Column | str, is_dirty: Column, boost: float = 1.2
 
 
 def round3(c: Column | str) -> Column:
-    return F.round(_c(c), 3)
+    """Rounded to 3 digits by way of thousandths."""
+    return F.round(_c(c) * 1000) / 1000
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.operators.ordering import running
 from memloom.session import materialize, release
 
 
@@ -162,11 +163,12 @@ def pagerank(
 
 def elbow_cut(hits: DataFrame, score: str = "score", order: tuple[str, ...] = ("id",)) -> DataFrame:
     """The ranked hits up to where the score falls below 0.15 of the best or by more than half at once; none if the best isn't positive."""
-    w = Window.orderBy(F.desc(score), *order)
-    best, before = F.max(score).over(Window.partitionBy()), F.lag(score).over(w)
-    drop = (F.col(score) < 0.15 * best) | ((before > 0) & ((before - F.col(score)) / before > 0.5)) | (best <= 0)
-    flagged = hits.withColumn("__d", F.coalesce(drop, F.lit(False)).cast("int"))
-    return flagged.withColumn("__d", F.max("__d").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("__d = 0").drop("__d")
+    placed = running(hits, [], [F.desc(score), *map(F.col, order)], totals={"__n": F.lit(1)}, before={"__before": F.col(score)})
+    best = F.broadcast(hits.agg(F.max(score).alias("__best")))  # one row
+    drop = (F.col(score) < 0.15 * F.col("__best")) | ((F.col("__before") > 0) & ((F.col("__before") - F.col(score)) / F.col("__before") > 0.5)) | (F.col("__best") <= 0)
+    placed, _ = materialize(placed.join(best).withColumn("__d", F.coalesce(drop, F.lit(False))), "placed")
+    stop = F.broadcast(placed.agg(F.min(F.when(F.col("__d"), F.col("__n"))).alias("__stop")))  # one row
+    return placed.join(stop).filter(F.col("__stop").isNull() | (F.col("__n") < F.col("__stop"))).select(*hits.columns)
 
 
 # ---- components ----------------------------------------------------------------------------------

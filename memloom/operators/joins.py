@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.operators.ordering import running
+
 
 def labelled_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with the labels of both ends (inner on both)."""
@@ -70,8 +72,8 @@ def last_start_before(events: DataFrame, spans: DataFrame, by: list[str], at: st
     both = spans.select(*by, F.col(start).alias("__at"), F.lit(0).alias("__e"), s_struct.alias("__span")).unionByName(
         events.select(*by, F.col(at).alias("__at"), F.lit(1).alias("__e"), e_struct.alias("__event")), allowMissingColumns=True
     )
-    order = Window.partitionBy(*by).orderBy("__at", "__e").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("__span", F.last("__span", ignorenulls=True).over(order)).filter("__e = 1 AND __span IS NOT NULL").select(*by, "__event.*", "__span.*")
+    placed = running(both, by, [F.asc("__at"), F.asc("__e")], carried={"__last": F.col("__span")})
+    out = placed.filter("__e = 1 AND __last IS NOT NULL").select(*by, "__event.*", "__last.*")
     return out.filter(F.col(end) >= F.col(at)) if end else out
 
 
@@ -86,8 +88,7 @@ def shadowed(rows: DataFrame, key: str, scope: str, project: str | None) -> Data
     """Per key the project's row if there is one, else the global (blank scope) one."""
     wanted = F.coalesce(F.col(scope), F.lit(""))
     kept = rows.filter((wanted == "") | (wanted == F.lit(project or "")))
-    order = Window.partitionBy(key).orderBy(F.desc(wanted))
-    return kept.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
+    return kept.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), wanted).alias("__s")).select(key, "__s.*")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:

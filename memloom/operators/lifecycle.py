@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as X
 from memloom.functions.keys import trimmed
+from memloom.functions.scoring import round3
+from memloom.operators.ordering import running
 
 IDENTITY, SUSPICION, CONFLICT = 0.98, 0.75, 0.82
 # How feedback and revision verdicts change trust.
@@ -46,11 +48,13 @@ def save_action(cos: Column) -> Column:
 def auto_links(records: DataFrame, id_col: str, group: str, updated: str, most: int = 5) -> DataFrame:
     """(from_id, to_id): each record with the ``most`` records of its group updated last before it.
 
-    Runs over the sorted group with lags, so no group is joined with itself.
+    Records are numbered within their group and meet by (group, number), so a
+    group of any size is spread and none is joined with itself.
     """
-    order = Window.partitionBy(group).orderBy(updated, id_col)
-    near = records.filter(F.col(group).isNotNull()).select(id_col, F.array_compact(F.array(*[F.lag(id_col, i).over(order) for i in range(1, most + 1)])).alias("near"))
-    return near.select(F.col(id_col).alias("from_id"), F.explode("near").alias("to_id"))
+    rows = records.filter(F.col(group).isNotNull()).select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(updated).alias("u"))
+    n = running(rows, ["g"], [F.asc_nulls_first("u"), F.asc("id")], totals={"n": F.lit(1).cast("long")})
+    later = n.select("g", F.col("id").alias("from_id"), F.explode(F.sequence(F.col("n") - most, F.col("n") - 1)).alias("n"))
+    return later.join(n.select("g", "n", F.col("id").alias("to_id")), ["g", "n"]).select("from_id", "to_id")
 
 
 def duplicate_report(pairs: DataFrame, records: DataFrame, id_col: str, trust: Column, importance: Column) -> DataFrame:
@@ -132,7 +136,7 @@ def decayed(records: DataFrame, rate: float) -> DataFrame:
 
 def reinforced(confidence: Column, times: Column) -> Column:
     """Confidence after n reinforcements, each c + 0.1 (1 - c) rounded to 3 digits."""
-    return F.aggregate(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array().cast("array<int>")), confidence.cast("double"), lambda c, _: F.round(c + 0.1 * (1 - c), 3))
+    return F.aggregate(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array().cast("array<int>")), confidence.cast("double"), lambda c, _: round3(c + 0.1 * (1 - c)))
 
 
 def decay_sweep(lessons: DataFrame, as_of: str) -> DataFrame:
@@ -140,7 +144,7 @@ def decay_sweep(lessons: DataFrame, as_of: str) -> DataFrame:
     base = F.coalesce("last_decayed_at", "last_reinforced_at", "created_at")
     weeks = (F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(base)) / (7 * 86400.0)
     rate = F.when(~F.isnan("decay_rate"), F.col("decay_rate"))
-    new = F.round(F.greatest(F.lit(0.05), F.col("confidence") - rate * weeks), 3)
+    new = round3(F.greatest(F.lit(0.05), F.col("confidence") - rate * weeks))
     return lessons.filter(F.col("deleted_at").isNull()).withColumn("new_confidence", F.when((weeks >= 1) & rate.isNotNull(), new).otherwise(F.col("confidence")))
 
 
@@ -224,16 +228,21 @@ def greedy_budget(rows: DataFrame, order: list[str | Column], size: str, budget:
 
 def prefix_budget(rows: DataFrame, order: list[Column], size: str, budget: int) -> DataFrame:
     """The longest prefix in order whose sizes sum to at most the budget."""
-    run = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__run", run).filter(F.col("__run") <= budget).drop("__run")
+    placed = running(rows, [], order, totals={"__run": F.col(size).cast("long")})
+    return placed.filter(F.col("__run") <= budget).drop("__run")
 
 
 def capped_running_mean(samples: DataFrame, key: str, order: list[str], value: str, cap: int = 10, stale: float = 3600.0) -> DataFrame:
     """(key, mean): avg += (x - avg) / min(n + 1, cap) over the samples in order; larger samples than ``stale`` are ignored.
 
-    After ``cap`` samples the mean is exponential, so a key's samples are folded from a sorted array of its numbers.
+    The result is a weighted sum whose weights follow from a sample's number and
+    the count: 1 / count up to ``cap`` samples; beyond, a sample loses 1 / cap of its weight
+    with each later one.  So nothing is gathered per key.
     """
-    s = samples.filter((F.col(value) <= stale) & F.col(value).isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value]).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("avg"), F.lit(0).alias("n"))
-    fold = lambda a, x: F.struct((a["avg"] + (x - a["avg"]) / F.least(a["n"] + 1, F.lit(cap))).alias("avg"), (a["n"] + 1).alias("n"))
-    return s.select(key, F.round(F.aggregate("xs", start, fold)["avg"], 6).alias("mean"))
+    s = samples.filter((F.col(value) <= stale) & F.col(value).isNotNull()).select(key, *order, F.col(value).alias("x"))
+    n = running(s, [key], [F.asc(o) for o in order], totals={"i": F.lit(1).cast("long")})
+    counts = s.groupBy(key).agg(F.count("*").alias("n"))
+    keep = 1.0 - 1.0 / cap
+    late = F.when(F.col("i") >= cap, F.pow(F.lit(keep), F.col("n") - F.col("i")) / cap).otherwise(F.pow(F.lit(keep), F.col("n") - cap + 1) / (cap - 1))
+    weight = F.when(F.col("n") < cap, 1.0 / F.col("n")).otherwise(late)
+    return n.join(counts, key).groupBy(key).agg(F.round(F.sum(weight * F.col("x")), 6).alias("mean"))

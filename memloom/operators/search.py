@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import vectors as V
 from memloom.functions.text import decompose_identifier
+from memloom.operators.ordering import global_rank
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -65,9 +66,9 @@ def bm25_search(docs: DataFrame, id_col: str, text_col: str, query: str, k: int
 def ranked(hits: DataFrame, k: int | None, *order: Column) -> DataFrame:
     """The hits with their 1-based ``rank`` by descending score, then id; the first ``k`` of them."""
     order = order or (F.desc("score"), F.asc("id"))
-    if k is not None:
-        hits = hits.orderBy(*order).limit(k)
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if k is None:
+        return global_rank(hits, order)
+    return hits.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def gram_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import estimate_tokens, mask_secrets
 from memloom.functions.keys import trimmed
+from memloom.operators.ordering import running
 
 
 def parsed_time(c: Column | str) -> Column:
@@ -73,9 +74,9 @@ def conversation_pairs(messages: DataFrame, *, already: DataFrame | None = None,
     m = messages.filter(F.col("role").isin("user", "assistant"))
     if already is not None:
         m = m.join(already.select("session", F.col("turn").alias("__done")), "session", "left").filter(F.col("__done").isNull() | (F.col("turn") > F.col("__done"))).drop("__done")
-    order = Window.partitionBy("session").orderBy("turn")
-    answers = F.sum((F.col("role") == "assistant").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    m = m.withColumn("pair", answers - (F.col("role") == "assistant").cast("int")).withColumn("content", mask_secrets("content"))
+    said = (F.col("role") == "assistant").cast("long")
+    m = running(m.select("session", "turn", "role", "content"), ["session"], [F.asc("turn")], totals={"pair": said})
+    m = m.withColumn("pair", F.col("pair") - said).withColumn("content", mask_secrets("content"))
     back = F.row_number().over(Window.partitionBy("session", "pair", "role").orderBy(F.desc("turn")))
     m = m.withColumn("back", back).filter(F.col("back") <= most_buffer)
     pair = m.groupBy("session", "pair").agg(
@@ -91,10 +92,9 @@ def pair_batches(messages: DataFrame, most: int = 60) -> DataFrame:
 
     A message that follows a question stays in the question's batch.
     """
-    order = Window.partitionBy("session").orderBy("turn")
-    keeps = (F.lag("role").over(order) == "user") & (F.row_number().over(order) % most == 1)
-    n = F.row_number().over(order) - 1
-    return messages.withColumn("batch", F.floor((n - F.when(keeps, 1).otherwise(0)) / most).cast("long"))
+    m = running(messages, ["session"], [F.asc("turn")], totals={"__n": F.lit(1).cast("long")}, before={"__role": F.col("role")})
+    keeps = (F.col("__role") == "user") & (F.col("__n") % most == 1)
+    return m.withColumn("batch", F.floor((F.col("__n") - 1 - F.when(keeps, 1).otherwise(0)) / most).cast("long")).drop("__n", "__role")
 
 
 def consolidation_rounds(messages: DataFrame, budget: int, *, rounds: int = 5, most: int = 60) -> DataFrame:
@@ -115,9 +115,9 @@ def auto_verdict(summary: Column | str) -> Column:
 
 def repeat_failures(iterations: DataFrame, by: list[str], order: list[str], fingerprint: str) -> DataFrame:
     """One row (pairs, repeats, rate): consecutive iterations of a task and how many of them failed alike."""
-    before = F.lag(fingerprint).over(Window.partitionBy(*by).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
-    m = iterations.select(F.when(~first, (before == F.col(fingerprint)).cast("int")).alias("same"), (~first).cast("int").alias("pair"))
+    rows = iterations.select(*by, *order, F.col(fingerprint).alias("f"))
+    m = running(rows, by, [F.asc(o) for o in order], totals={"n": F.lit(1).cast("long")}, before={"b": F.col("f")})
+    m = m.select(F.when(F.col("n") > 1, (F.col("b") == F.col("f")).cast("int")).alias("same"), (F.col("n") > 1).cast("int").alias("pair"))
     sums = m.agg(F.sum("pair").alias("pairs"), F.sum(F.coalesce("same", F.lit(0))).alias("repeats"))
     return sums.withColumn("rate", F.when(F.col("pairs") > 0, F.round(F.col("repeats") / F.col("pairs"), 6)).otherwise(0.0))
 

@@ -266,7 +266,7 @@ def fn_27(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", X.normalize_spaces("text").alias("norm"))
 
 
-@C.add("fn_28", f"SELECT mem_id, round({sql_unit('trust')}, 3) AS trust3, round({sql_unit('importance')}, 3) AS importance3 FROM memories")
+@C.add("fn_28", f"SELECT mem_id, round(({sql_unit('trust')}) * 1000) / 1000 AS trust3, round(({sql_unit('importance')}) * 1000) / 1000 AS importance3 FROM memories")
 def fn_28(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "memories").select("mem_id", S.round3(unit_interval("trust")).alias("trust3"), S.round3(unit_interval("importance")).alias("importance3"))
 

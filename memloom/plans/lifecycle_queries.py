@@ -113,7 +113,7 @@ def lc_10(spark: SparkSession, d: str) -> DataFrame:
 _WEEKS = f"(epoch(TIMESTAMP '{AS_OF}') - floor(epoch(coalesce(last_decayed_at, last_reinforced_at, created_at)::timestamp))) / 604800.0"
 
 
-@C.add("lc_11", f"SELECT lesson_id, CASE WHEN {_WEEKS} >= 1 AND decay_rate IS NOT NULL AND NOT isnan(decay_rate) THEN round(greatest(0.05, confidence - decay_rate * {_WEEKS}), 3) ELSE confidence END AS new_confidence FROM lessons WHERE deleted_at IS NULL")
+@C.add("lc_11", f"SELECT lesson_id, CASE WHEN {_WEEKS} >= 1 AND decay_rate IS NOT NULL AND NOT isnan(decay_rate) THEN round(greatest(0.05, confidence - decay_rate * {_WEEKS}) * 1000) / 1000 ELSE confidence END AS new_confidence FROM lessons WHERE deleted_at IS NULL")
 def lc_11(spark: SparkSession, d: str) -> DataFrame:
     return L.decay_sweep(read(spark, d, "lessons"), AS_OF).select("lesson_id", "new_confidence")
 

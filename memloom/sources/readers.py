@@ -76,7 +76,7 @@ def read_daily_logs(spark: SparkSession, folder: str, *, session: str | None = N
     A log file is one day; its lines are numbered within the file.  With ``session``
     lines are searched for the id before they are parsed; ``most`` caps the rows.
     """
-    whole = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.jsonl").text(folder)
+    whole = spark.read.option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True)
     name = F.concat(F.lit("daily/"), F.regexp_extract(F.col("_metadata.file_name"), _LOG_NAME, 0))
     files = whole.select(name.alias("log_file"), "value").filter("log_file <> 'daily/'")
     lines = files.select("log_file", F.posexplode(F.split("value", "\n")).alias("n", "value")).filter("value <> ''")
