@@ -116,9 +116,9 @@ _PHONE = re.compile(
     r"|8[ -]\d{3}[ -]\d{3}[ -]\d{2}[ -]\d{2}"
     r"|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}"
     r"|\d{3}([.-])\d{3}\1\d{4}"
-    r"|\(0\d{2,5}\)[ ]\d{3,8}(?:[ ]?[/-][ ]?\d{1,4})?"
-    r"|0\d{4}[ ]\d{3}[ ]?\d{3}"
-    r"|0\d{2,4}[ ]\d{5,8}(?:[ /-]{1,3}\d{1,4})?"
+    r"|\(0[1-9]\d{1,4}\)[ ]\d{3,8}(?:[ ]?[/-][ ]?\d{1,4})?"
+    r"|0[1-9]\d{3}[ ]\d{3}[ ]?\d{3}"
+    r"|0[1-9]\d{1,3}[ ]\d{5,8}(?:[ /-]{1,3}\d{1,4})?"
     r")(?![\w@])(?![.-]\d)"
 )
 _PHONE_LOOSE = re.compile(r"[+(]?\d[\d ()/.-]{6,18}\d(?![\w])")
@@ -196,7 +196,8 @@ def _numbers(text: str, lower: str) -> Iterator[tuple[int, int, str, float]]:
     for m in _PHONE.finditer(text):
         a, b = m.span()
         plus = text[a] in "+(" or text[a : a + 2] == "00"
-        score = 0.65 + 0.1 * plus + 0.25 * context(a, b, _PHONE_WORDS, 0) - 0.5 * decoy(a) - 0.2 * context(a, b, _ID_WORDS, 0)
+        labelled = bool(re.search(rf"(?:{_ID_WORDS})\W{{0,3}}$", lower[max(0, a - 24) : a]))
+        score = 0.65 + 0.1 * plus + 0.25 * context(a, b, _PHONE_WORDS, 0) - 0.5 * decoy(a) - 0.2 * context(a, b, _ID_WORDS, 0) - 0.4 * labelled
         yield a, b, "phone", score
     for m in _ID.finditer(text):
         a, b = m.span()
