@@ -282,8 +282,9 @@ def cochange_pairs(items: DataFrame, txn: str, item: str, *, most_items: int = 1
 
     A transaction has at most 45 pairs, formed inside it from its sorted items.
     """
-    sets = items.select(txn, item).distinct().groupBy(txn).agg(F.count("*").alias("k"), F.slice(F.array_sort(F.collect_list(item)), 1, most_items + 1).alias("s"))
-    sets = sets.filter(F.col("k").between(2, most_items))
+    each = items.select(txn, item).distinct()
+    small = each.groupBy(txn).agg(F.count("*").alias("k")).filter(F.col("k").between(2, most_items)).select(txn)
+    sets = each.join(small, txn, "left_semi").groupBy(txn).agg(F.array_sort(F.collect_list(item)).alias("s"))  # at most ``most_items``
     pairs = sets.select(F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.lit(most_items)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
     counted = pairs.select("p.*").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least_count)
     return counted.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.5 + 0.1 * (F.col("n") - 3)), 6))

@@ -108,6 +108,60 @@ def exact_search(vectors: DataFrame, id_col: str, vec_col: str, query: DataFrame
     return ranked(hits.filter(F.col("score") >= min_score), k)
 
 
+def batch_search(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int, min_score: float = -1.0, *, block: int = 50_000) -> DataFrame:
+    """(query, id, score): for each of many queries (query, q) its ``k`` nearest by exact cosine, itself left out; ties to the smaller id.
+
+    Rows are spread over blocks of about ``block``; every block meets the queries, a slice of
+    them at a time, as one matrix product, and hands on its best ``k`` of each
+    query; these are merged per query, at most ``k`` a block.  For many queries on many
+    rows the work is their product; nothing else grows with it.
+    """
+    n_blocks = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("b"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    wanted = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.col("query").cast("long").alias("query"), F.col("q").cast("array<float>").alias("v"))
+
+    def nearest(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(t):
+            x = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, names = left.column("id").to_numpy(), right.column("query").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x, q = ids[order], unit(left)[order], unit(right)
+        out = []
+        for a in range(0, len(q), 256):
+            s = np.round(q[a : a + 256] @ x.T, 9)
+            s[names[a : a + 256, None] == ids[None, :]] = -2.0
+            # ids ascend, so among equal scores the first are the smaller ones
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k] if k * 8 > len(ids) else _top_columns(s, k)
+            score = np.take_along_axis(s, top, axis=1)
+            keep = score >= max(min_score, -1.5)
+            out.append((np.repeat(names[a : a + 256], top.shape[1]).reshape(top.shape)[keep], ids[top][keep], score[keep]))
+        query, i, score = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"query": query, "id": i, "score": score})
+
+    best = rows.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(nearest, "query long, id long, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+
+
+def _top_columns(s, k: int):
+    """Columns of the ``k`` largest values of each row, equal values by column."""
+    import numpy as np
+
+    limit = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(s), k), np.int64)
+    for i, row in enumerate(s):
+        at = np.flatnonzero(row >= limit[i])
+        out[i] = at[np.argsort(-row[at], kind="stable")[:k]]
+    return out
+
+
 def with_mask(vectors: DataFrame, vec_col: str, means: DataFrame | None = None) -> DataFrame:
     """The vectors with their bit mask, mean-centred if means (one row) are given: what the first stage reads."""
     if means is None:

@@ -97,6 +97,19 @@ def ret_3(spark: SparkSession, d: str) -> DataFrame:
     return _hits(R.exact_search(_vectors(spark, d), "mem_id", "embedding", _query_vector(spark, d), 20, 0.1))
 
 
+@C.add(
+    "ret_3_batch",
+    f"""WITH {_VEC}, n AS (SELECT id, embedding::double[] AS e, sqrt(list_dot_product(embedding::double[], embedding::double[])) AS n FROM vec)
+SELECT q.id AS query, r.id, round(round(list_dot_product(q.e, r.e) / (q.n * r.n), 9), 6) AS score FROM n q JOIN n r ON q.id <> r.id WHERE q.id % 20 = 0
+QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.e, r.e) / (q.n * r.n), 9) DESC, r.id) <= 10""",
+)
+def ret_3_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector as a query, against all."""
+    v = _vectors(spark, d)
+    queries = v.filter("mem_id % 20 = 0").select(F.col("mem_id").alias("query"), F.col("embedding").alias("q"))
+    return R.batch_search(v, "mem_id", "embedding", queries, 10).select("query", "id", F.round("score", 6).alias("score"))
+
+
 @C.add("ret_4", f"WITH {_VEC}, {_TWO(f'project_id = {chr(39)}{PROJECT}{chr(39)}')} SELECT id, round(score, 6) AS score, rank FROM two")
 def ret_4(spark: SparkSession, d: str) -> DataFrame:
     masked = R.with_mask(_vectors(spark, d), "embedding")

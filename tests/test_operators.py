@@ -280,3 +280,21 @@ def test_browse(spark):
     assert rows(df.filter(B.author_allows("meta", "x")), "k") == [("a",), ("b",), ("c",)]
     labels = spark.createDataFrame([("ok_1",), ("1no",), ("No",), ("a" * 65,), (None,)], "l string")
     assert [r[0] for r in labels.select(B.valid_slot_label("l")).collect()] == [True, False, False, False, False]
+
+
+def test_batch_search(spark):
+    rnd = random.Random(7)
+    data = [(i, [float(rnd.randrange(-2, 3)) or 1.0 for _ in range(6)]) for i in range(90)]
+    df = spark.createDataFrame(data, "id long, v array<float>")
+    queries = df.filter("id % 10 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    got = {}
+    for r in R.batch_search(df, "id", "v", queries, 4, block=20).orderBy("query", F.desc("score"), "id").collect():
+        got.setdefault(r.query, []).append(r.id)
+
+    def cos(a, b):
+        dot = sum(x * y for x, y in zip(a, b))
+        return round(dot / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 9)
+
+    want = {i: [j for _, j in sorted((-cos(v, w), j) for j, w in data if j != i)[:4]] for i, v in data if i % 10 == 0}
+    assert got == want
+    assert R.batch_search(df, "id", "v", queries.limit(0), 4).count() == 0 and R.batch_search(df.limit(0), "id", "v", queries, 4).count() == 0
