@@ -139,7 +139,8 @@ def most_similar(
     reps, _ = materialize(chosen.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec")), "reps")
     n = reps.count()
     leaf = leaf or max(128, round(2 * n**0.5))
-    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a border between partitions cuts one leaf, so a partition holds many
+    parts = max(1, min(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * trees // (64 * leaf)))
     strings = reps.select("rep", "vec").mapInArrow(_hasher(trees, dim, seed), _ROWS)
     arrays = strings.repartitionByRange(parts, "tree", "string", "s0").sortWithinPartitions("tree", "string", "s0")
     met, _ = materialize(arrays.mapInArrow(_leaf_pairs(leaf, sketch_bits), "a long, b long").distinct(), "met")
