@@ -6,6 +6,10 @@ partitioning; a vector's candidates are those under its longest prefix that has
 no more than ``leaf`` members, which is where a descent to the longest match and
 a synchronous ascent until enough candidates are seen end up.  A 256-bit sketch
 prunes the candidates, exact cosines decide.
+
+Where a leaf is full of vectors that the sketch can't tell apart, it holds a part
+of a crowd and says nothing about the rest of it.  Crowded vectors are therefore
+told by the leaves and meet each other block by block, all of them, by exact cosines.
 """
 
 from __future__ import annotations
@@ -24,6 +28,13 @@ SKETCH_BITS_MOST = (40, 72)
 _SKETCH = [f"s{i}" for i in range(4)]
 _ROWS = "tree int, string long, id long, " + ", ".join(f"{c} long" for c in _SKETCH)
 _STRING_BITS = 63
+#: Members of a leaf that each of its vectors is compared with to tell whether it is crowded.
+_CROWD_SAMPLE = 64
+#: Crowded vectors a block; two blocks meet in a task.
+_BLOCK = 8_192
+_STRIP = 512
+#: So many ids of crowded vectors at most are broadcast.
+_CROWD_BROADCAST = 10_000
 
 
 def _hasher(trees: int, dim: int, seed: int):
@@ -65,7 +76,7 @@ def _leaf_ends(strings, lo: int, hi: int, leaf: int, end) -> None:
             end[a:b] = b
         elif bit < 0:  # equal strings: the sketch, sorted too, goes on as the string
             for c in range(a, b, leaf):
-                end[c : c + leaf] = min(c + leaf, b)
+                end[c : min(c + leaf, b)] = min(c + leaf, b)  # not past b, where other leaves are
         else:
             first = int(strings[a])
             split = ((first >> bit) | 1) << bit
@@ -76,7 +87,26 @@ def _leaf_ends(strings, lo: int, hi: int, leaf: int, end) -> None:
                 stack.append((a, b, bit - 1))
 
 
+def _crowded(end, words, leaf: int, bits: int):
+    """True for the rows of which a quarter of a full leaf (32 at least), by a sample of their own leaf, is within ``bits``."""
+    import numpy as np
+
+    least = max(32, leaf // 4)
+    out = np.zeros(len(end), bool)
+    a = 0
+    while a < len(end):
+        b = int(end[a])
+        if b - a >= least:
+            at = a + np.arange(_CROWD_SAMPLE) * (b - a) // _CROWD_SAMPLE
+            near = sum(np.bitwise_count(w[a:b, None] ^ w[at]).astype(np.int16) for w in words) <= bits
+            out[a:b] = near.sum(axis=1) * (b - a) >= least * _CROWD_SAMPLE
+        a = b
+    return out
+
+
 def _leaf_pairs(leaf: int, most: tuple[int, int]):
+    """Pairs (a < b) under one leaf, without those of two crowded vectors; a crowded vector comes as a pair with itself."""
+
     def pairs(batches: Iterable) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -97,8 +127,16 @@ def _leaf_pairs(leaf: int, most: tuple[int, int]):
         at = 0
         while at < len(ids):
             to = int(end[min(at + 100_000, len(ids)) - 1])
-            part = [w[at:to] for w in words]
-            found = close_in_runs(end[at:to] - at, ids[at:to], [part[:2], part], most)
+            part, part_ids, part_end = [w[at:to] for w in words], ids[at:to], end[at:to] - at
+            full = _crowded(part_end, part[:2], leaf, most[0])
+            if full.any():
+                # the crowded last in their leaf, where no run starts from them
+                order = np.lexsort((full, part_end))
+                part, part_ids, full = [w[order] for w in part], part_ids[order], full[order]
+                part_end = np.where(full, 0, part_end)
+                own = pa.array(np.unique(part_ids[full]))
+                yield pa.RecordBatch.from_arrays([own, own], names=["a", "b"])
+            found = close_in_runs(part_end, part_ids, [part[:2], part], most)
             if found.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
             at = to
@@ -106,6 +144,48 @@ def _leaf_pairs(leaf: int, most: tuple[int, int]):
     return pairs
 
 
+def _block_pairs(k: int, least_cos: float):
+    """Pairs (a < b) of the vectors of two blocks, or of one, of which one is among the ``k`` most similar to the other; ties to the smaller id."""
+
+    def nearest(cell):
+        import numpy as np
+        import pyarrow as pa
+
+        block, ids = cell["block"].to_numpy(), cell["rep"].to_numpy()
+        x = cell["vec"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+        order = np.lexsort((ids, block))
+        block, ids, x = block[order], ids[order], x[order]
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        n, cut = len(ids), int(np.searchsorted(block, block[-1]))
+        found = [np.empty((2, 0), np.int64)]
+        # of two blocks only pairs across them
+        for lo, hi, other, to in [(0, n, 0, n)] if cut == 0 else [(0, cut, cut, n), (cut, n, 0, cut)]:
+            top = min(k, to - other)
+            for a in range(lo, hi, _STRIP):
+                b = min(a + _STRIP, hi)
+                cos = np.rint(x[a:b] @ x[other:to].T * 1e9)
+                if cut == 0:
+                    cos[np.arange(b - a), np.arange(a, b)] = -2e9
+                place = np.argpartition(np.arange(to - other) - cos * 2.0**20, top - 1, axis=1)[:, :top]  # exact: below 2^53
+                i, j = np.nonzero(np.take_along_axis(cos, place, 1) >= np.rint(least_cos * 1e9) - 1)
+                u, v = ids[a + i], ids[other + place[i, j]]
+                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+        pairs = np.concatenate(found, axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return nearest
+
+
+def _crowd_pairs(crowd: DataFrame, n: int, k: int, least_cos: float) -> DataFrame:
+    """(a, b): every two of the ``n`` vectors (rep, vec) meet, block by block; the ``k`` most similar of each are kept per block."""
+    blocks = -(-n // _BLOCK)
+    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+    placed = crowd.select("rep", "vec", block.alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    cells = placed.select("rep", "vec", "block", other).withColumn("cell", F.least("block", "other") * F.lit(blocks).cast("long") + F.greatest("block", "other"))
+    return cells.select("cell", "rep", "vec", "block").groupBy("cell").applyInArrow(_block_pairs(k, least_cos), "a long, b long")
+
+
 def _cosines(batches: Iterable) -> Iterator:
     import numpy as np
     import pyarrow as pa
@@ -130,7 +210,8 @@ def most_similar(
     Equal vectors are indexed once and their records written out at the end, so
     any number of them may be equal.  ``leaf`` is the number of candidates a tree
     gives; unset it is twice the square root of the number of different
-    vectors.  The
+    vectors.  Vectors with more near ones than a quarter of that meet all their
+    like, which takes time in the square of their number.  The
     sketch parameter suits cosines of 0.8 and more.
     """
     vec = F.col(f"`{vec_col}`")
@@ -144,6 +225,16 @@ def most_similar(
     strings = reps.select("rep", "vec").mapInArrow(_hasher(trees, dim, seed), _ROWS)
     arrays = strings.repartitionByRange(parts, "tree", "string", "s0").sortWithinPartitions("tree", "string", "s0")
     met, _ = materialize(arrays.mapInArrow(_leaf_pairs(leaf, sketch_bits), "a long, b long").distinct(), "met")
+    crowd = met.filter("a = b").select(F.col("a").alias("rep"))
+    n_crowd = crowd.count()
+    if n_crowd:
+        crowd = F.broadcast(crowd) if n_crowd <= _CROWD_BROADCAST else crowd
+        close = _crowd_pairs(reps.select("rep", "vec").join(crowd, "rep", "left_semi"), n_crowd, k + 1, least_cos)
+        close, _ = materialize(close.distinct(), "close")
+        # two crowded vectors may have met under a leaf that isn't full of them
+        a, b = (crowd.select(F.col("rep").alias(c), F.lit(True).alias(f"crowded_{c}")) for c in ("a", "b"))
+        met = met.filter("a <> b").join(a, "a", "left").join(b, "b", "left").filter("crowded_a IS NULL OR crowded_b IS NULL")
+        met = met.select("a", "b").unionByName(close)
     ids = met.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     vectors = reps.select("rep", "vec").join(ids, "rep", "left_semi")
     both = met.join(vectors.select(F.col("rep").alias("a"), F.col("vec").alias("va")), "a").join(

@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from memloom.llm import neighbours
 from memloom.llm.neighbours import most_similar, neighbour_pairs
 
 
@@ -31,6 +33,24 @@ def test_recall_and_ties(spark):
         assert got[i] == set(want[i])
 
 
+@pytest.mark.parametrize("noise", [0.002, 0.1])
+def test_third_in_one_cluster(spark, noise, monkeypatch):
+    monkeypatch.setattr(neighbours, "_BLOCK", 300)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(16)
+    x = np.concatenate([centre + noise * rng.standard_normal((1000, 16)), rng.standard_normal((2000, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<float>")
+    got = {}
+    for r in most_similar(df, "i", "v", dim=16, leaf=64).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = np.round(y[:1000] @ y.T, 9)
+    cos[np.arange(1000), np.arange(1000)] = -2
+    want = [set(np.lexsort((np.arange(3000), -c))[:5].tolist()) for c in cos]
+    assert sum(len(got.get(i, set()) & w) for i, w in enumerate(want)) >= 0.99 * 5000
+
+
 def test_one_vector_for_all(spark):
     df = spark.range(500).selectExpr("id AS i", "array(1f, 2f, 0f) AS v")
     pairs = {tuple(r) for r in neighbour_pairs(most_similar(df, "i", "v", dim=3, leaf=8)).collect()}
