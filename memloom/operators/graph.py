@@ -117,7 +117,7 @@ def dead_nodes(nodes: DataFrame, edges: DataFrame, types: list[str], usage: list
 
 
 def pagerank(
-    edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None, superseded: DataFrame | None = None, cut_every: int = 5
+    edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None, superseded: DataFrame | None = None, cut_every: int = 1
 ) -> DataFrame:
     """(id, rank): personalised PageRank; edges (src, dst, w), seeds (id, weight).
 

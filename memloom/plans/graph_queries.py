@@ -52,7 +52,7 @@ _ARCS = f"SELECT src, dst, {_KIND} * weight AS w FROM edges"
 @C.add("gr_1", f"{G_}, {_SEEDED}, {_rank_sql(10, _ARCS)} SELECT id, round(rank, 6) AS rank FROM r10")
 def gr_1(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d)
-    return G.pagerank(_weighted(e), _seeds(e).withColumn("weight", F.lit(1.0)), iterations=10).select("id", F.round("rank", 6).alias("rank"))
+    return G.pagerank(_weighted(e), _seeds(e).withColumn("weight", F.lit(1.0))).select("id", F.round("rank", 6).alias("rank"))
 
 
 _GONE = "gone AS (SELECT DISTINCT dst AS id FROM edges WHERE label = 'supersedes')"
@@ -67,7 +67,7 @@ def gr_2(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d)
     gone = e.filter("label = 'supersedes'").select(F.col("dst").alias("id")).distinct()
     seeds = e.select(F.col("src").alias("id")).distinct().join(gone, "id", "left_anti").orderBy("id").limit(3).withColumn("weight", F.lit(1.0))
-    return G.pagerank(_weighted(e), seeds, iterations=10, superseded=gone).select("id", F.round("rank", 6).alias("rank"))
+    return G.pagerank(_weighted(e), seeds, superseded=gone).select("id", F.round("rank", 6).alias("rank"))
 
 
 
@@ -94,7 +94,7 @@ def gr_4(spark: SparkSession, d: str) -> DataFrame:
     top = F.broadcast(n.orderBy(F.desc("importance"), F.desc("updated_at"), "id").limit(500).select("id"))  # 500 rows
     e = graph_edges(spark, d, n)
     inside = e.join(top.withColumnRenamed("id", "src"), "src", "left_semi").join(top.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return G.pagerank(_weighted(inside), top.orderBy("id").limit(3).withColumn("weight", F.lit(1.0)), iterations=10).select("id", F.round("rank", 6).alias("rank"))
+    return G.pagerank(_weighted(inside), top.orderBy("id").limit(3).withColumn("weight", F.lit(1.0))).select("id", F.round("rank", 6).alias("rank"))
 
 
 @C.add("gr_5", f"{G_} SELECT DISTINCT label, ({_KIND})::double AS weight FROM edges")
@@ -196,7 +196,7 @@ SELECT c AS community, count(*) AS n FROM l6 GROUP BY 1 HAVING count(*) >= 3""",
 )
 def gr_13(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d).select("src", "dst", F.col("weight").alias("w"))
-    labels = G.propagate_labels(e, 6)
+    labels = G.propagate_labels(e)
     zones = labels.groupBy("community").agg(F.count("*").alias("n")).filter("n >= 3")
     return zones
 
@@ -226,7 +226,7 @@ def gr_15(spark: SparkSession, d: str) -> DataFrame:
     n = graph_nodes(spark, d)
     fe = file_graph(n, graph_edges(spark, d, n))
     seeds = fe.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("weight", F.lit(1.0))
-    return G.pagerank(fe, seeds, iterations=10).select(F.col("id").alias("file_path"), F.round("rank", 6).alias("rank"))
+    return G.pagerank(fe, seeds).select(F.col("id").alias("file_path"), F.round("rank", 6).alias("rank"))
 
 
 @C.add("top_6")
@@ -249,7 +249,7 @@ SELECT c.id, n.label, e.dst, round(e.weight, 6) AS weight FROM c JOIN nodes n ON
 def gr_16(spark: SparkSession, d: str) -> DataFrame:
     n = graph_nodes(spark, d)
     e = graph_edges(spark, d, n)
-    hits = G.pagerank(_weighted(e), _seeds(e).withColumn("weight", F.lit(1.0)), iterations=10).select("id", F.col("rank").alias("score"))
+    hits = G.pagerank(_weighted(e), _seeds(e).withColumn("weight", F.lit(1.0))).select("id", F.col("rank").alias("score"))
     cut = G.elbow_cut(hits)
     out = nth_of(e, ["src"], [F.desc("weight"), F.asc("label"), F.asc("dst")], 5).select(F.col("src").alias("id"), "dst", F.round("weight", 6).alias("weight"))
     return n.select("id", "label").join(cut.select("id"), "id").join(out, "id", "left")
@@ -356,7 +356,7 @@ def xo_16(spark: SparkSession, d: str) -> DataFrame:
     """Where the seeds' own neighbours stand in the ranking."""
     e = graph_edges(spark, d)
     seeds = F.broadcast(_seeds(e))  # 3 rows
-    ranks = G.pagerank(_weighted(e), seeds.withColumn("weight", F.lit(1.0)), iterations=10)
+    ranks = G.pagerank(_weighted(e), seeds.withColumn("weight", F.lit(1.0)))
     placed = ranks.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("rank", 9)), "id")))
     want = e.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
     return want.join(placed, "id", "left").agg(F.count("*").alias("expected"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))

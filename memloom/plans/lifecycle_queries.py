@@ -366,8 +366,8 @@ def ev_6(spark: SparkSession, d: str) -> DataFrame:
     target = n.select(F.col("id").alias("dst"), "access_count", "trust")
     used = e.join(indeg, "dst").join(target, "dst")
     w = S.usage_edge_weight(F.col("weight"), F.col("indeg"), F.col("access_count"), F.lit(True), F.lit(0.0), F.col("trust"))
-    plain = G.pagerank(e.select("src", "dst", F.col("weight").alias("w")), seeds, iterations=10).withColumnRenamed("rank", "plain")
-    weighted = G.pagerank(used.select("src", "dst", w.alias("w")), seeds, iterations=10).withColumnRenamed("rank", "weighted")
+    plain = G.pagerank(e.select("src", "dst", F.col("weight").alias("w")), seeds).withColumnRenamed("rank", "plain")
+    weighted = G.pagerank(used.select("src", "dst", w.alias("w")), seeds).withColumnRenamed("rank", "weighted")
     return plain.join(weighted, "id", "full").select("id", F.round("plain", 6).alias("plain"), F.round("weighted", 6).alias("weighted"))
 
 
@@ -434,7 +434,7 @@ def xo_2(spark: SparkSession, d: str) -> DataFrame:
     """Hits, ranked over links, superseded ones out, with the confidence of what is left."""
     hits = _hybrid(spark, d, 10, 20).select("id", F.col("score").alias("weight"))
     e = graph_edges(spark, d)
-    ranks = G.pagerank(e.select("src", "dst", (S.kind_weight("label") * F.col("weight")).alias("w")), hits, iterations=10)
+    ranks = G.pagerank(e.select("src", "dst", (S.kind_weight("label") * F.col("weight")).alias("w")), hits)
     top = R.ranked(ranks.select("id", F.col("rank").alias("score")), 20).select("id", "score")
     kept = J.without_superseded(top.select("id"), e).join(top, "id")
     trust = _m(spark, d).select(F.col("mem_id").alias("id"), "trust").join(F.broadcast(kept), "id")  # 20 rows

@@ -264,7 +264,7 @@ def ret_15(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of the hits by personalised PageRank, hits left out."""
     hits = _hybrid(spark, d, 10, 20).select("id", F.col("score").alias("weight"))
     edges = graph_edges(spark, d).select("src", "dst", (S.kind_weight("label") * F.col("weight")).alias("w"))
-    ranks = G.pagerank(edges, hits, iterations=10)
+    ranks = G.pagerank(edges, hits)
     return R.ranked(ranks.join(F.broadcast(hits.select("id")), "id", "left_anti").select("id", F.col("rank").alias("score")), 10).select("id", F.round("score", 6).alias("score"))
 
 
