@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import text as X
 from memloom.functions.keys import trimmed
 from memloom.functions.scoring import round3
-from memloom.operators.ordering import running
+from memloom.operators.ordering import global_rank, running
+from memloom.session import materialize
 
 IDENTITY, SUSPICION, CONFLICT = 0.98, 0.75, 0.82
 # How feedback and revision verdicts change trust.
@@ -211,19 +212,36 @@ def pinned_context(slots: DataFrame, project: str | None, budget: int = 1500) ->
 
 
 def greedy_budget(rows: DataFrame, order: list[str | Column], size: str, budget: int, keep: list[str], *, pool_most: int = 10_000) -> DataFrame:
-    """The rows that fit a budget when taken in order, skipping those too large for what is left; a pool of at most ``pool_most`` rows."""
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    numbered = rows.orderBy(*order).limit(pool_most).withColumn("__n", F.row_number().over(Window.orderBy(*order)))
-    items = numbered.agg(F.array_sort(F.collect_list(F.struct("__n", F.col(size).cast("long").alias("__s"), *keep))).alias("items"))
-    kind = "array<int>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["used"] + x["__s"] <= budget
-        return F.struct(F.when(ok, acc["used"] + x["__s"]).otherwise(acc["used"]).alias("used"), F.when(ok, F.array_append(acc["taken"], x["__n"])).otherwise(acc["taken"]).alias("taken"))
+    """The rows that fit a budget when taken in order, skipping those too large for what is left.
 
-    folded = items.select("items", F.aggregate("items", start, step)["taken"].alias("taken"))
-    return folded.select(F.explode(F.filter("items", lambda x: F.array_contains(F.col("taken"), x["__n"]))).alias("x")).select(*[f"x.{k}" for k in keep])
+    ``pool_most`` rows are folded at a time; the next ones are the first after them that are no
+    larger than the room left, until there are none.  Only the room and the place come to the driver.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    placed, _ = materialize(global_rank(rows.select("*", F.col(size).cast("long").alias("__s")), order, "__n"), "placed")
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
+    room, last = budget, 0
+    parts = []
+    while True:
+        pool = placed.filter((F.col("__n") > last) & (F.col("__s") <= room)).select("__n", "__s").orderBy("__n").limit(pool_most)
+        left = room
+
+        def step(acc: Column, x: Column) -> Column:
+            ok = acc["used"] + x["__s"] <= left  # noqa: B023
+            return F.struct(F.when(ok, acc["used"] + x["__s"]).otherwise(acc["used"]).alias("used"), F.when(ok, F.array_append(acc["taken"], x["__n"])).otherwise(acc["taken"]).alias("taken"))
+
+        items = pool.agg(F.array_sort(F.collect_list(F.struct("__n", "__s"))).alias("items"))  # at most ``pool_most``
+        folded = items.select(F.size("items").alias("seen"), F.array_max("items.__n").alias("last"), F.aggregate("items", start, step).alias("f"))
+        folded, _ = materialize(folded.select("seen", "last", "f.used", "f.taken"), "folded")
+        at = folded.select("seen", "last", "used").first()
+        parts.append(folded.select(F.explode("taken").alias("__n")))
+        if at["seen"] < pool_most:
+            break
+        room, last = room - at["used"], at["last"]
+    taken = parts[0]
+    for p in parts[1:]:
+        taken = taken.unionByName(p)
+    return placed.join(taken, "__n", "left_semi").select(*keep)
 
 
 def prefix_budget(rows: DataFrame, order: list[Column], size: str, budget: int) -> DataFrame:

@@ -63,11 +63,11 @@ def log_messages(entries: DataFrame) -> DataFrame:
     return m.filter("m.content <> ''").select("session", (F.col("entry_id") * 2 + F.col("m.o")).alias("turn"), "m.role", "m.content")
 
 
-def conversation_pairs(messages: DataFrame, *, already: DataFrame | None = None, most_buffer: int = 1_000) -> DataFrame:
+def conversation_pairs(messages: DataFrame, *, already: DataFrame | None = None) -> DataFrame:
     """(session, turn, user_text, assistant_text): each answer with what was asked before it.
 
     messages: session, turn, role, content.  Other roles are ignored; several user
-    turns in a row are joined by line breaks (the last ``most_buffer`` of them); a
+    turns in a row are joined by line breaks, all of them; a
     question without an answer waits.  ``already`` (session, turn) names the last turn that was
     taken in before; only later ones count.  Secrets are masked.
     """
@@ -77,8 +77,6 @@ def conversation_pairs(messages: DataFrame, *, already: DataFrame | None = None,
     said = (F.col("role") == "assistant").cast("long")
     m = running(m.select("session", "turn", "role", "content"), ["session"], [F.asc("turn")], totals={"pair": said})
     m = m.withColumn("pair", F.col("pair") - said).withColumn("content", mask_secrets("content"))
-    back = F.row_number().over(Window.partitionBy("session", "pair", "role").orderBy(F.desc("turn")))
-    m = m.withColumn("back", back).filter(F.col("back") <= most_buffer)
     pair = m.groupBy("session", "pair").agg(
         F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("turn"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "content")))), lambda x: x["content"]), "\n").alias("user_text"),

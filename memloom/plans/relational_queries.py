@@ -521,7 +521,7 @@ def win_5(spark: SparkSession, d: str) -> DataFrame:
 def win_7(spark: SparkSession, d: str) -> DataFrame:
     """The most important memories within 6 000 characters, larger ones skipped."""
     m = live(_memories(spark, d)).select("mem_id", F.coalesce(unit_interval("importance"), F.lit(0.5)).alias("imp"), F.char_length("content").alias("size"))
-    return L.greedy_budget(m, [F.desc("imp"), F.asc("mem_id")], "size", 6_000, ["mem_id"], pool_most=500)
+    return L.greedy_budget(m, [F.desc("imp"), F.asc("mem_id")], "size", 6_000, ["mem_id"])
 
 
 @C.add(
