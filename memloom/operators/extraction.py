@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.session import materialize
+
 # Labels that are no entities.
 JUNK_LABELS = (
     "также", "где", "что", "как", "или", "для", "при", "все", "весь", "вся", "однако", "кроме", "только", "очень", "когда", "тогда", "такой", "такая",
@@ -36,6 +38,10 @@ def valid_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return r.join(labels.withColumnRenamed("label", "source"), ["doc", "source"], "left_semi").join(labels.withColumnRenamed("label", "target"), ["doc", "target"], "left_semi")
 
 
+#: So many names at most are broadcast.
+_NAMES_BROADCAST = 10_000
+
+
 def infer_relations(entities: DataFrame) -> DataFrame:
     """(doc, source, target, label, context): from each description the first pattern in it, towards every other entity of the document that it names.
 
@@ -49,8 +55,13 @@ def infer_relations(entities: DataFrame) -> DataFrame:
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - n + 1)), lambda i: F.array_join(F.slice("words", i, n), " "))))
     named = spoken.withColumn("words", words).withColumn("name", F.explode(F.array_distinct(grams)))
     others = entities.select("doc", F.col("label").alias("target"), F.array_join(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}_-]+"), lambda w: w != ""), " ").alias("name")).distinct()
+    others, _ = materialize(others, "others")
+    if others.count() <= _NAMES_BROADCAST:  # else the runs of words are shuffled
+        others = F.broadcast(others)
     out = named.join(others, ["doc", "name"]).filter("source <> target")
-    return out.select("doc", "source", "target", "label", F.concat(F.lit("inferred: "), F.substring("description", 1, 200)).alias("context")).dropDuplicates(["doc", "source", "target", "label"])
+    # of the descriptions that speak of a relation the smallest text counts
+    context = F.min(F.concat(F.lit("inferred: "), F.substring("description", 1, 200))).alias("context")
+    return out.groupBy("doc", "source", "target", "label").agg(context)
 
 
 def merged_entities(entities: DataFrame, most: int = 1000) -> DataFrame:

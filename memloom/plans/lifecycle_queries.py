@@ -260,8 +260,7 @@ def jn_17(spark: SparkSession, d: str) -> DataFrame:
     """Relations that descriptions speak of."""
     m = live(read(spark, d, "memories"))
     e = m.select(F.lit(0).cast("long").alias("doc"), F.col("project_id").alias("label"), "content").filter("label IS NOT NULL")
-    spoken = e.groupBy("doc", "label").agg(F.max(F.concat(F.lit("использует "), "content")).alias("description"))
-    return O.infer_relations(spoken)
+    return O.infer_relations(e.select("doc", "label", F.concat(F.lit("использует "), "content").alias("description")))
 
 
 @C.add("ex_1", f"WITH {_ENT} SELECT label, count(*) AS seen FROM ents GROUP BY 1")
