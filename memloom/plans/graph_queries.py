@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import scoring as S
-from memloom.functions.text import trim_chars
 from memloom.operators import codegraph as K
 from memloom.operators import graph as G
 from memloom.operators import lifecycle as L
@@ -322,9 +321,11 @@ def gr_21(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add("gr_22", "SELECT doc_id, 'pkg:pypi:' || regexp_extract(text, '([a-z]+)[.]([a-z]+)', 1) AS dst FROM documents WHERE path IS NOT NULL AND ends_with(path, '.py') AND regexp_matches(text, '[a-z]+[.][a-z]+')")
 def gr_22(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").filter(F.col("path").endswith(".py") & F.col("text").rlike("[a-z]+[.][a-z]+"))
-    module = F.regexp_extract("text", "([a-z]+[.][a-z]+)", 1)
-    edges = docs.select("doc_id", F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("module:"), module).alias("dst"), F.lit("python").alias("lang"))
+    """All dotted names of a text as imports of its file."""
+    docs = read(spark, d, "documents").filter(F.col("path").endswith(".py"))
+    module = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]+[.][a-z]+)"), 1)))
+    docs = docs.select("doc_id", "path", module.alias("module"))
+    edges = docs.select("doc_id", F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("module:"), "module").alias("dst"), F.lit("python").alias("lang"))
     return K.consolidate_external(edges).select("doc_id", "dst")
 
 
@@ -367,6 +368,6 @@ def xo_18(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL")
     files = docs.groupBy("path").agg(F.min_by("text", "doc_id").alias("content"))
     spans = symbols(spark, d).select(F.xxhash64("file_id", "name", "line").alias("id"), "path", F.col("line").alias("line_start"), F.lit(None).cast("long").alias("line_end"), F.col("name").alias("scope"))
-    return K.span_chunk(files, spans).select("id", trim_chars("chunk", 400).alias("chunk"))
+    return K.span_chunk(files, spans).select("id", "chunk")
 
 
