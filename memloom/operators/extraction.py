@@ -9,6 +9,7 @@ from memloom.session import materialize
 
 # Labels that are no entities.
 JUNK_LABELS = (
+    "который", "которая", "которое", "которые", "этот", "эта", "это", "эти",
     "также", "где", "что", "как", "или", "для", "при", "все", "весь", "вся", "однако", "кроме", "только", "очень", "когда", "тогда", "такой", "такая",
     "it", "the", "this", "that", "and", "for",
 )

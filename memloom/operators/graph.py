@@ -48,6 +48,9 @@ def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ---- reachability --------------------------------------------------------------------------------
 
+#: Levels of a walk that are kept as tables of their own.
+_LEVELS = 24
+
 
 def reach(edges: DataFrame, start: DataFrame, depth: int, *, reverse: bool = False, labels: list[str] | None = None, least_weight: float | None = None) -> DataFrame:
     """(id, depth, via, parent): nodes reached from the start ids within ``depth`` steps, start left out.
@@ -61,19 +64,25 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, *, reverse: bool = Fal
         step = step.filter(F.coalesce("weight", F.lit(1.0)) >= least_weight)
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = step.select(F.col(a).alias("from"), F.col(b).alias("to"), "label")
-    seen, path = materialize(start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.col("id").alias("parent")), "seen")
+    first = start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.col("id").alias("parent"))
+    frontier, path = materialize(first, "frontier")
+    schema, paths = first.schema, [path]
     for d in range(1, depth + 1):
-        frontier = seen.filter(F.col("depth") == d - 1).select(F.col("id").alias("from"))
-        found = step.join(frontier, "from").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
+        seen = spark.read.schema(schema).parquet(*paths)
+        found = step.join(frontier.select(F.col("id").alias("from")), "from").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
         first = found.groupBy("to").agg(F.min(F.struct("from", "label")).alias("m")).select(F.col("to").alias("id"), F.lit(d).alias("depth"), F.col("m.label").alias("via"), F.col("m.from").alias("parent"))
-        first, first_path = materialize(first, "frontier")
-        if first.isEmpty():
-            release(spark, first_path)
+        frontier, path = materialize(first, "frontier")
+        if frontier.isEmpty():
+            release(spark, path)
             break
-        new, new_path = materialize(seen.unionByName(first), "seen")
-        release(spark, path, first_path)
-        seen, path = new, new_path
-    return seen.filter("depth > 0")
+        paths.append(path)
+        if len(paths) > _LEVELS:  # long walks: many small levels become one table
+            _, whole = materialize(spark.read.schema(schema).parquet(*paths), "seen")
+            release(spark, *paths[:-1])
+            paths = [whole]
+            frontier = spark.read.schema(schema).parquet(whole).filter(F.col("depth") == d)
+            release(spark, path)
+    return spark.read.schema(schema).parquet(*paths).filter("depth > 0")
 
 
 def shortest_path(edges: DataFrame, source: int, target: int, depth: int = 12, labels: list[str] | None = None) -> DataFrame:
@@ -116,9 +125,7 @@ def dead_nodes(nodes: DataFrame, edges: DataFrame, types: list[str], usage: list
 # ---- ranking -------------------------------------------------------------------------------------
 
 
-def pagerank(
-    edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None, superseded: DataFrame | None = None, cut_every: int = 1
-) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None, superseded: DataFrame | None = None) -> DataFrame:
     """(id, rank): personalised PageRank; edges (src, dst, w), seeds (id, weight).
 
     Weights of a source are normalised; what dangling nodes hold and the teleport
@@ -126,6 +133,10 @@ def pagerank(
     ``tolerance`` it ends early once the ranks change by less in sum.  Nodes in
     ``superseded`` neither get nor give anything.  Edges whose weight isn't
     positive don't count; without seeds the result is empty.
+
+    Ranks are carried as two parts, what came over edges and what went back to the
+    seeds, and added up at the end only, as a step is linear.  So a step is one
+    join and one aggregate; the sum that came over edges is all the driver sees.
     """
     spark = edges.sparkSession
     damping, iterations = min(0.85, max(0.5, damping)), min(20, max(1, iterations))
@@ -140,25 +151,23 @@ def pagerank(
     seed_sum = F.broadcast(start.agg(F.sum("weight").alias("s")))  # one row
     p0, _ = materialize(start.groupBy("id").agg(F.sum("weight").alias("weight")).join(seed_sum).select("id", (F.col("weight") / F.col("s")).alias("p0")), "seeds")
     ranks, path = p0.select("id", F.col("p0").alias("rank")), None
-    for i in range(1, iterations + 1):
+    for _ in range(iterations):
         moved = ranks.join(arcs, ranks["id"] == arcs["src"]).groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("rank") * F.col("p"))).alias("rank"))
+        moved, new_path = materialize(moved, "ranks")
         # what isn't moved along an edge goes back to the seeds
-        kept = F.broadcast(moved.agg((1.0 - F.coalesce(F.sum("rank"), F.lit(0.0))).alias("rest")))
-        back = p0.join(kept).select("id", (F.col("p0") * F.col("rest")).alias("rank"))
-        new = moved.unionByName(back).groupBy("id").agg(F.sum("rank").alias("rank"))
-        if tolerance is not None or i % cut_every == 0 or i == iterations:
-            new, new_path = materialize(new, "ranks")
-            if tolerance is not None:
-                change = new.withColumnRenamed("rank", "now").join(ranks, "id", "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))).alias("c")).first()["c"]
-                if (change or 0.0) < tolerance:
-                    ranks = new
-                    break
-            if path:
-                release(spark, path)
-            path = new_path
-        ranks = new
+        rest = 1.0 - (moved.agg(F.sum("rank").alias("s")).first()["s"] or 0.0)
+        new = moved.unionByName(p0.select("id", (F.col("p0") * rest).alias("rank")))
+        settled = False
+        if tolerance is not None:
+            change = new.unionByName(ranks.select("id", (-F.col("rank")).alias("rank"))).groupBy("id").agg(F.abs(F.sum("rank")).alias("c")).agg(F.sum("c").alias("c")).first()["c"]
+            settled = (change or 0.0) < tolerance
+        if path:
+            release(spark, path)
+        ranks, path = new, new_path
+        if settled:
+            break
     release(spark, arcs_path)
-    return ranks
+    return ranks.groupBy("id").agg(F.sum("rank").alias("rank"))
 
 
 def elbow_cut(hits: DataFrame, score: str = "score", order: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -48,7 +48,7 @@ def _rank_sql(iterations: int, arcs: str, d: float = 0.85) -> str:
 _ARCS = f"SELECT src, dst, {_KIND} * weight AS w FROM edges"
 
 
-@C.add("gr_1", f"{G_}, {_SEEDED}, {_rank_sql(10, _ARCS)} SELECT id, round(rank, 6) AS rank FROM r10")
+@C.add("gr_1", f"{G_}, {_SEEDED}, {_rank_sql(20, _ARCS)} SELECT id, round(rank, 6) AS rank FROM r20")
 def gr_1(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d)
     return G.pagerank(_weighted(e), _seeds(e).withColumn("weight", F.lit(1.0))).select("id", F.round("rank", 6).alias("rank"))
@@ -60,7 +60,7 @@ _GONE = "gone AS (SELECT DISTINCT dst AS id FROM edges WHERE label = 'supersedes
 @C.add(
     "gr_2",
     f"""{G_}, {_GONE}, seeds AS (SELECT DISTINCT src AS id FROM edges WHERE src NOT IN (FROM gone) ORDER BY 1 LIMIT 3),
-{_rank_sql(10, _ARCS + ' WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone)')} SELECT id, round(rank, 6) AS rank FROM r10""",
+{_rank_sql(20, _ARCS + ' WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone)')} SELECT id, round(rank, 6) AS rank FROM r20""",
 )
 def gr_2(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d)
@@ -86,7 +86,7 @@ def gr_3(spark: SparkSession, d: str) -> DataFrame:
 @C.add(
     "gr_4",
     f"""{G_}, top AS (SELECT id FROM nodes ORDER BY importance DESC, updated_at DESC, id LIMIT 500),
-seeds AS (SELECT id FROM top ORDER BY id LIMIT 3), {_rank_sql(10, _ARCS + ' WHERE src IN (FROM top) AND dst IN (FROM top)')} SELECT id, round(rank, 6) AS rank FROM r10""",
+seeds AS (SELECT id FROM top ORDER BY id LIMIT 3), {_rank_sql(20, _ARCS + ' WHERE src IN (FROM top) AND dst IN (FROM top)')} SELECT id, round(rank, 6) AS rank FROM r20""",
 )
 def gr_4(spark: SparkSession, d: str) -> DataFrame:
     n = graph_nodes(spark, d)
@@ -190,8 +190,8 @@ def _labels_sql(rounds: int) -> str:
 
 @C.add(
     "gr_13",
-    f"""{G_}, ways AS (SELECT src, dst, sum(weight) AS w FROM (SELECT src, dst, weight FROM edges WHERE src <> dst UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst) GROUP BY 1, 2), {_labels_sql(6)}
-SELECT c AS community, count(*) AS n FROM l6 GROUP BY 1 HAVING count(*) >= 3""",
+    f"""{G_}, ways AS (SELECT src, dst, sum(weight) AS w FROM (SELECT src, dst, weight FROM edges WHERE src <> dst UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst) GROUP BY 1, 2), {_labels_sql(10)}
+SELECT c AS community, count(*) AS n FROM l10 GROUP BY 1 HAVING count(*) >= 3""",
 )
 def gr_13(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d).select("src", "dst", F.col("weight").alias("w"))
@@ -219,7 +219,7 @@ def file_graph(n: DataFrame, e: DataFrame) -> DataFrame:
     return j.filter("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").cast("double").alias("w"))
 
 
-@C.add("gr_15", f"{G_}, {_FILES}, seeds AS (SELECT src AS id FROM fe UNION SELECT dst FROM fe), {_rank_sql(10, 'SELECT * FROM fe')} SELECT id AS file_path, round(rank, 6) AS rank FROM r10")
+@C.add("gr_15", f"{G_}, {_FILES}, seeds AS (SELECT src AS id FROM fe UNION SELECT dst FROM fe), {_rank_sql(20, 'SELECT * FROM fe')} SELECT id AS file_path, round(rank, 6) AS rank FROM r20")
 def gr_15(spark: SparkSession, d: str) -> DataFrame:
     """Files ranked over their links, all alike as seeds."""
     n = graph_nodes(spark, d)
@@ -241,7 +241,7 @@ def top_6(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(
     "gr_16",
-    f"""{G_}, {_SEEDED}, {_rank_sql(10, _ARCS)}, hits AS (SELECT id, rank AS score FROM r10), f AS (SELECT id, score, max(score) OVER () AS best, lag(score) OVER (ORDER BY score DESC, id) AS prev FROM hits),
+    f"""{G_}, {_SEEDED}, {_rank_sql(20, _ARCS)}, hits AS (SELECT id, rank AS score FROM r20), f AS (SELECT id, score, max(score) OVER () AS best, lag(score) OVER (ORDER BY score DESC, id) AS prev FROM hits),
 c AS (SELECT id, max((score < 0.15 * best OR coalesce(prev > 0 AND (prev - score) / prev > 0.5, false) OR best <= 0)::int) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS cut FROM f)
 SELECT c.id, n.label, e.dst, round(e.weight, 6) AS weight FROM c JOIN nodes n ON n.id = c.id LEFT JOIN (SELECT src, dst, label, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, label, dst) AS r FROM edges) e ON e.src = c.id AND e.r <= 5 WHERE cut = 0""",
 )
@@ -319,7 +319,7 @@ def gr_21(spark: SparkSession, d: str) -> DataFrame:
     return K.rpc_bridges(s.filter("kind = 'Table'").select(F.concat_ws("#", "path", "name").alias("id"), "name").distinct(), s.filter("kind = 'Function'").select(F.concat_ws("#", "path", "name").alias("id"), "name").distinct())
 
 
-@C.add("gr_22", "SELECT doc_id, 'pkg:pypi:' || regexp_extract(text, '([a-z]+)[.]([a-z]+)', 1) AS dst FROM documents WHERE path IS NOT NULL AND ends_with(path, '.py') AND regexp_matches(text, '[a-z]+[.][a-z]+')")
+@C.add("gr_22", "SELECT doc_id, 'pkg:pypi:' || split_part(m, '.', 1) AS dst FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z]+[.][a-z]+'))) AS m FROM documents WHERE path IS NOT NULL AND ends_with(path, '.py'))")
 def gr_22(spark: SparkSession, d: str) -> DataFrame:
     """All dotted names of a text as imports of its file."""
     docs = read(spark, d, "documents").filter(F.col("path").endswith(".py"))
@@ -352,7 +352,7 @@ def gr_24(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("id").alias("dst"), F.col("label").alias("target")).join(named, "dst").select("source", "relation", "target")
 
 
-@C.add("xo_16", f"{G_}, {_SEEDED}, {_rank_sql(10, _ARCS)}, r AS (SELECT id, row_number() OVER (ORDER BY round(rank, 9) DESC, id) AS rank FROM r10) SELECT count(*) AS expected, round(avg(coalesce(1.0 / r.rank, 0)), 6) AS mrr FROM (SELECT DISTINCT dst AS id FROM edges WHERE src IN (FROM seeds)) g LEFT JOIN r USING (id)")
+@C.add("xo_16", f"{G_}, {_SEEDED}, {_rank_sql(20, _ARCS)}, r AS (SELECT id, row_number() OVER (ORDER BY round(rank, 9) DESC, id) AS rank FROM r20) SELECT count(*) AS expected, round(avg(coalesce(1.0 / r.rank, 0)), 6) AS mrr FROM (SELECT DISTINCT dst AS id FROM edges WHERE src IN (FROM seeds)) g LEFT JOIN r USING (id)")
 def xo_16(spark: SparkSession, d: str) -> DataFrame:
     """Where the seeds' own neighbours stand in the ranking."""
     e = graph_edges(spark, d)

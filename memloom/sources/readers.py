@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 LOG_SCHEMA = "timestamp string, user_text string, assistant_text string, meta struct<session_id:string,author:string,source:string>"
 HISTORY_SCHEMA = "cursor long, timestamp string, content string"
 # Folders of a source tree that hold no sources.
-SKIP_FOLDERS = (".git", ".hg", ".svn", "node_modules", "target", "dist", "build", "out", "vendor", "venv", ".venv", "__pycache__", ".idea", ".vscode", "coverage")
+SKIP_FOLDERS = (".git", "target", "node_modules", "dist", "build", "venv", ".venv", "vendor", "data", "logs", "backups", "__pycache__")
 _LOG_NAME = r"(\d{4}-\d{2}-\d{2})\.jsonl$"
 
 
