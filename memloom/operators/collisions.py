@@ -13,9 +13,13 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.session import materialize
+
 _SAMPLED = 32
-_SPLITS_MOST = 5_000
+#: Rows of a key from which on it is split, however many rows there are in all.
 _HOT_LEAST = 8_192
+#: So many hot keys at most are broadcast; more are joined by a shuffle.
+_HOT_BROADCAST = 100_000
 PAIR_SCHEMA = "a long, b long"
 
 
@@ -108,21 +112,23 @@ def in_sample(id_col: str = "id") -> Column:
     return F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(_SAMPLED)) == 0
 
 
-def split_hot_keys(rows: DataFrame, sampled: DataFrame, n_rows: int) -> DataFrame:
+def split_hot_keys(rows: DataFrame, sampled: DataFrame) -> DataFrame:
     """Rows (key, id, ..) with the keys that hold very many rows split over block pairs.
 
     Members of a hot key fall into blocks by their id, and each two blocks meet
     under a key of their own, so every pair still meets and no task gets the
-    whole key.  Hot keys are told by ``sampled``, the rows of a sample of the ids (see
-    :func:`in_sample`); that they are told only roughly changes how work is
-    spread and nothing else.  At most about
-    ``_SPLITS_MOST`` keys can be hot, so they are broadcast.
+    whole key.  A block has about ``_HOT_LEAST`` rows whatever the size of the table.  Hot keys
+    are told by ``sampled``, the rows of a sample of the ids (see :func:`in_sample`); that
+    they are told only roughly changes how work is spread and nothing else.
     """
-    hot_from = max(_HOT_LEAST, n_rows // _SPLITS_MOST)
     hot = (
-        sampled.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_from // _SAMPLED)
-        .select("key", F.ceil(F.col("n") * _SAMPLED / hot_from).cast("int").alias("blocks"))
+        sampled.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > _HOT_LEAST // _SAMPLED)
+        .select("key", F.ceil(F.col("n") * _SAMPLED / _HOT_LEAST).cast("int").alias("blocks"))
     )
+    hot, _ = materialize(hot, "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return rows
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -131,7 +137,7 @@ def split_hot_keys(rows: DataFrame, sampled: DataFrame, n_rows: int) -> DataFram
     # with two blocks or more the mixed cells hold the pairs within a block too
     cells = F.when(F.col("blocks") > 1, F.array_remove(cells, F.xxhash64("key", block, block))).otherwise(F.array("key"))
     rest = [c for c in rows.columns if c != "key"]
-    joined = rows.join(F.broadcast(hot), "key", "left")
+    joined = rows.join(F.broadcast(hot) if n_hot <= _HOT_BROADCAST else hot, "key", "left")
     return joined.withColumn("keys", F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cells)).select(F.explode("keys").alias("key"), *rest)
 
 
@@ -139,7 +145,8 @@ def colliding_pairs(rows: DataFrame, most: Sequence[tuple[int, int]], *, partiti
     """Distinct (a, b), a < b, of ids under one key whose sketches are close.
 
     rows: key, id and the words s0, s1, .. of the sketch, all longs and not null.
-    ``most`` lists (words, bits): how many of the first words may differ in how many bits.
+    ``most`` lists (words, bits): how many of the first words may differ in how many bits;
+    ``partitions`` should grow with the rows (see :func:`memloom.operators.ordering.partitions_for`).
     """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = [f"s{i}" for i in range(max(w for w, _ in most))]

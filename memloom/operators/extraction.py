@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.session import materialize
+from memloom.operators.ordering import running
 
 # Labels that are no entities.
 JUNK_LABELS = (
@@ -39,41 +41,43 @@ def valid_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return r.join(labels.withColumnRenamed("label", "source"), ["doc", "source"], "left_semi").join(labels.withColumnRenamed("label", "target"), ["doc", "target"], "left_semi")
 
 
-#: So many names at most are broadcast.
-_NAMES_BROADCAST = 10_000
+#: Characters of a label by which it meets the texts that could contain it.
+_ANCHOR = 8
 
 
 def infer_relations(entities: DataFrame) -> DataFrame:
-    """(doc, source, target, label, context): from each description the first pattern in it, towards every other entity of the document that it names.
+    """(doc, source, target, label, context): from each description the first pattern in it, towards every other entity of the document that it contains.
 
-    Descriptions are split into their words and runs of words (up to 4) and met with
-    labels by equality, so a document isn't paired with itself.
+    A label is contained wherever it stands in the small-lettered description, within
+    words too, however long it is.  Labels meet descriptions by equality of their first characters with
+    the runs of as many characters in the text, and what meets is verified, so a
+    document isn't paired with itself.  Null and empty labels and descriptions give nothing.
     """
     text = F.lower("description")
     relation = F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(r)) for w, r in RELATION_WORDS])
-    spoken = entities.select("doc", F.col("label").alias("source"), "description", relation.alias("label")).filter(F.col("label").isNotNull())
-    words = F.filter(F.split(F.lower("description"), r"[^\p{L}\p{N}_-]+"), lambda w: w != "")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - n + 1)), lambda i: F.array_join(F.slice("words", i, n), " "))))
-    named = spoken.withColumn("words", words).withColumn("name", F.explode(F.array_distinct(grams)))
-    others = entities.select("doc", F.col("label").alias("target"), F.array_join(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}_-]+"), lambda w: w != ""), " ").alias("name")).distinct()
-    others, _ = materialize(others, "others")
-    if others.count() <= _NAMES_BROADCAST:  # else the runs of words are shuffled
-        others = F.broadcast(others)
-    out = named.join(others, ["doc", "name"]).filter("source <> target")
+    spoken = entities.select("doc", F.col("label").alias("source"), "description", relation.alias("label")).filter("source IS NOT NULL AND label IS NOT NULL")
+    others = entities.filter("label <> ''").select("doc", F.col("label").alias("target"), F.lower("label").alias("name")).distinct()
+    others = others.withColumn("anchor", F.substring("name", 1, _ANCHOR))
+    # labels shorter than an anchor are few lengths: 1 to 7 at most
+    short = [r["n"] for r in others.select(F.char_length("anchor").alias("n")).distinct().collect()]
+    starts = lambda t, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(t) - (n - 1))), lambda i: F.substring(t, i, F.lit(n)))
+    runs = F.flatten(F.transform(F.array(text), lambda t: F.concat(*[starts(t, n) for n in short]))) if short else F.array().cast("array<string>")
+    met = spoken.withColumn("anchor", F.explode(F.array_distinct(runs))).join(others, ["doc", "anchor"])
+    out = met.filter((F.col("source") != F.col("target")) & F.contains(text, F.col("name")))
     # of the descriptions that speak of a relation the smallest text counts
     context = F.min(F.concat(F.lit("inferred: "), F.substring("description", 1, 200))).alias("context")
     return out.groupBy("doc", "source", "target", "label").agg(context)
 
 
 def merged_entities(entities: DataFrame, most: int = 1000) -> DataFrame:
-    """One row per (label, type): its different descriptions joined, cut at ``most`` characters, and how often it was seen.
+    """One row per (label, type): its different descriptions joined in order, cut at ``most`` characters, and how often it was seen.
 
-    Only the first 64 descriptions by text are joined; the cut needs no more.
+    Only descriptions that begin before the cut are gathered, at most half of ``most``; where
+    they begin is a running sum over ranges, so a label may have any number of them.
     """
     each = entities.groupBy("label", "type", "description").agg(F.count("*").alias("n"))
-    from memloom.operators.similarity import nth_of
-
-    first = nth_of(each.filter("description <> ''"), ["label", "type"], [F.asc("description")], 64)
+    upto = running(each.filter("description <> ''").select("label", "type", "description"), ["label", "type"], [F.asc("description")], totals={"upto": (F.char_length("description") + 1).cast("long")})
+    first = upto.filter(F.col("upto") - F.char_length("description") - 1 < most)
     text = first.groupBy("label", "type").agg(F.substring(F.array_join(F.array_sort(F.collect_list("description")), " "), 1, most).alias("description"))
     seen = each.groupBy("label", "type").agg(F.sum("n").alias("seen"))
     return seen.join(text, ["label", "type"], "left")
@@ -111,23 +115,32 @@ def first_json_value(text: Column | str) -> Column:
     return find(c)
 
 
+_MARKS = re.compile(r"""["{}\[\]]|\\["\\]""")
+
+
 def _first_json(text: str) -> str | None:
-    at = 0
-    pairs = {"{": "}", "[": "]"}
-    while (start := min((i for i in (text.find("{", at), text.find("[", at)) if i >= 0), default=-1)) >= 0:
-        open_, quoted, escaped = [], False, False
-        for i in range(start, len(text)):
-            ch = text[i]
-            if quoted:
-                quoted, escaped = (ch != '"' or escaped), (ch == "\\" and not escaped)
-            elif ch == '"':
-                quoted = True
-            elif ch in pairs:
-                open_.append(pairs[ch])
-            elif ch in "}]":
-                if open_.pop() != ch:
+    """In one pass: brackets are matched on a stack; one that doesn't fit makes all open ones fail.
+
+    Of the values that close the one that begins first counts, so one inside of
+    brackets that never close is found.  Quotes count within brackets only.
+    """
+    open_: list[tuple[str, int]] = []
+    first: tuple[int, int] | None = None
+    quoted = False
+    for m in _MARKS.finditer(text):
+        ch, i = m[0], m.start()
+        if ch == '"':
+            quoted = bool(open_) and not quoted
+        elif ch in "{[" and not quoted:
+            open_.append(("}" if ch == "{" else "]", i))
+        elif ch in "}]" and open_ and not quoted:
+            closes, start = open_.pop()
+            if closes != ch:
+                if first:
                     break
-                if not open_:
-                    return text[start : i + 1]
-        at = start + 1
-    return None
+                open_.clear()
+                continue
+            first = min(first or (start, i + 1), (start, i + 1))
+            if not open_:
+                break
+    return text[slice(*first)] if first else None

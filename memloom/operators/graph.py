@@ -299,32 +299,19 @@ def cochange_pairs(items: DataFrame, txn: str, item: str, *, most_items: int = 1
     return counted.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.5 + 0.1 * (F.col("n") - 3)), 6))
 
 
-#: Files of a module that meet in one set; those of larger modules meet block by block.
+#: Files of a module in one block.
 _FILES_BLOCK = 200
 
 
-def coimport_weights(imports: DataFrame, file: str, module: str, *, most_files: int | None = None) -> DataFrame:
-    """(a, b, w): files sharing a module, Σ over shared modules of 1 / files of the module.
-
-    The files of a large module meet block by block.  Only with ``most_files`` do modules of
-    more files come back as pairs with the module itself (star edges: a = file, b = module)
-    instead of all pairs of files; files and modules must then have different names.
-    """
+def coimport_weights(imports: DataFrame, file: str, module: str) -> DataFrame:
+    """(a, b, w): files sharing a module, Σ over shared modules of 1 / files of the module; the files of a large module meet block by block."""
     m = imports.select(F.col(file).alias("f"), F.col(module).alias("m")).distinct()
     n = m.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = m.join(n, "m")
-    chosen = sized if most_files is None else sized.filter(F.col("n") <= most_files)
-    sets = chosen.filter(F.col("n") <= _FILES_BLOCK).groupBy("m", "n").agg(F.array_sort(F.collect_list("f")).alias("s"))  # at most ``_FILES_BLOCK``
-    pairs = sets.select("n", F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.lit(_FILES_BLOCK)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    near = pairs.select("p.*", (1.0 / F.col("n")).alias("w"))
     blocks = F.ceil(F.col("n") / _FILES_BLOCK).cast("int")
-    members = chosen.filter(F.col("n") > _FILES_BLOCK).withColumns({"own": F.pmod(F.xxhash64("f"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    members = m.join(n, "m").withColumns({"own": F.pmod(F.xxhash64("f"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     left = members.select("m", "n", F.col("own").alias("i"), F.col("other").alias("j"), F.col("f").alias("a"))
     right = members.select("m", F.col("other").alias("i"), F.col("own").alias("j"), F.col("f").alias("b"))
-    near = near.unionByName(left.join(right, ["m", "i", "j"]).filter("a < b").select("a", "b", (1.0 / F.col("n")).alias("w")))
-    if most_files is not None:
-        star = sized.filter(F.col("n") > most_files).select(F.col("f").alias("a"), F.col("m").alias("b"), (1.0 / F.col("n")).alias("w"))
-        near = near.unionByName(star)
+    near = left.join(right, ["m", "i", "j"]).filter("a < b").select("a", "b", (1.0 / F.col("n")).alias("w"))
     return near.groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("w"))
 
 

@@ -77,13 +77,33 @@ def last_start_before(events: DataFrame, spans: DataFrame, by: list[str], at: st
     return out.filter(F.col(end) >= F.col(at)) if end else out
 
 
+#: Rows of a table of patterns, at most, that are broadcast for a condition that isn't an equality.
+TARGETS_MOST = 10_000
+
+
 def first_match(refs: DataFrame, targets: DataFrame, ref_id: str, condition: Column, order: Column | str) -> DataFrame:
-    """Each ref with its first matching target by ``order``; the targets (a list of bounded size) are broadcast."""
+    """Each ref with its first matching target by ``order``, under any condition.
+
+    The targets are broadcast; more than ``TARGETS_MOST`` are refused.  Where the
+    condition is a prefix, suffix or equality use the joins below, which have no such limit.
+    """
+    if targets.limit(TARGETS_MOST + 1).count() > TARGETS_MOST:
+        raise ValueError(f"more than {TARGETS_MOST} targets; join by a key instead")
     joined = refs.join(F.broadcast(targets), condition)
     best = joined.groupBy(ref_id).agg(F.min_by(F.struct(*targets.columns), order).alias("t"))
     return best.select(ref_id, "t.*")
 
 
+def suffix_matches(paths: DataFrame, suffixes: DataFrame, path: str, suffix: str) -> DataFrame:
+    """(path, suffix): all suffixes, whole components of a path, by which a path ends.
+
+    A path is exploded into its own suffixes and joined by equality, so suffixes may be many.
+    """
+    parts = F.split(F.col(path), "/")
+    own = paths.select(path).distinct().withColumn("__s", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))))
+    return own.join(suffixes.select(F.col(suffix).alias("__s")).distinct(), "__s").select(path, F.col("__s").alias(suffix))
+
+
 def shadowed(rows: DataFrame, key: str, scope: str, project: str | None) -> DataFrame:
     """Per key the project's row if there is one, else the global (blank scope) one."""
     wanted = F.coalesce(F.col(scope), F.lit(""))

@@ -89,6 +89,27 @@ def weak_records(records: DataFrame, *, trust: float = 0.35, importance: float =
     return records.filter((F.col("trust") < trust) & (F.col("importance") < importance) & (F.col("access_count") < access))
 
 
+def _folded(first, d):
+    """(d, lo, hi) of each run of clamped additions; runs begin at ``first``.  Neighbours in a run are composed, half as many are left, and so on."""
+    import numpy as np
+
+    run = np.zeros(len(d), np.int64)
+    run[first] = 1
+    run = np.cumsum(run) - 1
+    lo, hi = np.clip(d, 0.0, 1.0), np.clip(1.0 + d, 0.0, 1.0)
+    while len(d) > len(first):
+        at = np.arange(len(d)) - np.searchsorted(run, run)  # place within the run
+        left = np.flatnonzero(at % 2 == 0)
+        pair = np.append(run[1:] == run[:-1], False)[left]
+        i, j = left[pair], left[pair] + 1
+        d2, lo2, hi2 = d[left], lo[left], hi[left]
+        d2[pair] += d[j]
+        lo2[pair] = np.minimum(hi[j], np.maximum(lo[j], lo[i] + d[j]))
+        hi2[pair] = np.minimum(hi[j], np.maximum(lo[j], hi[i] + d[j]))
+        d, lo, hi, run = d2, lo2, hi2, run[left]
+    return d, lo, hi
+
+
 def trust_after(events: DataFrame, start: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, trust): the start trust after all events in order, each step clamped to 0..1.
 
@@ -105,26 +126,21 @@ def trust_after(events: DataFrame, start: DataFrame, key: str, order: list[str])
     kind = ranged.schema["k"].dataType.simpleString()
 
     def fold(batches):
-        import pandas as pd
-
-        done, now = [], None
-        for pdf in batches:
-            for k, i, d in zip(pdf["k"], pdf["i"], pdf["d"]):
-                if now is None or now[0] != k:
-                    if now:
-                        done.append(now)
-                    now = [k, i, 0.0, 0.0, 1.0]
-                now[2] += d
-                now[3], now[4] = (min(1.0, max(0.0, x + d)) for x in now[3:])
-            if len(done) > 10_000:
-                yield pd.DataFrame(done, columns=["k", "first", "d", "lo", "hi"])
-                done = []
-        if now:
-            yield pd.DataFrame([*done, now], columns=["k", "first", "d", "lo", "hi"])
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, d = batch.column(0), batch.column(2).to_numpy()
+            code = k.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            runs = _folded(first, d)
+            yield pa.RecordBatch.from_arrays([k.take(pa.array(first)), batch.column(1).take(pa.array(first)), *map(pa.array, runs)], names=["k", "first", "d", "lo", "hi"])
 
     numbered = ranged.select("k", F.monotonically_increasing_id().alias("i"), "d")
-    parts = numbered.mapInPandas(fold, f"k {kind}, first long, d double, lo double, hi double")
-    chains = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("first", "d", "lo", "hi"))).alias("parts"))  # one a partition at most
+    parts = numbered.mapInArrow(fold, f"k {kind}, first long, d double, lo double, hi double")
+    chains = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("first", "d", "lo", "hi"))).alias("parts"))  # one an Arrow batch at most
     after = F.aggregate("parts", F.col("trust"), lambda x, p: F.least(p["hi"], F.greatest(p["lo"], x + p["d"])))
     out = start.join(chains, F.col(key) == F.col("k"), "left")
     return out.select(key, F.round(F.when(F.col("parts").isNull(), F.col("trust")).otherwise(after), 6).alias("trust"))

@@ -11,11 +11,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.session import materialize
 
+#: Rows of a shuffle partition where their number is known: some tens of megabytes of narrow rows.
+ROWS_PER_TASK = 2_000_000
+
+
+def partitions_for(spark: SparkSession, n_rows: int, per_task: int = ROWS_PER_TASK) -> int:
+    """Shuffle partitions for ``n_rows``: those of the session, more if a task would get more than ``per_task`` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // per_task))
+
 
 def running(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], *, totals: Mapping[str, Column] | None = None, before: Mapping[str, Column] | None = None, carried: Mapping[str, Column] | None = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import estimate_tokens, mask_secrets
 from memloom.functions.keys import trimmed
-from memloom.operators.ordering import running
+from memloom.operators.ordering import global_rank, running
 
 
 def parsed_time(c: Column | str) -> Column:
@@ -16,16 +16,12 @@ def parsed_time(c: Column | str) -> Column:
 
 
 def timeline(entries: DataFrame, time: Column, tie: list[str]) -> DataFrame:
-    """The entries with their 1-based position ``pos`` by time (undated first), then file and line.
+    """The entries with their 1-based position ``pos`` by time (undated first), then the ``tie`` columns.
 
-    Positions over the whole log are formed from counts per day and positions
-    within a day, so no task sorts the whole log.
+    Positions are formed over ranges of the order, so a day with very many entries,
+    and the undated ones, lie in many tasks.
     """
-    dated = entries.withColumns({"__t": time, "__d": F.coalesce(F.to_date(time), F.lit("0001-01-01").cast("date"))})
-    days = dated.groupBy("__d").agg(F.count("*").alias("n"))
-    before = days.select("__d", (F.sum("n").over(Window.orderBy("__d")) - F.col("n")).alias("before"))  # a row per day
-    within = F.row_number().over(Window.partitionBy("__d").orderBy(F.asc_nulls_first("__t"), *tie))
-    return dated.join(before, "__d").withColumn("pos", within + F.col("before")).drop("__t", "__d", "before")
+    return global_rank(entries.withColumn("__t", time), [F.asc_nulls_first("__t"), *map(F.col, tie)], "pos").drop("__t")
 
 
 def resolve_anchor(placed: DataFrame, anchor: str, texts: list[str], time: Column) -> DataFrame:

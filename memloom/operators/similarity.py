@@ -10,18 +10,31 @@ from pyspark.sql import functions as F
 
 from memloom.functions import vectors as V
 from memloom.operators.collisions import colliding_pairs, in_sample, split_hot_keys
+from memloom.operators.ordering import partitions_for
 from memloom.session import materialize
 
 _SKETCH = 4
 
 
+#: Vectors that a key should hold, and rows that a vector is hashed into at most.
+_PER_KEY = 1_024
+_BANDS_MOST = 256
+
+
 def _plan(n: int, least: float, recall: float) -> tuple[int, int, int]:
-    """Bits of a band, number of bands, and sketch bits that may differ, for n vectors."""
+    """Bits of a band, number of bands, and sketch bits that may differ, for n vectors.
+
+    A band has as many bits as keep a key small, but no more than let ``_BANDS_MOST``
+    bands reach the recall: beyond, keys grow and are met block by block, and
+    the rows of a vector don't.
+    """
     apart = math.acos(least) / math.pi
-    bits = min(24, max(4, math.ceil(math.log2(max(2, n) / 64))))
-    bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits)))
+    bands_of = lambda bits: max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits)))
+    bits = min(24, max(4, math.ceil(math.log2(max(2, n) / _PER_KEY))))
+    while bits > 4 and bands_of(bits) > _BANDS_MOST:
+        bits -= 1
     size = 64 * _SKETCH
-    return bits, bands, math.ceil(size * apart + 3.1 * math.sqrt(size * apart * (1 - apart)))
+    return bits, bands_of(bits), math.ceil(size * apart + 3.1 * math.sqrt(size * apart * (1 - apart)))
 
 
 def _banded(bits: int, bands: int, dim: int, seed: int):
@@ -59,7 +72,8 @@ def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, least: float, *
     bits, bands, most = _plan(n, least, recall)
     schema = "key long, id long, " + ", ".join(f"s{i} long" for i in range(_SKETCH))
     hashed = lambda df: df.mapInArrow(_banded(bits, bands, dim, seed), schema)
-    met = colliding_pairs(split_hot_keys(hashed(rows), hashed(rows.filter(in_sample())), n * bands), [(_SKETCH, most)])
+    hot = split_hot_keys(hashed(rows), hashed(rows.filter(in_sample())))
+    met, _ = materialize(colliding_pairs(hot, [(_SKETCH, most)], partitions=partitions_for(rows.sparkSession, n * bands)), "met")
     a, b = (rows.select(F.col("id").alias(x), F.col("vec").alias(f"v{x}")) for x in "ab")
     scored = met.join(a, "a").join(b, "b").select("a", "b", V.cosine("va", "vb").alias("cos"))
     return scored.filter(F.col("cos") >= least)

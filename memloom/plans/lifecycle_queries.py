@@ -18,7 +18,7 @@ from memloom.operators import search as R
 from memloom.operators import sessions as T
 from memloom.operators.similarity import approximate_recall, best_neighbour
 from memloom.plans.base import AS_OF, SQL_GRAPH, Catalog, read, sql_trim, sql_unit
-from memloom.plans.relational_queries import _BEST, _FACTS, _MAPPING, _MSGS, _PAIRS, _STATS, USAGE, canonical_mapping, close_memories, facts, memory_stats, slots
+from memloom.plans.relational_queries import _BEST, _FACTS, _MAPPING, _MSGS, _PAIRS, _SLOTS, _STATS, USAGE, canonical_mapping, close_memories, facts, memory_stats, slots
 from memloom.plans.search_queries import _NEAR, _VEC, _bm25_sql, _hybrid, _query_vector, _vectors
 from memloom.sources.tables import graph_edges, graph_nodes, live
 
@@ -118,7 +118,15 @@ def lc_11(spark: SparkSession, d: str) -> DataFrame:
     return L.decay_sweep(read(spark, d, "lessons"), AS_OF).select("lesson_id", "new_confidence")
 
 
-@C.add("lc_12")
+@C.add(
+    "lc_12",
+    f"""WITH {_SLOTS}, v AS (SELECT label, content, strlen('## ' || label || chr(10) || {sql_trim('content')} || chr(10) || chr(10)) AS size
+  FROM slots WHERE label <> 'todo' AND {sql_trim('content')} <> '' QUALIFY row_number() OVER (PARTITION BY label ORDER BY project DESC) = 1),
+o AS (SELECT list_reduce(list(struct_pack(used := size, taken := [label], label := label) ORDER BY label),
+  lambda a, x: CASE WHEN a.used + x.used <= 1486 THEN struct_pack(used := a.used + x.used, taken := list_append(a.taken, x.label), label := '') ELSE a END,
+  struct_pack(used := 0::bigint, taken := []::varchar[], label := '')) AS r FROM v)
+SELECT label, content FROM v WHERE list_contains((SELECT r.taken FROM o), label)""",
+)
 def lc_12(spark: SparkSession, d: str) -> DataFrame:
     return L.pinned_context(slots(spark, d).withColumn("pinned", F.col("label") != "todo"), "prj_hub")
 
@@ -250,12 +258,24 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.explode(names).alias("label"), F.lit("Identifier").alias("type"), F.coalesce("title", F.lit("")).alias("description"))
 
 
-@C.add("flt_8", f"WITH {_ENT} SELECT doc, label FROM ents WHERE length(label) >= 3 AND lower(label) NOT IN ({', '.join(repr(w) for w in O.JUNK_LABELS)})")
+_JUNK = """'который', 'которая', 'которое', 'которые', 'этот', 'эта', 'это', 'эти', 'также', 'где', 'что', 'как', 'или', 'для', 'при', 'все', 'весь', 'вся',
+'однако', 'кроме', 'только', 'очень', 'когда', 'тогда', 'такой', 'такая', 'it', 'the', 'this', 'that', 'and', 'for'"""
+
+
+@C.add("flt_8", f"WITH {_ENT} SELECT doc, label FROM ents WHERE length(label) >= 3 AND lower(label) NOT IN ({_JUNK})")
 def flt_8(spark: SparkSession, d: str) -> DataFrame:
     return O.without_junk(entities(spark, d)).select("doc", "label")
 
 
-@C.add("jn_17")
+_SPEAKS = "CASE " + " ".join(f"WHEN contains(lower(description), '{w}') THEN '{r}'" for w, r in O.RELATION_WORDS) + " END"
+
+
+@C.add(
+    "jn_17",
+    f"""WITH e AS (SELECT project_id AS label, 'использует ' || content AS description FROM memories WHERE deleted_at IS NULL AND project_id IS NOT NULL),
+o AS (SELECT DISTINCT label AS target FROM e WHERE label <> '')
+SELECT 0::bigint AS doc, e.label AS source, target, {_SPEAKS} AS label, min('inferred: ' || substr(description, 1, 200)) AS context FROM e JOIN o ON contains(lower(description), lower(target)) AND e.label <> target WHERE {_SPEAKS} IS NOT NULL GROUP BY ALL""",
+)
 def jn_17(spark: SparkSession, d: str) -> DataFrame:
     """Relations that descriptions speak of."""
     m = live(read(spark, d, "memories"))
@@ -263,9 +283,14 @@ def jn_17(spark: SparkSession, d: str) -> DataFrame:
     return O.infer_relations(e.select("doc", "label", F.concat(F.lit("использует "), "content").alias("description")))
 
 
-@C.add("ex_1", f"WITH {_ENT} SELECT label, count(*) AS seen FROM ents GROUP BY 1")
+@C.add(
+    "ex_1",
+    f"""WITH {_ENT}, kept AS (SELECT * FROM ents WHERE length(label) >= 3 AND lower(label) NOT IN ({_JUNK})),
+texts AS (SELECT label, left(string_agg(description, ' ' ORDER BY encode(description)), 1000) AS description FROM (SELECT DISTINCT label, description FROM kept WHERE description <> '') GROUP BY label)
+SELECT label, count(*) AS seen, any_value(texts.description) AS description FROM kept LEFT JOIN texts USING (label) GROUP BY label""",
+)
 def ex_1(spark: SparkSession, d: str) -> DataFrame:
-    return O.merged_entities(O.without_junk(entities(spark, d))).select("label", "seen")
+    return O.merged_entities(O.without_junk(entities(spark, d))).select("label", "seen", "description")
 
 
 @C.add("ex_2", r"WITH c AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+[A-Z][A-Za-z]+\b')))::bigint AS names FROM c")
@@ -334,7 +359,12 @@ def ev_3(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy((F.col("user_id") % 2 == 0).alias("even")).agg(F.expr("percentile(value, 0.5)").alias("median"))
 
 
-@C.add("ev_3_gate")
+@C.add(
+    "ev_3_gate",
+    """WITH r AS (SELECT count(*) AS runs, count(*) FILTER (user_id % 2 = 0) AS on_, quantile_cont(value, 0.5) FILTER (user_id % 2 <> 0) AS o, quantile_cont(value, 0.5) FILTER (user_id % 2 = 0) AS n FROM events),
+g AS (SELECT *, CASE WHEN o > 0 THEN (o - n) / o END AS gain FROM r)
+SELECT runs, round(o, 6) AS p95_off, round(n, 6) AS p95_on, round(gain, 6) AS gain, CASE WHEN runs < 30 OR on_ < 10 OR runs - on_ < 10 THEN 'insufficient' WHEN gain >= 0.3 THEN 'positive' ELSE 'negative' END AS verdict FROM g""",
+)
 def ev_3_gate(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     return E.history_verdict(e.select((F.col("user_id") % 2 == 0).alias("index_on"), F.col("value").alias("p95")))

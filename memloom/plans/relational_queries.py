@@ -165,11 +165,11 @@ def jn_6(spark: SparkSession, d: str) -> DataFrame:
     return _memories(spark, d).join(keys, "mem_key", "left_semi").select("mem_id", "mem_key")
 
 
-_SEEDS = "seeds AS (SELECT id FROM nodes WHERE id % 97 = 0)"
+_SEEDS = "seeds AS (SELECT id FROM nodes WHERE id % 20 = 0)"
 
 
 def _seeds(n: DataFrame) -> DataFrame:
-    return n.filter("id % 97 = 0").select("id")
+    return n.filter("id % 20 = 0").select("id")
 
 
 @C.add("jn_7", f"{G_}, {_SEEDS} SELECT DISTINCT id FROM (SELECT dst AS id FROM edges WHERE src IN (FROM seeds) UNION ALL SELECT src FROM edges WHERE dst IN (FROM seeds)) WHERE id NOT IN (FROM seeds)")
@@ -258,14 +258,14 @@ def jn_13(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(
     "jn_14",
-    f"""WITH t AS (SELECT mem_id, mem_key FROM memories), r AS (SELECT DISTINCT source FROM memories WHERE {sql_value('source')})
-SELECT source, min(mem_key) AS mem_key FROM r JOIN t ON starts_with(mem_key, source) GROUP BY source""",
+    """WITH p AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL), s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z_]+/[a-z_0-9]+[.](?:py|ts|rs|go|sql)')) AS mention FROM documents)
+SELECT path, mention FROM p JOIN s ON path = mention OR ends_with(path, '/' || mention)""",
 )
 def jn_14(spark: SparkSession, d: str) -> DataFrame:
-    """The first key that begins with each source word; the words are few and broadcast."""
-    words = _memories(spark, d).filter(has_value("source")).select("source").distinct()
-    keys = _memories(spark, d).select("mem_key")
-    return keys.join(F.broadcast(words), F.col("mem_key").startswith(F.col("source"))).groupBy("source").agg(F.min("mem_key").alias("mem_key"))
+    """Paths that end, in whole components, with a file that some text mentions."""
+    docs = read(spark, d, "documents")
+    mentions = docs.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z_]+/[a-z_0-9]+[.](?:py|ts|rs|go|sql))"), 1)).alias("mention")).distinct()
+    return J.suffix_matches(docs.filter("path IS NOT NULL"), mentions, "path", "mention")
 
 
 @C.add("jn_15", "WITH r AS (SELECT path, min(doc_id)::varchar AS route FROM documents WHERE path IS NOT NULL GROUP BY path) SELECT DISTINCT CASE WHEN project_id IS NULL THEN '' ELSE project_id || '#' END || doc_id AS client, route FROM documents d JOIN r ON lower(d.path) = lower(r.path)")
@@ -517,7 +517,14 @@ def win_5(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("mem_key").agg(F.max_by("feed_id", at).alias("feed_id"))
 
 
-@C.add("win_7")
+@C.add(
+    "win_7",
+    f"""WITH m AS (SELECT mem_id, length(content) AS size, row_number() OVER (ORDER BY coalesce({sql_unit('importance')}, 0.5) DESC, mem_id) AS n FROM memories WHERE deleted_at IS NULL),
+o AS (SELECT list_reduce(list(struct_pack(used := size::bigint, taken := [mem_id], id := mem_id) ORDER BY n),
+  lambda a, x: CASE WHEN a.used + x.used <= 6000 THEN struct_pack(used := a.used + x.used, taken := list_append(a.taken, x.id), id := x.id) ELSE a END,
+  struct_pack(used := 0::bigint, taken := []::bigint[], id := 0::bigint)) AS r FROM m WHERE size IS NOT NULL)
+SELECT unnest(r.taken) AS mem_id FROM o""",
+)
 def win_7(spark: SparkSession, d: str) -> DataFrame:
     """The most important memories within 6 000 characters, larger ones skipped."""
     m = live(_memories(spark, d)).select("mem_id", F.coalesce(unit_interval("importance"), F.lit(0.5)).alias("imp"), F.char_length("content").alias("size"))
@@ -526,12 +533,11 @@ def win_7(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(
     "win_8",
-    f"WITH m AS (SELECT mem_id, coalesce({sql_unit('importance')}, 0.5) AS imp, length(content) AS size FROM memories WHERE deleted_at IS NULL QUALIFY row_number() OVER (ORDER BY imp DESC, mem_id) <= 500) SELECT mem_id FROM m QUALIFY sum(size) OVER (ORDER BY imp DESC, mem_id ROWS UNBOUNDED PRECEDING) <= 6000",
+    f"WITH m AS (SELECT mem_id, coalesce({sql_unit('importance')}, 0.5) AS imp, length(content) AS size FROM memories WHERE deleted_at IS NULL) SELECT mem_id FROM m QUALIFY sum(size) OVER (ORDER BY imp DESC, mem_id ROWS UNBOUNDED PRECEDING) <= 6000",
 )
 def win_8(spark: SparkSession, d: str) -> DataFrame:
     m = live(_memories(spark, d)).select("mem_id", F.coalesce(unit_interval("importance"), F.lit(0.5)).alias("imp"), F.char_length("content").alias("size"))
-    top = m.orderBy(F.desc("imp"), "mem_id").limit(500)
-    return L.prefix_budget(top, [F.desc("imp"), F.asc("mem_id")], "size", 6_000).select("mem_id")
+    return L.prefix_budget(m, [F.desc("imp"), F.asc("mem_id")], "size", 6_000).select("mem_id")
 
 
 _MSGS = """msgs AS (SELECT coalesce(meta.session_id, '') AS session, entry_id * 2 AS turn, 'user' AS role, user_text AS content FROM daily_log WHERE user_text <> ''
@@ -613,15 +619,18 @@ def set_4(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(
     "set_5",
-    """WITH m AS (SELECT path, min(doc_id) AS lo, max(doc_id) AS hi FROM documents WHERE path IS NOT NULL AND text IS NOT NULL GROUP BY path),
-b AS (SELECT path, sha256(text) AS h FROM documents JOIN m USING (path) WHERE doc_id = lo AND doc_id % 3 <> 0), a AS (SELECT path, sha256(text) AS h FROM documents JOIN m USING (path) WHERE doc_id = hi AND doc_id % 5 <> 0)
+    """WITH d AS (SELECT *, created_at < (SELECT min(created_at) + (max(created_at) - min(created_at)) / 2 FROM documents) AS old FROM documents WHERE path IS NOT NULL AND text IS NOT NULL AND created_at IS NOT NULL),
+b AS (SELECT path, sha256(arg_max(text, doc_id)) AS h FROM d WHERE old GROUP BY path), a AS (SELECT path, sha256(arg_max(text, doc_id)) AS h FROM d WHERE NOT old GROUP BY path)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS state FROM b FULL JOIN a ON a.path = b.path""",
 )
 def set_5(spark: SparkSession, d: str) -> DataFrame:
-    """First and last document of a path as two scans of a tree."""
-    docs = read(spark, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL")
-    pick = lambda f, n: docs.groupBy("path").agg(f(F.struct("doc_id", "text")).alias("x")).filter(F.col("x.doc_id") % n != 0).select("path", K.manifest_hash(F.col("x.text")).alias("hash"))
-    return K.manifest_diff(pick(F.min, 3), pick(F.max, 5))
+    """Documents of the first and of the second half of the time as two scans of a tree."""
+    all_ = read(spark, d, "documents")
+    at = F.unix_micros("created_at")
+    cut = F.broadcast(all_.agg((F.min(at) + F.floor((F.max(at) - F.min(at)) / 2)).alias("cut")))  # one row
+    docs = all_.filter("path IS NOT NULL AND text IS NOT NULL AND created_at IS NOT NULL").join(cut).withColumn("old", at < F.col("cut"))
+    pick = lambda old: docs.filter("old" if old else "NOT old").groupBy("path").agg(F.max_by("text", "doc_id").alias("text")).select("path", K.manifest_hash(F.col("text")).alias("hash"))
+    return K.manifest_diff(pick(True), pick(False))
 
 
 @C.add("set_6", "SELECT project_id FROM memories INTERSECT SELECT project_id FROM documents")

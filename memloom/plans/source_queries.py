@@ -75,12 +75,18 @@ def src_7(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(
     "src_9",
-    "SELECT vec_id AS id, 'imported' AS project_id FROM embeddings WHERE label < 5",
+    """WITH n AS (SELECT mem_id AS id FROM memories), e AS (SELECT from_id AS src, to_id AS dst FROM memory_links WHERE from_id IN (FROM n) AND to_id IN (FROM n))
+SELECT 'imported' AS project_id, (SELECT count(*) FROM n) AS nodes, src, dst, count(*) AS edges FROM e GROUP BY src, dst""",
 )
 def src_9(spark: SparkSession, d: str) -> DataFrame:
-    nodes = read(spark, d, "embeddings").filter("label < 5").select(F.col("vec_id").alias("id"))
-    edges = nodes.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    return readers.import_graph(nodes, edges, "imported")[0].select("id", "project_id")
+    """Memories and links as the JSON lines of another tool's graph, read back and imported with their edges."""
+    path = _folder(spark, "graph")
+    read(spark, d, "memories").select(F.col("mem_id").alias("id"), F.col("mem_key").alias("label")).write.json(f"{path}/nodes")
+    read(spark, d, "memory_links").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("kind").alias("label")).write.json(f"{path}/edges")
+    back = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    nodes, edges = readers.import_graph(back("nodes", "id long, label string"), back("edges", "src long, dst long, label string"), "imported")
+    count = F.broadcast(nodes.agg(F.count("*").alias("nodes")))  # one row
+    return edges.groupBy("project_id", "src", "dst").agg(F.count("*").alias("edges")).join(count).select("project_id", "nodes", "src", "dst", "edges")
 
 
 @C.add("src_10", "SELECT lesson_id AS query, len(source_ids)::bigint AS expected FROM lessons WHERE len(source_ids) > 0")
