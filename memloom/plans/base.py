@@ -16,9 +16,11 @@ class Catalog:
 
     def __init__(self) -> None:
         self.QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-        self.ORACLES: dict[str, str] = {}
+        self.ORACLES: dict[str, str | Callable[[], str]] = {}
+
+    def add(self, name: str, sql: str | Callable[[], str] | None = None):
+        """Registers a query and its SQL, or what makes the SQL once all modules are loaded."""
 
-    def add(self, name: str, sql: str | None = None):
         def register(f: Callable[[SparkSession, str], DataFrame]):
             if name in self.QUERIES:
                 raise ValueError(f"{name} stands twice")

@@ -97,13 +97,29 @@ def fn_8(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.substring(F.sha2("chunk", 256), 1, 16).alias("digest"))
 
 
-@C.add("fn_9")
+@C.add(
+    "fn_9",
+    """WITH d AS (SELECT doc_id, '// ' || path || CASE WHEN coalesce(title, '') <> '' THEN ' :: ' || title ELSE '' END AS head, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND path IS NOT NULL),
+r AS (SELECT doc_id, head, l, list_transform(range(1, len(l) + 1), lambda i: length(head || chr(10) || array_to_string(l[1:i], chr(10))) <= 1500) AS ok FROM d)
+SELECT doc_id, CASE WHEN ok[1] THEN head || chr(10) || array_to_string(l[1:len(list_filter(ok, lambda x: x))], chr(10)) ELSE head END AS chunk FROM r""",
+)
 def fn_9(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").filter("text IS NOT NULL AND path IS NOT NULL")
     return docs.select("doc_id", X.scoped_chunk("path", F.coalesce("title", F.lit("")), "text").alias("chunk"))
 
 
-@C.add("fn_10")
+# token by token: what stands at odd places is white space or the other way round, so the word before is two places back
+_MASKED = r"""CASE WHEN NOT regexp_full_match(x, '\S+') THEN x
+WHEN i > 2 AND lower(t[i - 2]) = 'bearer' AND NOT coalesce(i > 4 AND lower(t[i - 4]) = 'bearer' AND lower(x) <> 'bearer', false) THEN '[REDACTED:bearer]'
+WHEN starts_with(x, 'sk-') AND length(regexp_replace(substr(x, 4), '[^\p{L}\p{N}_-]', '', 'g')) >= 16 THEN '[REDACTED:sk-key]'
+WHEN regexp_matches(x, '^gh[posu]_') AND length(regexp_replace(substr(x, 5), '[^\p{L}\p{N}]', '', 'g')) >= 20 THEN '[REDACTED:gh-token]'
+WHEN regexp_matches(x, '^\S*?://[^\s/@]*:[^\s/@]*@') THEN regexp_replace(x, '^(\S*?://)[^\s/@]*(@\S*)', '\1[REDACTED]\2')
+WHEN regexp_matches(x, '^(api\.key|vault\.token)[=:]') THEN regexp_replace(x, '^(api\.key|vault\.token)([=:]).*$', '\1\2[REDACTED:vault]')
+WHEN NOT contains(x, '://') AND regexp_matches(x, '(?i)^([^\s=]*_)?(key|token|secret|password|passwd)=') THEN regexp_replace(x, '(?i)^((?:[^\s=]*_)?(?:key|token|secret|password|passwd))=.*$', '\1=[REDACTED]')
+ELSE x END"""
+
+
+@C.add("fn_10", f"SELECT doc_id, array_to_string(list_transform(t, lambda x, i: {_MASKED}), '') AS masked FROM (SELECT doc_id, regexp_extract_all(text, '\\S+|\\s+') AS t FROM documents)")
 def fn_10(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", X.mask_secrets("text", ["api.key", "vault.token"]).alias("masked"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import scoring as S
@@ -11,6 +11,7 @@ from memloom.operators import graph as G
 from memloom.operators import lifecycle as L
 from memloom.operators import parsers
 from memloom.operators import search as R
+from memloom.operators.ordering import global_rank
 from memloom.operators.similarity import nth_of
 from memloom.plans.base import SQL_GRAPH, Catalog, read
 from memloom.plans.relational_queries import _DEG, _ENTRY, _HUBS, _USAGE, NO_HUBS, USAGE
@@ -31,24 +32,24 @@ def _weighted(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", (S.kind_weight("label") * F.col("weight")).alias("w"))
 
 
-def _rank_sql(iterations: int, arcs: str, d: float = 0.85) -> str:
-    """PageRank unrolled: arcs (src, dst, w), seeds (id)."""
+def rank_sql(iterations: int, arcs: str, d: float = 0.85, *, seeds: str = "seeds", p0: str = "1.0::double / count(*) OVER ()", x: str = "") -> str:
+    """PageRank unrolled: arcs (src, dst, w), seeds (id); the last table is r<iterations>, names end on ``x``."""
     out = [
-        f"a0 AS ({arcs})",
-        "arcs AS (SELECT src, dst, sum(w / total) AS p FROM a0 JOIN (SELECT src, sum(w) AS total FROM a0 WHERE w > 0 GROUP BY src) USING (src) WHERE w > 0 GROUP BY src, dst)",
-        "p0 AS (SELECT id, 1.0::double / count(*) OVER () AS p0 FROM seeds)",
-        "r0 AS (SELECT id, p0 AS rank FROM p0)",
+        f"a0{x} AS ({arcs})",
+        f"arcs{x} AS (SELECT src, dst, sum(w / total) AS p FROM a0{x} JOIN (SELECT src, sum(w) AS total FROM a0{x} WHERE w > 0 GROUP BY src) USING (src) WHERE w > 0 GROUP BY src, dst)",
+        f"p0{x} AS (SELECT id, {p0} AS p0 FROM {seeds})",
+        f"r0{x} AS (SELECT id, p0 AS rank FROM p0{x})",
     ]
     for i in range(1, iterations + 1):
-        out.append(f"m{i} AS MATERIALIZED (SELECT dst AS id, {d} * sum(rank * p) AS rank FROM r{i - 1} JOIN arcs ON src = id GROUP BY dst)")
-        out.append(f"r{i} AS MATERIALIZED (SELECT id, sum(rank) AS rank FROM (SELECT * FROM m{i} UNION ALL SELECT id, p0 * (1 - coalesce((SELECT sum(rank) FROM m{i}), 0)) FROM p0) GROUP BY id)")
+        out.append(f"m{i}{x} AS MATERIALIZED (SELECT dst AS id, {d} * sum(rank * p) AS rank FROM r{i - 1}{x} JOIN arcs{x} ON src = id GROUP BY dst)")
+        out.append(f"r{i}{x} AS MATERIALIZED (SELECT id, sum(rank) AS rank FROM (SELECT * FROM m{i}{x} UNION ALL SELECT id, p0 * (1 - coalesce((SELECT sum(rank) FROM m{i}{x}), 0)) FROM p0{x}) GROUP BY id)")
     return ", ".join(out)
 
 
-_ARCS = f"SELECT src, dst, {_KIND} * weight AS w FROM edges"
+KIND_ARCS = _ARCS = f"SELECT src, dst, {_KIND} * weight AS w FROM edges"
 
 
-@C.add("gr_1", f"{G_}, {_SEEDED}, {_rank_sql(20, _ARCS)} SELECT id, round(rank, 6) AS rank FROM r20")
+@C.add("gr_1", f"{G_}, {_SEEDED}, {rank_sql(20, _ARCS)} SELECT id, round(rank, 6) AS rank FROM r20")
 def gr_1(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d)
     return G.pagerank(_weighted(e), _seeds(e).withColumn("weight", F.lit(1.0))).select("id", F.round("rank", 6).alias("rank"))
@@ -60,7 +61,7 @@ _GONE = "gone AS (SELECT DISTINCT dst AS id FROM edges WHERE label = 'supersedes
 @C.add(
     "gr_2",
     f"""{G_}, {_GONE}, seeds AS (SELECT DISTINCT src AS id FROM edges WHERE src NOT IN (FROM gone) ORDER BY 1 LIMIT 3),
-{_rank_sql(20, _ARCS + ' WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone)')} SELECT id, round(rank, 6) AS rank FROM r20""",
+{rank_sql(20, _ARCS + ' WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone)')} SELECT id, round(rank, 6) AS rank FROM r20""",
 )
 def gr_2(spark: SparkSession, d: str) -> DataFrame:
     e = graph_edges(spark, d)
@@ -86,7 +87,7 @@ def gr_3(spark: SparkSession, d: str) -> DataFrame:
 @C.add(
     "gr_4",
     f"""{G_}, top AS (SELECT id FROM nodes ORDER BY importance DESC, updated_at DESC, id LIMIT 500),
-seeds AS (SELECT id FROM top ORDER BY id LIMIT 3), {_rank_sql(20, _ARCS + ' WHERE src IN (FROM top) AND dst IN (FROM top)')} SELECT id, round(rank, 6) AS rank FROM r20""",
+seeds AS (SELECT id FROM top ORDER BY id LIMIT 3), {rank_sql(20, _ARCS + ' WHERE src IN (FROM top) AND dst IN (FROM top)')} SELECT id, round(rank, 6) AS rank FROM r20""",
 )
 def gr_4(spark: SparkSession, d: str) -> DataFrame:
     n = graph_nodes(spark, d)
@@ -219,7 +220,7 @@ def file_graph(n: DataFrame, e: DataFrame) -> DataFrame:
     return j.filter("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").cast("double").alias("w"))
 
 
-@C.add("gr_15", f"{G_}, {_FILES}, seeds AS (SELECT src AS id FROM fe UNION SELECT dst FROM fe), {_rank_sql(20, 'SELECT * FROM fe')} SELECT id AS file_path, round(rank, 6) AS rank FROM r20")
+@C.add("gr_15", f"{G_}, {_FILES}, seeds AS (SELECT src AS id FROM fe UNION SELECT dst FROM fe), {rank_sql(20, 'SELECT * FROM fe')} SELECT id AS file_path, round(rank, 6) AS rank FROM r20")
 def gr_15(spark: SparkSession, d: str) -> DataFrame:
     """Files ranked over their links, all alike as seeds."""
     n = graph_nodes(spark, d)
@@ -228,20 +229,25 @@ def gr_15(spark: SparkSession, d: str) -> DataFrame:
     return G.pagerank(fe, seeds).select(F.col("id").alias("file_path"), F.round("rank", 6).alias("rank"))
 
 
-@C.add("top_6")
+@C.add(
+    "top_6",
+    f"""{G_}, {_HUBS}, {_FILES}, seeds AS (SELECT src AS id FROM fe UNION SELECT dst FROM fe), {rank_sql(20, 'SELECT * FROM fe')},
+t AS (SELECT id AS file_path, round(rank, 6) AS rank, (id IN (SELECT file_path FROM nodes WHERE nodes.id IN (SELECT id FROM hubs)))::int AS hub FROM r20)
+SELECT file_path, rank FROM t QUALIFY sum(length(file_path) + 20) OVER (ORDER BY hub DESC, rank DESC, file_path ROWS UNBOUNDED PRECEDING) <= 4000""",
+)
 def top_6(spark: SparkSession, d: str) -> DataFrame:
     """Files in order of rank, those with hubs first, as many as a budget of characters allows."""
     n = graph_nodes(spark, d)
     e = graph_edges(spark, d, n)
     hub_files = G.hubs(n, e, NO_HUBS).select("file_path", F.lit(1).alias("hub")).distinct()
     ranked = gr_15(spark, d).join(hub_files, "file_path", "left").fillna(0, ["hub"])
-    blocks = ranked.withColumn("size", F.char_length("file_path") + 20).orderBy(F.desc("hub"), F.desc("rank"), "file_path").limit(1_000)
+    blocks = ranked.withColumn("size", F.char_length("file_path") + 20)
     return L.prefix_budget(blocks, [F.desc("hub"), F.desc("rank"), F.asc("file_path")], "size", 4_000).select("file_path", "rank")
 
 
 @C.add(
     "gr_16",
-    f"""{G_}, {_SEEDED}, {_rank_sql(20, _ARCS)}, hits AS (SELECT id, rank AS score FROM r20), f AS (SELECT id, score, max(score) OVER () AS best, lag(score) OVER (ORDER BY score DESC, id) AS prev FROM hits),
+    f"""{G_}, {_SEEDED}, {rank_sql(20, _ARCS)}, hits AS (SELECT id, rank AS score FROM r20), f AS (SELECT id, score, max(score) OVER () AS best, lag(score) OVER (ORDER BY score DESC, id) AS prev FROM hits),
 c AS (SELECT id, max((score < 0.15 * best OR coalesce(prev > 0 AND (prev - score) / prev > 0.5, false) OR best <= 0)::int) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS cut FROM f)
 SELECT c.id, n.label, e.dst, round(e.weight, 6) AS weight FROM c JOIN nodes n ON n.id = c.id LEFT JOIN (SELECT src, dst, label, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, label, dst) AS r FROM edges) e ON e.src = c.id AND e.r <= 5 WHERE cut = 0""",
 )
@@ -294,7 +300,13 @@ def _import_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat_ws("#", F.col("doc_id").cast("string"), "m").alias("id"), "src", F.concat(F.lit("module:"), F.translate("m", "/", ".")).alias("dst"))
 
 
-@C.add("gr_19")
+@C.add(
+    "gr_19",
+    """WITH e AS (SELECT DISTINCT doc_id, path, unnest(regexp_extract_all(text, '([a-z]+/[a-z]+/[a-z_0-9]+)[.](?:py|ts|rs|go|sql)', 1)) AS m FROM documents WHERE path IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT e.*, f.n * 2 + g.n AS pos, f.f || m || g.e AS p FROM e, (VALUES (0, 'backend/app/services/'), (1, 'backend/app/'), (2, 'backend/'), (3, 'app/'), (4, '')) f(n, f), (VALUES (0, '.py'), (1, '/__init__.py')) g(n, e)),
+h AS (SELECT doc_id, m, arg_min(p, pos) AS p FROM c WHERE p IN (SELECT path FROM documents) GROUP BY ALL)
+SELECT e.doc_id || '#' || e.m AS id, 'file:' || path AS src, coalesce('file:' || h.p, 'module:' || replace(e.m, '/', '.')) AS dst, h.p IS NOT NULL AS resolved FROM e LEFT JOIN h ON h.doc_id = e.doc_id AND h.m = e.m""",
+)
 def gr_19(spark: SparkSession, d: str) -> DataFrame:
     files = read(spark, d, "documents").filter("path IS NOT NULL").select("path").distinct()
     return K.resolve_imports(_import_edges(spark, d), files)
@@ -352,13 +364,13 @@ def gr_24(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("id").alias("dst"), F.col("label").alias("target")).join(named, "dst").select("source", "relation", "target")
 
 
-@C.add("xo_16", f"{G_}, {_SEEDED}, {_rank_sql(20, _ARCS)}, r AS (SELECT id, row_number() OVER (ORDER BY round(rank, 9) DESC, id) AS rank FROM r20) SELECT count(*) AS expected, round(avg(coalesce(1.0 / r.rank, 0)), 6) AS mrr FROM (SELECT DISTINCT dst AS id FROM edges WHERE src IN (FROM seeds)) g LEFT JOIN r USING (id)")
+@C.add("xo_16", f"{G_}, {_SEEDED}, {rank_sql(20, _ARCS)}, r AS (SELECT id, row_number() OVER (ORDER BY round(rank, 9) DESC, id) AS rank FROM r20) SELECT count(*) AS expected, round(avg(coalesce(1.0 / r.rank, 0)), 6) AS mrr FROM (SELECT DISTINCT dst AS id FROM edges WHERE src IN (FROM seeds)) g LEFT JOIN r USING (id)")
 def xo_16(spark: SparkSession, d: str) -> DataFrame:
     """Where the seeds' own neighbours stand in the ranking."""
     e = graph_edges(spark, d)
     seeds = F.broadcast(_seeds(e))  # 3 rows
     ranks = G.pagerank(_weighted(e), seeds.withColumn("weight", F.lit(1.0)))
-    placed = ranks.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("rank", 9)), "id")))
+    placed = global_rank(ranks.select("id", F.round("rank", 9).alias("r")), [F.desc("r"), F.asc("id")])
     want = e.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
     return want.join(placed, "id", "left").agg(F.count("*").alias("expected"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 

@@ -17,9 +17,10 @@ from memloom.operators import replica as P
 from memloom.operators import search as R
 from memloom.operators import sessions as T
 from memloom.operators.similarity import approximate_recall, best_neighbour
+from memloom.plans.graph_queries import rank_sql
 from memloom.plans.base import AS_OF, SQL_GRAPH, Catalog, read, sql_trim, sql_unit
 from memloom.plans.relational_queries import _BEST, _FACTS, _MAPPING, _MSGS, _PAIRS, _SLOTS, _STATS, USAGE, canonical_mapping, close_memories, facts, memory_stats, slots
-from memloom.plans.search_queries import _NEAR, _VEC, _bm25_sql, _hybrid, _query_vector, _vectors
+from memloom.plans.search_queries import _NEAR, _VEC, _bm25_sql, _hybrid, _query_vector, _vectors, hits_rank_sql
 from memloom.sources.tables import graph_edges, graph_nodes, live
 
 C = Catalog()
@@ -385,7 +386,13 @@ def ev_5(spark: SparkSession, d: str) -> DataFrame:
     return E.set_f1(live(links), links.filter("weight >= 0.3"), ["from_id", "to_id"])
 
 
-@C.add("ev_6")
+@C.add(
+    "ev_6",
+    lambda: f"""{G_}, seeds AS (SELECT DISTINCT src AS id FROM edges ORDER BY 1 LIMIT 3), {rank_sql(20, 'SELECT src, dst, weight AS w FROM edges')},
+u AS (SELECT src, dst, greatest(1e-9, CASE WHEN weight > 0 AND NOT isnan(weight) THEN weight ELSE 0.5 END / greatest(1.0, ln(1.0 + count(*) OVER (PARTITION BY dst)))
+  * least(3.0, 1.0 + ln(1 + access_count) * CASE WHEN access_count < 4 THEN 0.25 ELSE 0.5 END) * (0.1 + 0.9 * trust)) AS w FROM edges JOIN nodes ON nodes.id = dst),
+{rank_sql(20, 'SELECT * FROM u', x='u')} SELECT id, round(r20.rank, 6) AS plain, round(r20u.rank, 6) AS weighted FROM r20 FULL JOIN r20u USING (id)""",
+)
 def ev_6(spark: SparkSession, d: str) -> DataFrame:
     """Ranks with plain against use-weighted edges."""
     n = graph_nodes(spark, d)
@@ -458,7 +465,12 @@ def snk_5(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "daily_log").orderBy(F.desc("entry_id")).limit(100).select("entry_id")
 
 
-@C.add("xo_2")
+@C.add(
+    "xo_2",
+    lambda: f"""WITH {hits_rank_sql()}, t AS (SELECT id, rank FROM r20 ORDER BY rank DESC, id LIMIT 20),
+old AS (SELECT DISTINCT dst AS id FROM edges WHERE label = 'supersedes' AND src <> dst AND src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t))
+SELECT id, round(rank, 6) AS score, {_TRUST} AS trust FROM t JOIN memories ON mem_id = id WHERE (SELECT count(*) FROM old) = (SELECT count(*) FROM t) OR id NOT IN (SELECT id FROM old)""",
+)
 def xo_2(spark: SparkSession, d: str) -> DataFrame:
     """Hits, ranked over links, superseded ones out, with the confidence of what is left."""
     hits = _hybrid(spark, d, 10, 20).select("id", F.col("score").alias("weight"))

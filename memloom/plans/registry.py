@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql() if callable(sql) else sql for m in _MODULES for name, sql in m.ORACLES.items()}

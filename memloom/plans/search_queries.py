@@ -224,7 +224,23 @@ def ret_11(spark: SparkSession, d: str) -> DataFrame:
     return top.select(F.col("mem_id").alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
-@C.add("ret_12")
+def _mmr_sql(k: int) -> str:
+    """Greedy picks unrolled: pool (id, rel, e)."""
+    out = ["sims AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.e IS NULL OR b.e IS NULL THEN 0 ELSE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) END AS s FROM pool a, pool b)"]
+    for i in range(1, k + 1):
+        done = " UNION ALL ".join(f"SELECT id FROM k{j}" for j in range(1, i)) or "SELECT id FROM pool WHERE false"
+        out.append(
+            f"k{i} AS MATERIALIZED (SELECT p.id, {i}::bigint AS pick FROM pool p WHERE p.id NOT IN ({done}) "
+            f"ORDER BY 0.7 * rel - 0.3 * greatest(-1, coalesce((SELECT max(s) FROM sims WHERE a = p.id AND b IN ({done})), -1)) DESC, rel DESC, p.id LIMIT 1)"
+        )
+    return ", ".join(out)
+
+
+@C.add(
+    "ret_12",
+    f"""{_POOL_SQL}, pool AS (SELECT c.id, c.score / greatest(max(c.score) OVER (), 1e-9) AS rel, CASE WHEN {SQL_USABLE} THEN embedding::double[] END AS e FROM c JOIN memories ON mem_id = c.id),
+{_mmr_sql(10)} SELECT '{QUERY}' AS query, id, pick FROM ({' UNION ALL '.join(f'SELECT * FROM k{i}' for i in range(1, 11))})""",
+)
 def ret_12(spark: SparkSession, d: str) -> DataFrame:
     pool = context_pool(spark, d)
     rel = F.col("score") / F.greatest(F.max("score").over(Window.partitionBy()), F.lit(1e-9))
@@ -259,7 +275,14 @@ def ret_14(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("lesson_id", score.alias("score")).orderBy(F.desc("score"), "lesson_id").limit(10)
 
 
-@C.add("ret_15")
+def hits_rank_sql() -> str:
+    """Ranks r20 of personalised PageRank from the hits of the hybrid search, weighted by their scores."""
+    from memloom.plans.graph_queries import KIND_ARCS, rank_sql
+
+    return f"{SQL_GRAPH}, {_HYBRID(10, 20)}, {rank_sql(20, KIND_ARCS, seeds='rrf', p0='score / sum(score) OVER ()')}"
+
+
+@C.add("ret_15", lambda: f"WITH {hits_rank_sql()} SELECT id, round(rank, 6) AS score FROM r20 WHERE id NOT IN (SELECT id FROM rrf) ORDER BY rank DESC, id LIMIT 10")
 def ret_15(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of the hits by personalised PageRank, hits left out."""
     hits = _hybrid(spark, d, 10, 20).select("id", F.col("score").alias("weight"))
