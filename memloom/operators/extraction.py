@@ -77,7 +77,7 @@ def merged_entities(entities: DataFrame, most: int = 1000) -> DataFrame:
     """
     each = entities.groupBy("label", "type", "description").agg(F.count("*").alias("n"))
     upto = running(each.filter("description <> ''").select("label", "type", "description"), ["label", "type"], [F.asc("description")], totals={"upto": (F.char_length("description") + 1).cast("long")})
-    first = upto.filter(F.col("upto") - F.char_length("description") - 1 < most)
+    first = upto.filter(F.col("upto") - F.char_length("description") - 1 <= most)
     text = first.groupBy("label", "type").agg(F.substring(F.array_join(F.array_sort(F.collect_list("description")), " "), 1, most).alias("description"))
     seen = each.groupBy("label", "type").agg(F.sum("n").alias("seen"))
     return seen.join(text, ["label", "type"], "left")

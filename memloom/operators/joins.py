@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.operators.ordering import running
+from memloom.session import materialize
 
 
 def labelled_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -134,3 +135,28 @@ def first_existing(candidates: DataFrame, files: DataFrame, id_col: str, list_co
     """(id, path): of each row's ordered candidate paths the first that exists."""
     each = candidates.select(id_col, F.posexplode(list_col).alias("pos", "path"))
     return each.join(files.select("path").distinct(), "path").groupBy(id_col).agg(F.min_by("path", "pos").alias("path"))
+
+
+#: Rows of a key from which on a join splits it, and how many such keys are broadcast at most.
+HOT_ROWS = 200_000
+_HOT_BROADCAST = 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, hot: DataFrame, *, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys`` where some keys hold very many rows of ``left``.
+
+    ``hot``: keys and ``n``, the rows that each such key has on the left (about).  A hot
+    key falls into one part for every ``HOT_ROWS`` rows, by the hash of column ``by``, and its
+    rows on the right are repeated for each part; so no task gets a whole hot key.
+    Null keys match nothing.  ``how`` is inner or left_semi.
+    """
+    hot, _ = materialize(hot.select(*keys, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("__parts")), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return left.join(right, keys, how)
+    tag = F.broadcast(hot) if n_hot <= _HOT_BROADCAST else hot
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"))
+    parts = F.when(F.col("__parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))
+    a = left.join(tag, keys, "left").withColumn("__part", part).drop("__parts")
+    b = right.join(tag, keys, "left").withColumn("__part", F.explode(parts)).drop("__parts")
+    return a.join(b, [*keys, "__part"], how).drop("__part")
