@@ -4,35 +4,42 @@ Each round replaces the edges by edges towards the smallest neighbour until
 nothing changes; then every record hangs on the smallest identifier of its
 component.  A round is three shuffles whose size is that of the edges.  Nodes
 with very many edges (a hub may hold a third of all) are not gathered in one
-task: their minimum is pre-aggregated, and as fewer than 1 000 nodes can hold
-more than a thousandth of all edge ends, their minima are broadcast.
+task: their minimum is pre-aggregated and their edges meet it part by part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from memloom.session import materialize, release
 
-_HUB_LEAST = 20_000
-_HUBS_MOST = 1_000
+#: Edge ends from which on a node may be too many for one task.
+_HUB_LEAST = 1_000_000
+#: So many hubs at most are broadcast.
+_HUBS_BROADCAST = 100_000
 
 
 def _towards_minimum(arcs: DataFrame, n_arcs: int) -> DataFrame:
     """arcs (u, v) with m, the smallest of u and all v of u."""
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    limit = max(_HUB_LEAST, n_arcs // _HUBS_MOST)
-    if n_arcs <= limit:
-        return arcs.withColumn("m", least)
-    hubs = arcs.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")).filter(F.col("n") > limit)
-    hubs = F.broadcast(hubs.select("u", F.least("m", "u").alias("m")))  # at most n_arcs / limit <= 1 000 rows
-    return arcs.join(hubs, "u", "left_anti").withColumn("m", least).unionByName(arcs.join(hubs, "u"))
-
-
-def _counted(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], int(r["h"] or 0)
+    if n_arcs <= _HUB_LEAST:  # no node has more, so each fits a task
+        return arcs.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
+    least = arcs.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")).withColumn("parts", (F.floor(F.col("n") / _HUB_LEAST) + 1).cast("int"))
+    hubs = least.filter("parts > 1").select("u", "parts")
+    if n_arcs // _HUB_LEAST <= _HUBS_BROADCAST:
+        hubs = F.broadcast(hubs)
+    part = F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"), F.lit(0))
+    spread = arcs.join(hubs, "u", "left").withColumn("part", part).drop("parts")
+    minima = least.select("u", F.least("m", "u").alias("m"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return spread.join(minima, ["u", "part"]).drop("part")
+
+
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, str, tuple[int, int]]:
+    """The edges as a table, its path, and a mark of what they are, taken while they are written."""
+    seen = Observation()
+    marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    table, path = materialize(edges.observe(seen, *marks), name)
+    return table, path, (seen.get["n"], int(seen.get["h"] or 0))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, *, node: str = "node", component: str = "component", max_rounds: int = 60) -> DataFrame:
@@ -44,10 +51,7 @@ def connected_components(edges: DataFrame, a: str, b: str, *, node: str = "node"
     """
     spark = edges.sparkSession
     x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-    now, path = materialize(
-        edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges"
-    )
-    mark = _counted(now)
+    now, path, mark = _written(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
@@ -57,8 +61,7 @@ def connected_components(edges: DataFrame, a: str, b: str, *, node: str = "node"
         # every u > v here, so u's smallest neighbour is at the same time its new root
         small = _towards_minimum(large, mark[0])
         links = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        new, new_path = materialize(links.filter("u <> v").distinct(), "edges")
-        new_mark = _counted(new)
+        new, new_path, new_mark = _written(links.filter("u <> v").distinct(), "edges")
         release(spark, path, large_path)
         now, path = new, new_path
         if new_mark == mark:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.operators.collisions import colliding_pairs, in_sample, split_hot_keys
+from memloom.operators.ordering import partitions_for
 from memloom.llm.components import connected_components
 from memloom.session import materialize, release
 
@@ -108,8 +109,9 @@ def near_duplicates(
     )
     n = reps.count()
     sign = lambda df: df.select("rep", "w").mapInArrow(_signer(segments, components), _ROWS)
-    rows = split_hot_keys(sign(reps), sign(reps.filter(in_sample("rep"))), n * segments * components)
-    met, met_path = materialize(colliding_pairs(rows, sketch_bits), "met")
+    rows = split_hot_keys(sign(reps), sign(reps.filter(in_sample("rep"))))
+    parts = partitions_for(records.sparkSession, n * segments * components)
+    met, met_path = materialize(colliding_pairs(rows, sketch_bits, partitions=parts), "met")
     # first on word numbers, which are short; one word is allowed for equal numbers of different words
     numbered = met.join(reps.select(F.col("rep").alias("a"), F.col("w").alias("wa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("w").alias("wb")), "b")
     alike = F.size(F.array_intersect("wa", "wb")) + 1

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.vectors import usable
+from memloom.operators.ordering import partitions_for
 from memloom.session import materialize
 
 TREES = 26
@@ -33,6 +34,8 @@ _CROWD_SAMPLE = 64
 #: Crowded vectors a block; two blocks meet in a task.
 _BLOCK = 8_192
 _STRIP = 512
+#: Rows of the sorted arrays, of 52 bytes each, that a task holds.
+_ROWS_PER_TASK = 500_000
 #: So many ids of crowded vectors at most are broadcast.
 _CROWD_BROADCAST = 10_000
 
@@ -220,10 +223,12 @@ def most_similar(
     reps, _ = materialize(chosen.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec")), "reps")
     n = reps.count()
     leaf = leaf or max(128, round(2 * n**0.5))
-    # a border between partitions cuts one leaf, so a partition holds many
-    parts = max(1, min(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * trees // (64 * leaf)))
+    # a task holds its part of the arrays in memory, so parts grow in number, not in size; a border
+    # between them cuts one leaf, so a part holds many.  Equal strings are told apart by sketch and id.
+    parts = max(1, min(partitions_for(records.sparkSession, n * trees, _ROWS_PER_TASK), n * trees // (64 * leaf)))
     strings = reps.select("rep", "vec").mapInArrow(_hasher(trees, dim, seed), _ROWS)
-    arrays = strings.repartitionByRange(parts, "tree", "string", "s0").sortWithinPartitions("tree", "string", "s0")
+    order = ["tree", "string", "s0", "id"]
+    arrays = strings.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     met, _ = materialize(arrays.mapInArrow(_leaf_pairs(leaf, sketch_bits), "a long, b long").distinct(), "met")
     crowd = met.filter("a = b").select(F.col("a").alias("rep"))
     n_crowd = crowd.count()

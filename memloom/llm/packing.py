@@ -129,7 +129,8 @@ def pack_documents(
             out.append(pa.table({"pack_name": pa.array([name] * len(c), pa.string()), "container": (key[0].as_py() << 32) + c, "doc": d, "piece": p, "start_token": s, "tokens": n}))
         return pa.concat_tables(out)
 
-    return sized.groupBy("shard").applyInArrow(pack, "pack_name string, container long, doc long, piece long, start_token long, tokens long")
+    # a task a shard: packing is slow against its small input, so shards must not be put together by size
+    return sized.repartition(shards, "shard").groupBy("shard").applyInArrow(pack, "pack_name string, container long, doc long, piece long, start_token long, tokens long")
 
 
 def pack_fill(packed: DataFrame, capacities: DataFrame) -> DataFrame:

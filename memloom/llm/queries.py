@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from memloom.functions.keys import NO_VALUE_WORDS, WHITE_SPACE
 from memloom.llm.components import connected_components, pair_edges
-from memloom.llm.mixing import mix_sources
+from memloom.llm.mixing import mix_sources, usual_spelling
 from memloom.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from memloom.llm.neighbours import most_similar, neighbour_pairs
 from memloom.llm.packing import pack_documents, pack_fill, pack_list
 from memloom.llm.pii import KINDS, find_mentions, lexicon_of, redact
 from memloom.llm.spans import shared_passages, shared_share, sharing_pairs
-from memloom.llm.survivors import choose_survivors, vote_survivors
+from memloom.llm.survivors import choose_survivors, memory_fields, survivor_fields, vote_survivors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,7 +47,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choose_survivors(_read(spark, sf_dir, "memories"), _groups(spark, sf_dir)).select("group_key", "field_name", "from_key")
+    survivors = choose_survivors(_read(spark, sf_dir, "memories"), _groups(spark, sf_dir))
+    return survivor_fields(survivors, list(memory_fields())).select("group_key", "field_name", "from_key")
 
 
 def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,10 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str, **kw) -> tuple[DataFrame, DataFrame]:
-    return mix_sources(_read(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang", _read(spark, sf_dir, "mix_targets"), **kw)
+    source = usual_spelling("source")
+    # the last word of a source's name says what kind of text it is: its domain
+    levels = {"domain": F.regexp_extract(source, "([^_]*)$", 1), "lang": usual_spelling("lang"), "source": source}
+    return mix_sources(_read(spark, sf_dir, "documents"), "doc_id", "text", levels, _read(spark, sf_dir, "mix_targets"), **kw)
 
 
 def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +96,9 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
-def p8_shares_of_fixed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares where the mix must have a size that some sources can't keep up with."""
-    return _mixed(spark, sf_dir, total_tokens=250_000.0)[1]
+def p8_shares_when_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares where a mix must be as large as its sources are together, which small ones can't keep up with even if repeated."""
+    return _mixed(spark, sf_dir, total_tokens="listed")[1]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +131,7 @@ _PICK = lambda name, order, where: (
     f"QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY {order}{_RANK}) = 1"
 )
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_of_fixed_size": p8_shares_of_fixed_size, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_when_short": p8_shares_when_short, "p9_found": p9_found, "p9_share": p9_share}
 ORACLES = {
     "p3_found": f"WITH RECURSIVE {_TREE} SELECT mem_key, group_key FROM groups",
     "p2_found": f"""WITH RECURSIVE {_TREE},

@@ -7,7 +7,8 @@ Anchors that occur in several documents are the nodes of a De Bruijn graph, the
 steps between neighbouring anchors (token pairs with their distance) its edges.
 Paths without branches are compacted through joins with the nodes' degrees; all
 documents on such a path share its text.  The source text at the path's
-coordinates verifies it and decides about passages that reach beyond the path.
+coordinates verifies it, by a digest of its characters, and decides about passages
+that reach beyond the path.
 
 The result is exact: a passage of ``least`` characters holds an anchor, that
 anchor lies on one compacted path, and either the path itself is long enough or
@@ -17,15 +18,22 @@ one of the ``least``-character windows around it is the same in both documents.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.operators.collisions import SAMPLED, in_sample
+from memloom.operators.joins import spread_join
 from memloom.session import materialize
 
 LEAST = 120
 _CHUNK = 1 << 20
 _BLOCK = 2_000
+_ANCHORS = "h long, doc long, at int, nth int"
+#: Rows of an anchor or passage from which on they are spread over tasks; and how many such anchors are broadcast at most.
+_HOT_ROWS = 65_536
+_HOT_BROADCAST = 100_000
 
 
 def _anchor_size(least: int) -> tuple[int, int]:
@@ -169,22 +177,42 @@ def _repeated(batches: Iterable) -> Iterator:
         yield from held[0].combine_chunks().to_batches()
 
 
-def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, *, least: int = LEAST) -> DataFrame:
-    """(h, doc, at, nth): occurrences of the anchors that stand in more than one document."""
+def _hot_anchors(source: DataFrame, k: int, s: int) -> DataFrame:
+    """(h, n): anchors of very many documents and about how often they stand, told by one document in 32.
+
+    What is counted in the sample stands in several documents for sure; that others stay
+    untold changes how work is spread and nothing else.
+    """
+    sampled = source.filter(in_sample("doc")).mapInArrow(_occurrences(k, s), _ANCHORS)
+    counts = sampled.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("e"))
+    return counts.filter((F.col("n") > _HOT_ROWS // SAMPLED) & (F.col("d") != F.col("e"))).select("h", (F.col("n") * SAMPLED).alias("n"))
+
+
+def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, *, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(h, doc, at, nth): occurrences of the anchors that stand in more than one document; and (h, n) of the hot ones."""
     k, s = _anchor_size(least)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     source = source.filter((F.char_length("text") >= least) & F.col("doc").isNotNull())
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "h long, doc long, at int, nth int"
-    found = source.mapInArrow(_occurrences(k, s), schema)
-    return found.repartition(n, "h").sortWithinPartitions("h", "doc").mapInArrow(_repeated, schema)
-
-
-def compact_paths(anchors: DataFrame, k: int) -> DataFrame:
+    found = source.mapInArrow(_occurrences(k, s), _ANCHORS)
+    hot, _ = materialize(_hot_anchors(source, k, s), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return found.repartition(n, "h").sortWithinPartitions("h", "doc").mapInArrow(_repeated, _ANCHORS), hot
+    # hot anchors are known to be repeated and need not meet
+    tag = hot.select("h", F.lit(True).alias("hot"))
+    tagged = found.join(F.broadcast(tag) if n_hot <= _HOT_BROADCAST else tag, "h", "left")
+    tagged, _ = materialize(tagged, "anchors")
+    rest = tagged.filter("hot IS NULL").drop("hot").repartition(n, "h").sortWithinPartitions("h", "doc").mapInArrow(_repeated, _ANCHORS)
+    return rest.unionByName(tagged.filter("hot").drop("hot")), hot
+
+
+def compact_paths(anchors: DataFrame, k: int, hot: DataFrame) -> DataFrame:
     """(path, doc, start, stop): the branchless paths of repeated anchors, at each place where they occur.
 
     A node's neighbours are compared by (anchor, distance); a text that begins,
     ends or goes on with an anchor of its own at a node makes that node a branch.
+    ``hot``: (h, n) of the anchors that stand in very many places.
     """
     order = Window.partitionBy("doc").orderBy("nth")
     step = lambda f: F.when(F.abs(f("nth").over(order) - F.col("nth")) == 1, F.xxhash64(f("h").over(order), F.abs(f("at").over(order) - F.col("at"))))
@@ -193,7 +221,7 @@ def compact_paths(anchors: DataFrame, k: int) -> DataFrame:
     nodes = walked.groupBy("h").agg(
         F.coalesce(single("before"), F.lit(False)).alias("one_in"), F.coalesce(single("after"), F.lit(False)).alias("one_out")
     )
-    placed = walked.select("h", "doc", "at", "nth").join(nodes, "h")
+    placed = spread_join(walked.select("h", "doc", "at", "nth"), nodes, ["h"], "doc", hot)
     joined = F.coalesce(F.col("one_in") & F.lag("one_out").over(order) & (F.lag("nth").over(order) == F.col("nth") - 1), F.lit(False))
     runs = placed.withColumn("run", F.sum(F.when(joined, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("doc", "run").agg(
@@ -211,19 +239,18 @@ def _windows(least: int, k: int, flanks: bool):
         for batch in batches:
             cols = ([], [], [], [], [])
 
-            def add(path, key, doc, start, stop):
-                for c, x in zip(cols, (np.full(len(key), path), key.view(np.int64), np.full(len(key), doc), start, stop)):
-                    c.append(x)  # noqa: B023
+            def add(path, doc, code, start, size):
+                n = len(start)
+                cols[1].extend(_digest(code[a : a + size]) for a in start.tolist())  # noqa: B023
+                for i, x in ((0, np.full(n, path)), (2, np.full(n, doc)), (3, start), (4, start + size)):
+                    cols[i].append(x)  # noqa: B023
 
             for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 code = _codes(text)
-                level = _levels(code, max(least, max(x["stop"] - x["start"] for x in spans)))
-                hashes = _substring_hashes(level, least)
                 for x in spans:
                     a, b = x["start"], x["stop"]
                     if b - a >= least:
-                        key = _span_hash(level, a, b)
-                        add(x["path"], np.array([key], np.uint64), doc, np.array([a]), np.array([b]))
+                        add(x["path"], doc, code, np.array([a]), b - a)
                         reach = []
                         if flanks:  # windows with the first or the last anchor that go beyond the path
                             reach = [np.arange(max(0, a + k - least), a), np.arange(b - least + 1, min(b - k, len(code) - least) + 1)]
@@ -232,26 +259,21 @@ def _windows(least: int, k: int, flanks: bool):
                         reach = [np.arange(max(0, low), min(high, len(code) - least) + 1)]
                     for at in reach:
                         if len(at):
-                            add(x["path"], hashes[at], doc, at, at + least)
+                            add(x["path"], doc, code, at, least)
             if cols[0]:
-                arrays = [pa.array(np.concatenate(c).astype(np.int32 if i > 2 else np.int64)) for i, c in enumerate(cols)]
+                arrays = [pa.array(c, pa.binary()) if i == 1 else pa.array(np.concatenate(c).astype(np.int32 if i > 2 else np.int64)) for i, c in enumerate(cols)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["path", "key", "doc", "start", "stop"])
 
     return windows
 
 
-def _span_hash(level, a: int, b: int):
-    """Hash of code points a..b of the text whose levels are given."""
-    out, at, mask = 0, a, 2**64 - 1
-    for i in reversed(range(len(level))):
-        if (b - a) >> i & 1:
-            out = (out * 0xD6E8FEB86659FD93 + int(level[i][at])) & mask
-            at += 1 << i
-    return out
+def _digest(code) -> bytes:
+    """128 bits of a cryptographic digest of the characters themselves: equal digests are equal texts."""
+    return blake2b(code.tobytes(), digest_size=16).digest()
 
 
 def shared_passages(docs: DataFrame, id_col: str, text_col: str, *, least: int = LEAST, flanks: bool = False) -> DataFrame:
-    """(path, key, doc, start, stop) of passages that stand in two documents at least; equal (path, key): equal text.
+    """(path, key, doc, start, stop) of passages that stand in two documents at least; equal (path, key): equal text, as ``key`` is a digest of its characters.
 
     With ``flanks`` the passages of a document together are all that it shares;
     without, every two documents that share a passage have a (path, key) in common.
@@ -259,13 +281,17 @@ def shared_passages(docs: DataFrame, id_col: str, text_col: str, *, least: int =
     one document.
     """
     k, _ = _anchor_size(least)
-    anchors, _ = materialize(repeated_anchors(docs, id_col, text_col, least=least), "anchors")
-    paths = compact_paths(anchors, k).groupBy("doc").agg(F.collect_list(F.struct("path", "start", "stop")).alias("spans"))  # bounded by the text
+    anchors, hot = repeated_anchors(docs, id_col, text_col, least=least)
+    anchors, _ = materialize(anchors, "anchors")
+    paths = compact_paths(anchors, k, hot).groupBy("doc").agg(F.collect_list(F.struct("path", "start", "stop")).alias("spans"))  # bounded by the text
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).filter(F.char_length("text") >= least)
-    schema = "path long, key long, doc long, start int, stop int"
+    schema = "path long, key binary, doc long, start int, stop int"
     keys, _ = materialize(source.join(paths, "doc").select("doc", "text", "spans").mapInArrow(_windows(least, k, flanks), schema), "keys")
-    shared = keys.groupBy("path", "key").agg(F.min("doc").alias("d"), F.max("doc").alias("e")).filter("d <> e").select("path", "key")
-    return keys.join(shared, ["path", "key"], "left_semi")
+    shared = keys.groupBy("path", "key").agg(F.min("doc").alias("d"), F.max("doc").alias("e"), F.count("*").alias("n")).filter("d <> e")
+    if hot.isEmpty():  # a passage stands no more often than its anchors
+        return keys.join(shared, ["path", "key"], "left_semi")
+    shared, _ = materialize(shared.select("path", "key", "n"), "shared")
+    return spread_join(keys, shared.select("path", "key"), ["path", "key"], "doc", shared.filter(F.col("n") > _HOT_ROWS).select("path", "key", "n"), how="left_semi")
 
 
 def sharing_pairs(passages: DataFrame) -> DataFrame:
@@ -279,7 +305,8 @@ def sharing_pairs(passages: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(3), "doc").cast("decimal(38,0)")).alias("y")
     )
     chosen = sets.groupBy("n", "x", "y").agg(F.min(F.struct("path", "key")).alias("g")).select("n", "g.path", "g.key")
-    members = held.join(chosen, ["path", "key"])
+    chosen, _ = materialize(chosen, "chosen")
+    members = spread_join(held, chosen, ["path", "key"], "doc", chosen.filter(F.col("n") > _HOT_ROWS).select("path", "key", "n"))
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
     members = members.withColumns({"own": F.pmod(F.xxhash64("doc"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     left = members.select("path", "key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("doc").alias("a"))

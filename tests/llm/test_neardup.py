@@ -35,7 +35,6 @@ def brute(rows):
 @pytest.mark.parametrize("hot", [8192, 32])
 def test_against_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(collisions, "_HOT_LEAST", hot)
-    monkeypatch.setattr(collisions, "_SPLITS_MOST", 10**9)
     rows = texts(300, hot)
     df = spark.createDataFrame(rows, "mem_id long, words string").selectExpr("mem_id", "words", "'x' AS id", "1 AS rep")
     pairs, members = near_duplicates(df, "mem_id", "words")

@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from memloom.llm.survivors import choose_survivors, vote_survivors
+from memloom.llm.survivors import choose_survivors, memory_fields, survivor_fields, vote_survivors
 
 SCHEMA = "mem_id long, mem_key string, content string, category string, importance double, trust double, source string, updated_at timestamp, deleted_at timestamp, project_id string, group_key string"
 DAY = lambda d: datetime(2026, 1, d)
@@ -23,8 +23,12 @@ def frames(spark, rows=ROWS):
     return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(GROUPS, "mem_key string, group_key string")
 
 
+def chosen(memories, groups):
+    return survivor_fields(choose_survivors(memories, groups), list(memory_fields()))
+
+
 def test_fields_come_from_the_right_members(spark):
-    got = {(r.group_key, r.field_name): r.from_key for r in choose_survivors(*frames(spark)).collect()}
+    got = {(r.group_key, r.field_name): r.from_key for r in chosen(*frames(spark)).collect()}
     assert got == {
         ("g1", "canonical"): "c", ("g1", "content"): "c", ("g1", "source"): "b", ("g1", "project_id"): "b",
         ("g2", "canonical"): "e",
@@ -53,4 +57,4 @@ def test_one_large_group(spark):
         F.lit(None).cast("timestamp").alias("deleted_at"), F.lit("p").alias("project_id"),
     )
     groups = memories.select("mem_key", F.lit("g").alias("group_key"))
-    assert {r.from_key for r in choose_survivors(memories, groups).collect()} == {"k00000"}
+    assert {r.from_key for r in chosen(memories, groups).collect()} == {"k00000"}
