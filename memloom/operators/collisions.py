@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from memloom.session import materialize
 
-_SAMPLED = 32
+#: One id in so many tells where rows pile up.
+SAMPLED = 32
 #: Rows of a key from which on it is split, however many rows there are in all.
 _HOT_LEAST = 8_192
 #: So many hot keys at most are broadcast; more are joined by a shuffle.
@@ -109,7 +110,7 @@ def _compare_runs(most: Sequence[tuple[int, int]]):
 
 def in_sample(id_col: str = "id") -> Column:
     """One id in 32, by hash; used only to tell where rows pile up."""
-    return F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(_SAMPLED)) == 0
+    return F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(SAMPLED)) == 0
 
 
 def split_hot_keys(rows: DataFrame, sampled: DataFrame) -> DataFrame:
@@ -122,8 +123,8 @@ def split_hot_keys(rows: DataFrame, sampled: DataFrame) -> DataFrame:
     they are told only roughly changes how work is spread and nothing else.
     """
     hot = (
-        sampled.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > _HOT_LEAST // _SAMPLED)
-        .select("key", F.ceil(F.col("n") * _SAMPLED / _HOT_LEAST).cast("int").alias("blocks"))
+        sampled.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > _HOT_LEAST // SAMPLED)
+        .select("key", F.ceil(F.col("n") * SAMPLED / _HOT_LEAST).cast("int").alias("blocks"))
     )
     hot, _ = materialize(hot, "hot")
     n_hot = hot.count()
