@@ -131,6 +131,8 @@ _PICK = lambda name, order, where: (
     f"QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY {order}{_RANK}) = 1"
 )
 
+_VOTED = ("canonical", "content", "category", "source", "project_id")
+
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_votes": p2_votes, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_when_short": p8_shares_when_short, "p9_found": p9_found, "p9_share": p9_share}
 ORACLES = {
     "p3_found": f"WITH RECURSIVE {_TREE} SELECT mem_key, group_key FROM groups",
@@ -157,4 +159,32 @@ WITH s AS (SELECT DISTINCT doc_id, substr(text, i, 120) AS s FROM (SELECT doc_id
 r AS (SELECT s FROM s GROUP BY s HAVING count(*) > 1),
 d AS (SELECT doc_id, md5_number(s) AS k FROM s SEMI JOIN r USING (s))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.k = b.k AND a.doc_id < b.doc_id""",
+    "p2_votes": f"""WITH RECURSIVE {_TREE},
+members AS (
+  SELECT m.*, g.group_key, CASE WHEN NOT isnan(trust) AND trust BETWEEN 0 AND 1 THEN trust ELSE 0.5 END
+    * pow(0.5, coalesce(greatest(0, (epoch(TIMESTAMP '2026-12-31') - floor(epoch(updated_at))) / 86400.0), 3650.0) / 90.0) AS w,
+    row_number() OVER (ORDER BY {_RANK}) AS place
+  FROM memories m JOIN groups g USING (mem_key) WHERE m.deleted_at IS NULL
+),
+long AS ({' UNION ALL '.join(f"SELECT group_key, '{c}' AS f, {'mem_key' if c == 'canonical' else c} AS v, w, place FROM members WHERE {'true' if c == 'canonical' else _VALUE(c)}" for c in _VOTED)}),
+votes AS (SELECT group_key, f, lower(trim(v, {_WS})) AS norm, round(sum(w), 9) AS votes, arg_min(v, place) AS v, min(place) AS place FROM long GROUP BY ALL),
+won AS (SELECT group_key, f, arg_min(v, (-votes, place)) AS v FROM votes GROUP BY ALL)
+SELECT group_key, {', '.join(f"max(v) FILTER (f = '{c}') AS {c}" for c in _VOTED)} FROM won GROUP BY group_key""",
+    "p6_groups": r"""
+WITH RECURSIVE w AS (SELECT mem_id, list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS w FROM memories WHERE deleted_at IS NULL AND content IS NOT NULL),
+s AS (SELECT mem_id, w, len(w) AS n, min(mem_id) OVER (PARTITION BY w) AS rep FROM w WHERE len(w) >= 12),
+c AS (SELECT * FROM s WHERE mem_id = rep),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n + b.n AS total, len(list_intersect(a.w, b.w)) AS shared FROM c a JOIN c b ON a.rep < b.rep AND 10 * a.n >= 6 * b.n AND 10 * b.n >= 6 * a.n),
+e AS (SELECT a, b FROM p WHERE 5 * shared >= 3 * (total - shared)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(x, root) AS (SELECT DISTINCT a, a FROM ways UNION SELECT b, root FROM reach JOIN ways ON a = x WHERE root < b),
+g AS (SELECT x, min(root) AS group_id FROM reach GROUP BY x)
+SELECT s.mem_id, rep, coalesce(group_id, rep) AS group_id, (SELECT count(*) FROM ways WHERE a = rep) AS links FROM s LEFT JOIN g ON x = rep""",
+    "p9_share": """
+WITH s AS (SELECT doc_id, i, md5_number(substr(text, i, 120)) AS k FROM (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS i FROM documents WHERE length(text) >= 120)),
+r AS (SELECT k FROM s GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+d AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM s SEMI JOIN r USING (k)),
+n AS (SELECT doc_id, sum(CASE WHEN gap IS NULL OR gap > 120 THEN 120 ELSE gap END)::bigint AS shared_chars, count(*) FILTER (gap IS NULL OR gap > 120) AS passages FROM d GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0)::bigint AS n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(passages, 0) AS passages,
+  CASE WHEN length(text) > 0 THEN round(coalesce(shared_chars, 0) / length(text), 6) ELSE 0 END AS shared_share FROM documents LEFT JOIN n USING (doc_id)""",
 }
