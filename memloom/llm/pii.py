@@ -11,6 +11,7 @@ known people; it is handed to the tasks only up to ``LEXICON_MOST`` names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
@@ -26,14 +27,20 @@ _PHONE_WORDS = r"phone|tel|call|mobile|number changed|ring|тел|звон|ко
 _ID_WORDS = r"national id|passport|ssn|tax number|tax id|insurance|identity|паспорт|снилс|инн|полис|steuer-id|ausweis|sozialversicherung|personalausweis|reisepass"
 # Words before a number that is no one's.
 _NUMBER_DECOYS = r"(?:build|rev|revision|offsets?|run id|epoch|version|port|ticket|hash|commit|step|rows|line|строка|zeile|lane|release|выпуска|ausgabe|версии)\W{0,3}$"
-_STREET_TYPES = r"Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Close|Terrace|Drive|Dr|Place|Pl|Square|Sq|Boulevard|Blvd|Way|Crescent|Grove|Row|Hill|Gardens|Park|Mews|Parade"
+_STREET_TYPES = (
+    r"(?:Street|Road|Avenue|Lane|Court|Close|Terrace|Drive|Place|Square|Boulevard|Way|Crescent|Grove|Row|Hill|Gardens|Park|Mews|Parade)\b"
+    r"|(?:St|Rd|Ave|Ln|Ct|Dr|Pl|Sq|Blvd)\b\.?"
+)
 
 _C = r"[A-Za-zÄÖÜäöüßÀ-ÖØ-öø-ÿА-Яа-яЁё]"
 _UP = r"[A-ZÄÖÜÀ-ÖØ-ÞА-ЯЁ]"
 _NAME = rf"{_C}[{_C[1:-1]}'’-]+"
 _INITIAL = rf"{_C}\."
+# Small words between given and family names.
+_PARTICLE = r"(?:(?:van|von)(?:[ ](?:der|den|dem))?|de(?:[ ](?:la|los|las))?|del|della|di|da|dos|du|bin|ibn|ter|ten)"
 _NAME_SHAPES = (
-    rf"(?P<f1>{_NAME}),[ ](?P<g1>{_NAME}(?:[ ]{_INITIAL})?)"
+    rf"(?P<g5>{_NAME})(?:[ ](?:{_INITIAL}|{_NAME})){{0,3}}?[ ]{_PARTICLE}[ ](?P<f5>{_UP}[{_C[1:-1]}'’-]+)"
+    rf"|(?P<f1>{_NAME}),[ ](?P<g1>{_NAME}(?:[ ]{_INITIAL})?)"
     rf"|(?P<g2>{_NAME})(?:[ ]{_INITIAL}){{0,2}}[ ](?P<f2>{_NAME})"
     rf"|(?P<g3>{_INITIAL}(?:[ ]?{_INITIAL})?)[ ]?(?P<f3>{_NAME})"
     rf"|(?P<f4>{_NAME})[ ](?P<g4>{_INITIAL}(?:[ ]?{_INITIAL})?)(?!\w)"
@@ -55,18 +62,41 @@ _PERSON_CUES = {
 _PHONE_CUES = ("phone ", "phone: ", "tel. ", "tel: ", "tel ", "call me under ", "call ", "mobile ", "number changed to ", "тел. ", "телефон ", "звонить ", "контакт ", "rückruf unter ", "anruf unter ", "fax ")
 _ID_CUES = (
     "national id: ", "national id ", "passport no. ", "passport ", "ssn ", "ssn: ", "tax number ", "tax id ", "паспорт ", "снилс ", "инн ", "steuer-id ", "ausweisnummer ",
-    "personalausweis ", "reisepass ", "lists ",
+    "personalausweis ", "reisepass ",
 )
 _RUSSIAN_CUES = ("ул.", "улица", "пер.", "переулок", "проспект", "пр-т", "просп.", "пр.", "шоссе", "ш.", "бульвар", "бул.", "б-р", "наб.", "набережная", "площадь", "пл.", "проезд", "тупик", "аллея")
 _GERMAN_CUES = ("straße", "strasse", "str.", "weg", "gasse", "allee", "ring", "platz", "ufer", "damm", "steig", "pfad", "chaussee", "markt", "graben", "zeile", "hof")
 # What follows a person's name.
-_PERSON_AFTER = r"[ ]?(?:,[ ](?:phone|tel|тел|[+(]?\d)|[<(][^<>()\s]{1,60}(?:@|\(at\)|[ ]?\[at\]|[ ]@)|fragen\b|wohnt\b|about\b|still\b|lives\b|on[ ]\S*[/:._]|on\b|, \"mail\"|\", \"mail\")"
+_PERSON_AFTER = (
+    r"[ ]?(?:,[ ](?:phone|tel|mobile|тел|моб|handy|[+(]?\d)|[<(][^<>()\s]+(?:@|\(at\)|[ ]?\[at\]|[ ]@)"
+    r"|(?:fragen|anrufen|wohnt|lebt|arbeitet|sagte?|schrieb|about|still|lives|lived|works|worked|said|says|asked|asks|told|wrote|writes|replied|called|joined|signed)\b"
+    r"|(?:живёт|живет|работает|сказала?|написала?|спросила?|ответила?|просит|подписала?)\b|on[ ]\S*[/:._]|on\b|\"?, \"(?:mail|email|phone)\")"
+)
+# Who a person is to others, right before the name.
+_ROLES = (
+    r"(?:manager|boss|colleague|teammate|patient|client|customer|doctor|nurse|teacher|student|lawyer|friend|neighbou?r|wife|husband|brother|sister|mother|father|son|daughter|engineer|developer|"
+    r"maintainer|reviewer|editor|author|owner|founder|director|ceo|cto|secretary|assistant|candidate|applicant|tenant|user|named|called|kolleg(?:e|en|in)|chef|chefin|patient(?:in)?|kund(?:e|en|in)|"
+    r"nachbar(?:in)?|freund(?:in)?|arzt|ärztin|lehrer(?:in)?|коллега|коллеге|начальник|директор|врач|пациент(?:ка)?|клиент(?:ка)?|друг|подруга|сосед(?:ка)?|инженер)[ ,:]{1,2}$"
+)
+# Words before a name that often, but not only, lead to a person.
+_LEADS = r"(?:^|[^\w])(?:to|with|by|from|for|and|tell|told|email|call|contact|meet|met|hi|hello|dear|mit|von|an|für|und|bei|hallo|liebe[r]?|с|от|для|и|к|у)[ ,]{1,2}$"
+# Words before a name that make it one of a thing.
+_THINGS = r"(?:release|version|build|project|product|milestone|codename|service|module|package|library|tool|branch|feature|релиз|версия|выпуск|проект|сервис|ausgabe|projekt|dienst|modul)[ :]{1,2}[\"'«„]?$"
+# Common given names.
+_GIVEN_NAMES = frozenset(
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark paul steven andrew kenneth george edward brian kevin peter henry jack oliver harry "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra emily emma alice grace olivia sophie charlotte lucy helen laura julia anna maria eva clara nina "
+    "hans klaus jürgen wolfgang stefan andreas markus lukas jonas felix max moritz karl heinz petra sabine monika ursula renate heike katrin birgit ingrid greta lena hannah "
+    "josé juan carlos luis miguel pedro carmen isabel lucía pierre jean louis claude marie camille giovanni marco luca giulia francesca ahmed mohammed fatima wei li yuki kenji ravi priya arjun "
+    "иван пётр алексей сергей дмитрий андрей михаил николай владимир александр павел игорь олег юрий борис виктор анна мария елена ольга наталья татьяна ирина светлана екатерина юлия людмила галина дарья вера".split()
+)
 # Words that are no part of a name where a name could stand.
 _NOT_NAMES = frozenset(
-    "the a an of in on at to for with and or but not for by as is was it its this that these those he she we you they i release amber quiet harbor copper lantern relay "
-    "street view das der die den dem des ein eine im am alle laut ohne nach neben seit vor bei innerhalb und oder nicht на по при без до после около вместо через раз ради "
-    "если чтобы внутри во со про и или не указан steht valid read lists still about fragen wohnt see per once under from while when whenever between against following "
-    "during before next outside within since only default project ticket please invoice ship signed reporter thanks ask call my passport national phone".split()
+    "the a an of in on at to for with and or but not by as is was it its this that these those he she we you they i my our your his her "
+    "das der die den dem des ein eine im am alle laut ohne nach neben seit vor bei innerhalb und oder nicht на по при без до после около вместо через раз ради "
+    "если чтобы внутри во со про и или не указан steht read still about fragen wohnt see per once under from while when whenever between against following "
+    "during before next outside within since only default project ticket please invoice ship signed reporter thanks ask call passport national phone "
+    "street road avenue north south east west new saint monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december".split()
 )
 
 
@@ -92,6 +122,20 @@ def inn_ok(d: str) -> bool:
     return sum(a * b for a, b in zip(w[1:], n)) % 11 % 10 == n[10] and sum(a * b for a, b in zip(w, n)) % 11 % 10 == n[11]
 
 
+def snils_ok(d: str) -> bool:
+    """The check number of a Russian insurance number of 11 digits."""
+    return sum((9 - i) * int(c) for i, c in enumerate(d[:9])) % 101 % 100 == int(d[9:])
+
+
+def steuer_id_ok(d: str) -> bool:
+    """The check digit of a German tax number of 11 digits (ISO 7064 mod 11, 10)."""
+    p = 10
+    for c in d[:10]:
+        s = (int(c) + p) % 10 or 10
+        p = 2 * s % 11
+    return d[0] != "0" and (11 - p) % 10 == int(d[10])
+
+
 def never_issued(compact: str) -> bool:
     """True in ranges of identity numbers that are never issued, which stand in for real ones."""
     if re.fullmatch(r"\d{9}", compact):
@@ -138,7 +182,7 @@ _CARD = re.compile(r"(?<![\w.-])(?:\d[ -]?){12,18}\d(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
 _ADDRESS_EN = re.compile(
     r"(?<![\w/.-])(?:(?:Flat|Unit|Apt|Apartment|Suite|Room)\.?[ ]#?\d+[A-Za-z]?(?:,[ ]|[ ]|/))?\d{1,5}[A-Za-z]?(?:[-/]\d+[A-Za-z]?)?[ ]"
-    rf"(?:{_UP}[a-zA-Z'’]+[ ]){{1,3}}(?:{_STREET_TYPES})\b\.?(?:,[ ](?:Apt|Flat|Unit|Suite|Room)\.?[ ]#?\d+[A-Za-z]?)?(?:,[ ]{_UP}[a-z]+(?![\w]))?"
+    rf"(?:{_UP}[a-zA-Z'’]+[ ]){{1,3}}(?:{_STREET_TYPES})(?:,[ ](?:Apt|Flat|Unit|Suite|Room)\.?[ ]#?\d+[A-Za-z]?)?(?:,[ ]{_UP}[a-z]+(?![\w]))?"
 )
 _GERMAN_STREETS = "|".join(map(re.escape, _GERMAN_CUES))
 _ADDRESS_DE = re.compile(
@@ -150,6 +194,18 @@ _ADDRESS_RU = re.compile(
     r"[А-ЯЁ][а-яё-]+(?:[ ][А-ЯЁ][а-яё-]+)?,[ ](?:д\.|дом)?[ ]?\d{1,4}(?:[а-яА-Я](?!\w))?(?:[ ]?/[ ]?\d{1,4})?"
     r"(?:,[ ](?:корп\.|к\.|стр\.)[ ]?\d+)?(?:,[ ](?:кв\.|квартира)[ ]?\d+)?", re.I
 )
+_TO_NAME = r"(?:(?:de[ ]la|de[ ]los|de[ ]las|della|delle|dos|das|des|del|de|du|da|do|d['’]|l['’])[ ]?)?"
+_ADDRESS_ROMANCE = re.compile(
+    rf"(?<![\w/.-])\d{{1,4}}(?:[ ]?(?:bis|ter))?,?[ ](?:rue|avenue|boulevard|quai|allée|impasse|chemin)[ ]{_TO_NAME}{_UP}[\w'’-]+(?:[ -]{_UP}[\w'’-]+){{0,3}}"
+    rf"|(?<![\w/.-])(?:Calle|Avenida|Paseo|Plaza|Carrera|Viale|Piazza|Corso|Rua|Travessa|Praça)[ ]{_TO_NAME}{_UP}[\w'’-]+(?:[ ]{_TO_NAME}{_UP}[\w'’-]+){{0,3}},?[ ](?:n\.?º?[ ]?)?\d{{1,4}}(?![\w.:/])"
+)
+_RU_BEFORE = re.compile(r"(?:кв\.[ ]\d+,[ ]|г\.[ ])$", re.I)
+_UPNAME = rf"{_UP}[{_C[1:-1]}'’-]+"
+_CAPITALS = re.compile(
+    rf"(?<![\w.@/'’-])(?P<given>{_UPNAME})(?:(?:[ ](?:{_UP}\.|{_UPNAME})){{0,3}}?[ ]{_PARTICLE}|(?:[ ]{_UP}\.){{0,2}})[ ](?P<family>{_UPNAME})(?![\w@])"
+)
+_ROLE, _LEAD, _THING = (re.compile(x) for x in (_ROLES, _LEADS, _THINGS))
+_TITLED = re.compile(r"(?:^|[^\w])(?:dr|prof|mr|mrs|ms|herrn?|frau|hr|fr|sir|г-н|г-жа|господин|госпожа)\.?[ ]$")
 _NAMED = re.compile(rf"{_TITLE}(?:{_NAME_SHAPES})(?![\w@])", re.I)
 _AFTER = re.compile(_PERSON_AFTER, re.I)
 _SHAPE = re.compile(rf"(?:{_NAME_SHAPES})(?![\w@])")
@@ -202,7 +258,8 @@ def _numbers(text: str, lower: str) -> Iterator[tuple[int, int, str, float]]:
     for m in _ID.finditer(text):
         a, b = m.span()
         compact = re.sub(r"[ -]", "", m[0])
-        known = never_issued(compact) or (len(compact) == 12 and compact.isdigit() and inn_ok(compact))
+        checked = compact.isdigit() and ((len(compact) == 12 and inn_ok(compact)) or (len(compact) == 11 and (snils_ok if "-" in m[0] else steuer_id_ok)(compact)))
+        known = never_issued(compact) or checked
         score = 0.3 + 0.35 * known + 0.4 * context(a, b, _ID_WORDS) - 0.5 * decoy(a) - 0.3 * context(a, b, _PHONE_WORDS, 0)
         yield a, b, "id_number", score
     for m in _CARD.finditer(text):
@@ -216,7 +273,7 @@ def _numbers(text: str, lower: str) -> Iterator[tuple[int, int, str, float]]:
 
 def _person(text: str, m: re.Match, trust: float, lexicon: Lexicon) -> tuple[int, int, str, float]:
     """The span of the name in a match of the name shapes, scored by case, lexicon and what follows."""
-    parts = [x for x in ("g1", "g2", "g3", "g4", "f1", "f2", "f3", "f4") if m[x]]
+    parts = [x for x in ("g1", "g2", "g3", "g4", "g5", "f1", "f2", "f3", "f4", "f5") if m[x]]
     given, family = sorted(parts, key=lambda x: x[0] == "f")
     a, b = min(map(m.start, parts)), max(map(m.end, parts))
     given, family = m[given], m[family]
@@ -224,22 +281,69 @@ def _person(text: str, m: re.Match, trust: float, lexicon: Lexicon) -> tuple[int
     if f in _NOT_NAMES or g in _NOT_NAMES:
         return a, b, "person", 0.0
     score = trust + (0.15 if family[:1].isupper() else -0.05) + (0.1 if given[:1].isupper() else -0.05)
+    score -= 0.3 * (given[:1].islower() and family[:1].isupper())  # a small word before a capital one
     score += 0.35 * (f in lexicon.family) + (0.3 if g in lexicon.given else 0.1 * (g.endswith(".") and f in lexicon.family))
     score += 0.25 * bool(_AFTER.match(text, b)) + 0.2 * bool(trust and re.search(_ID_WORDS, text[max(0, a - 45) : a].lower()))
     score -= 0.5 * any(x in "_/" or x.isdigit() for x in text[a:b]) + 0.4 * (b < len(text) and text[b] in "_/:\\" and text[b + 1 : b + 2].isalnum())
     return a, b, "person", score
 
 
+def _capitals(text: str, lower: str, lexicon: Lexicon) -> Iterator[tuple[int, int, str, float]]:
+    """Capitalised names, scored by what stands around them and by known given names; no cue need come before."""
+    at = 0
+    while m := _CAPITALS.search(text, at):
+        a, b = m.span()
+        at = m.end("given")
+        given, family = m["given"].lower(), m["family"].lower()
+        if given in _NOT_NAMES or family in _NOT_NAMES:
+            continue
+        known = given in _GIVEN_NAMES or given in lexicon.given
+        while known and family in _GIVEN_NAMES and (more := _NEXT_NAME.match(text, b)):  # second given names
+            b, family = more.end(), more[1].lower()
+        before = lower[max(0, a - 32) : a]
+        score = 0.25 + 0.4 * known + 0.35 * (family in lexicon.family) + 0.3 * bool(_ROLE.search(before)) + 0.15 * bool(_LEAD.search(before))
+        score += 0.35 * bool(_TITLED.search(before)) + 0.3 * bool(_AFTER.match(text, b)) - 0.5 * bool(_THING.search(before))
+        score -= 0.4 * (b < len(text) and text[b] in "_/:\\" and text[b + 1 : b + 2].isalnum()) + 0.5 * any(x in "_/" or x.isdigit() for x in text[a:b])
+        yield a, b, "person", min(score, 0.99)
+
+
+_NEXT_NAME = re.compile(rf"(?:[ ]{_UP}\.)?[ ]({_UPNAME})(?![\w@])")
+
+
+def _run(text: str, at: int, more: str) -> int:
+    """Where the run of letters, digits and characters in ``more`` begins that ends before ``at``."""
+    while at > 0 and (text[at - 1].isalnum() or text[at - 1] in more):
+        at -= 1
+    return at
+
+
+def _mailboxes(text: str, a: int, b: int) -> Iterator[tuple[int, int, str, float]]:
+    """The mailbox around the sign at a..b, however long its parts are."""
+    for end in {a, a - 1 if a and text[a - 1] == " " else a}:
+        at = end
+        while at > 0 and (text[at - 1] in "._+%-" or (text[at - 1].isascii() and text[at - 1].isalnum())):
+            at -= 1
+        if (m := _EMAIL.match(text, at)) and m.start(1) <= a < m.end():
+            top = re.split(r"[^a-z0-9-]+", m[5].lower().rstrip("])"))[-1]
+            service = m[1].lower() in ("git", "hg", "svn", "root", "www") or text[m.end() : m.end() + 1] in (":", "/")
+            if top.isalpha() and len(top) > 1 and not service:
+                yield m.start(), m.end(), "email", 0.95 if m[2] else 0.85
+
+
+def _streets(text: str, a: int) -> Iterator[int]:
+    """Where a German street could begin whose kind stands at a: with its own word, or with the word before."""
+    at = _run(text, a, "-")
+    yield at
+    if at == a and a > 1 and text[a - 1] == " ":
+        yield _run(text, a - 1, "-")
+
+
 def _cued(text: str, lower: str, lexicon: Lexicon) -> Iterator[tuple[int, int, str, float]]:
     for a, b, kinds in lexicon.cues(lower):
         begins = not (a and (lower[a - 1].isalnum() or lower[a - 1] in "_-"))
         for kind in kinds:
             if kind == "email":
-                for m in _EMAIL.finditer(text, max(0, a - 80), b + 120):
-                    top = re.split(r"[^a-z0-9-]+", m[5].lower().rstrip("])"))[-1]
-                    service = m[1].lower() in ("git", "hg", "svn", "root", "www") or text[m.end() : m.end() + 1] in (":", "/")
-                    if top.isalpha() and len(top) > 1 and not service:
-                        yield m.start(), m.end(), "email", 0.95 if m[2] else 0.85
+                yield from _mailboxes(text, a, b)
             elif kind == "person":
                 if begins and (m := _NAMED.match(text, b)):
                     yield _person(text, m, _PERSON_CUES[lower[a:b]], lexicon)
@@ -257,25 +361,31 @@ def _cued(text: str, lower: str, lexicon: Lexicon) -> Iterator[tuple[int, int, s
                     yield *m.span(), "id_number", 0.66
             elif kind == "ru":
                 if begins:
-                    yield from ((*m.span(), "address", 0.8) for m in _ADDRESS_RU.finditer(text, max(0, a - 12), b + 90))
+                    ahead = _RU_BEFORE.search(text, max(0, _run(text, max(0, a - 2), "") - 4), a)
+                    for at in (ahead.start(), a) if ahead else (a,):
+                        if m := _ADDRESS_RU.match(text, at):
+                            yield *m.span(), "address", 0.8
+                            break
             elif text[b : b + 1] == " " and text[b + 1 : b + 2].isdigit():
-                yield from ((*m.span(), "address", 0.8) for m in _ADDRESS_DE.finditer(text, max(0, a - 40), b + 60))
+                for at in _streets(text, a):
+                    if m := _ADDRESS_DE.match(text, at):
+                        yield *m.span(), "address", 0.8
 
 
 def _starts(text: str, a: int) -> Iterator[int]:
-    """Where a name could begin that has its family name at a: there, or one to three words before."""
+    """Where a name could begin that has its family name at a: there, or up to four words before."""
     yield a
     at = a
-    for _ in range(3):
-        cut = text.rfind(" ", max(0, at - 30), max(0, at - 1))
-        at = cut + 1 if cut >= 0 else max(0, at - 30)
-        while at < a and not text[at].isalpha():
-            at += 1
-        if at >= a:
+    for _ in range(4):
+        if at < 2 or text[at - 1] != " ":
             return
-        yield at
-        if cut < 0:
+        end = at - 1
+        at = end
+        while at > 0 and (text[at - 1].isalpha() or text[at - 1] in "'’-."):
+            at -= 1
+        if at == end:
             return
+        yield at
 
 
 def mentions(text: str | None, lexicon: Lexicon, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
@@ -287,12 +397,14 @@ def mentions(text: str | None, lexicon: Lexicon, threshold: float = THRESHOLD) -
         lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     found = list(_cued(text, lower, lexicon))
     found += _numbers(text, lower)
-    found += ((*m.span(), "address", 0.8) for m in _ADDRESS_EN.finditer(text))
+    found += _capitals(text, lower, lexicon)
+    found += ((*m.span(), "address", 0.8) for p in (_ADDRESS_EN, _ADDRESS_ROMANCE) for m in p.finditer(text))
     out: list[tuple[int, int, str, float]] = []
     for x in sorted({x for x in found if x[3] >= threshold}, key=lambda x: (-round(x[3], 6), x[0] - x[1], x[0], x[2])):
-        if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
-            out.append(x)
-    return sorted(out)
+        i = bisect_left(out, x)  # by position; those taken don't overlap, so its neighbours tell
+        if (i == 0 or out[i - 1][1] <= x[0]) and (i == len(out) or x[1] <= out[i][0]):
+            out.insert(i, x)
+    return out
 
 
 def replaced(text: str | None, found: Sequence[tuple[int, int, str, float]]) -> str | None:
