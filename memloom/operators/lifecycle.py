@@ -280,3 +280,31 @@ def capped_running_mean(samples: DataFrame, key: str, order: list[str], value: s
     late = F.when(F.col("i") >= cap, F.pow(F.lit(keep), F.col("n") - F.col("i")) / cap).otherwise(F.pow(F.lit(keep), F.col("n") - cap + 1) / (cap - 1))
     weight = F.when(F.col("n") < cap, 1.0 / F.col("n")).otherwise(late)
     return n.join(counts, key).groupBy(key).agg(F.round(F.sum(weight * F.col("x")), 6).alias("mean"))
+
+
+def upsert_records(existing: DataFrame, incoming: DataFrame, key: str, *, values: list[str], project: str = "project_id", deleted: str = "deleted_at") -> DataFrame:
+    """Records after saving incoming ones by key: their values replace what was there, a null project keeps the old one, a tombstone is cleared.
+
+    Both sides have the key once, ``values``, the project and, where there is one, the tombstone
+    column.  Records that nothing comes in for stay as they are, dead ones too.
+    """
+    a = existing.select(key, F.struct(*values, project, deleted).alias("__a"))
+    b = incoming.select(key, F.struct(*values, project).alias("__b"))
+    j = a.join(b, key, "full")
+    came = F.col("__b").isNotNull()
+    return j.select(
+        key, *[F.when(came, F.col(f"__b.{v}")).otherwise(F.col(f"__a.{v}")).alias(v) for v in values],
+        F.coalesce(f"__b.{project}", f"__a.{project}").alias(project), F.when(~came, F.col(f"__a.{deleted}")).alias(deleted),
+    )
+
+
+def audit_entries(ledger: DataFrame, *, action: str | None = None, limit: int = 50) -> DataFrame:
+    """The last entries of a ledger (entry_id, ts, action, ..), of one action if given."""
+    rows = ledger if action is None else ledger.filter(F.col("action") == action)
+    return rows.orderBy(F.desc("ts"), F.desc("entry_id")).limit(limit)
+
+
+def audit_pruned(ledger: DataFrame, as_of: str, days: int) -> DataFrame:
+    """The ledger without entries older than ``days``; entries without a time stay."""
+    oldest = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
+    return ledger.filter(F.col("ts").isNull() | (F.col("ts") >= oldest))

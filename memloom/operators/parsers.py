@@ -1,20 +1,19 @@
 """Symbols and imports of source texts, by line patterns per language.
 
 A registry maps file names to formats; every format has patterns for
-definitions and imports.  Files are parsed where they lie, one Arrow batch at a time.
+definitions and imports.  What goes beyond a line is in :mod:`memloom.operators.outline`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CAP_BYTES, NOTEBOOK_CAP_BYTES = 2 * 1024 * 1024, 5 * 1024 * 1024
 _ID = r"[A-Za-z_$][\w$]*"
-_C_FUN = r"^(?:[A-Za-z_][\w:<>,*&\s]*[\s*&])?([A-Za-z_~]\w*)\s*\([^;{}]*\)\s*(?:const)?\s*\{"
+_C_FUN = r"^\s*(?:[A-Za-z_][\w:<>,*&\s]*[\s*&])?([A-Za-z_~]\w*)\s*\([^;{}]*\)\s*(?:const)?\s*\{"
 _JVM_TYPE = r"(?:public|private|protected|internal|abstract|final|sealed|static|data|open|partial|\s)*\b(?:class|record|object|enum(?:\s+class)?)\s+(\w+)"
 _JVM_FUN = r"(?:public|private|protected|internal|static|final|override|async|virtual|abstract|\s)+[\w<>\[\],.?\s]+\s+(\w+)\s*\([^;]*\)\s*(?:throws [\w, ]+)?\{?$"
 
@@ -22,7 +21,7 @@ _JVM_FUN = r"(?:public|private|protected|internal|static|final|override|async|vi
 FORMATS: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
     "rust": (r"\.rs$", (("Function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)"), ("Struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+(\w+)"), ("Trait", r"^\s*(?:pub\s+)?trait\s+(\w+)"), ("Import", r"^\s*(?:pub\s+)?use\s+([\w:]+)"))),
     "python": (r"\.pyi?$", (("Function", r"^\s*(?:async\s+)?def\s+(\w+)"), ("Class", r"^\s*class\s+(\w+)"), ("Import", r"^\s*from\s+([\w.]+)\s+import\b"), ("Import", r"^\s*import\s+([\w.]+)"))),
-    "ts-js": (r"\.(?:ts|tsx|js|jsx|mjs|cjs)$", (("Function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_ID})"), ("Function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*=\s*(?:async\s*)?(?:\([^)]*\)|{_ID})\s*=>"), ("Class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_ID})"), ("Interface", rf"^\s*(?:export\s+)?(?:interface|type)\s+({_ID})"), ("Import", r"""^\s*(?:import|export)\b[^'"]*['"]([^'"]+)['"]"""), ("Import", r"""require\(\s*['"]([^'"]+)['"]\s*\)"""))),
+    "ts-js": (r"\.(?:ts|tsx|js|jsx|mjs|cjs)$", (("Function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_ID})"), ("Function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*=\s*(?:async\s*)?(?:\([^)]*\)|{_ID})\s*=>"), ("Method", rf"^\s+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*#?(?!(?:if|for|while|switch|catch|return|function|await|constructor)\b)({_ID})\s*(?:<[^>]*>)?\([^;]*\)\s*(?::\s*[^={{]+)?\{{\s*$"), ("Class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_ID})"), ("Interface", rf"^\s*(?:export\s+)?(?:interface|type)\s+({_ID})"), ("Import", r"""^\s*(?:import|export)\b[^'"]*['"]([^'"]+)['"]"""), ("Import", r"""require\(\s*['"]([^'"]+)['"]\s*\)"""))),
     "go": (r"\.go$", (("Function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("Struct", r"^type\s+(\w+)\s+struct\b"), ("Interface", r"^type\s+(\w+)\s+interface\b"), ("Import", r'^\s*(?:import\s+)?(?:\w+\s+)?"([\w./-]+)"\s*$'))),
     "sql": (r"\.sql$", (("Table", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([\w.]+)"), ("Function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.]+)"), ("Table", r"(?i)^\s*with\s+(?:recursive\s+)?(\w+)\s+as\b"))),
     "php": (r"\.php$", (("Function", r"^\s*(?:public|private|protected|static|abstract|final|\s)*function\s+&?(\w+)"), ("Class", r"^\s*(?:abstract\s+|final\s+)*(?:class|trait|enum)\s+(\w+)"), ("Interface", r"^\s*interface\s+(\w+)"), ("Import", r"^\s*use\s+([\w\\]+)"))),
@@ -80,38 +79,8 @@ def format_column(path: Column | str) -> Column:
     return F.coalesce(*[F.when(c.rlike(files), F.lit(name)) for name, (files, _) in FORMATS.items()])
 
 
-def parse_line_symbols(text: str, name: str) -> list[tuple[str, str, int]]:
-    """(kind, name, line) of one text of a format, by line."""
+def line_patterns(name: str) -> tuple:
+    """(kind, compiled pattern) of a format, compiled once."""
     if name not in _COMPILED:
         _COMPILED[name] = tuple((kind, re.compile(p)) for kind, p in FORMATS[name][1])
-    out = []
-    for n, line in enumerate(text.split("\n"), 1):
-        if line.strip():
-            for kind, pattern in _COMPILED[name]:
-                out += [(kind, m[1], n) for m in pattern.finditer(line) if m[1]]
-    return out
-
-
-def parse_sources(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
-    """(file_id, path, lang, kind, name, line): what the files define and import.
-
-    Files of no known format, without text or larger than the format's cap have no rows.
-    """
-    chosen = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), format_column(path_col).alias("lang"), F.col(text_col).alias("text"))
-    cap = F.when(F.col("lang") == "notebook", NOTEBOOK_CAP_BYTES).otherwise(CAP_BYTES)
-    chosen = chosen.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= cap))
-    kind = chosen.schema["id"].dataType.simpleString()
-
-    def parse(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for i, path, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(i, path, lang, *x) for x in parse_line_symbols(text, lang)]
-            if rows:
-                c = list(zip(*rows))
-                arrays = [pa.array(c[0], batch.schema.field(0).type), *(pa.array(x, pa.string()) for x in c[1:5]), pa.array(c[5], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "path", "lang", "kind", "name", "line"])
-
-    return chosen.mapInArrow(parse, f"file_id {kind}, path string, lang string, kind string, name string, line long")
+    return _COMPILED[name]

@@ -132,3 +132,16 @@ def cited_sources(records: DataFrame, entries: DataFrame) -> DataFrame:
     refs = records.select("id", F.explode(F.array_distinct("source_refs")).alias("source_ref"))
     known = entries.select(F.concat("log_file", F.lit("#L"), F.col("line_no").cast("string")).alias("source_ref")).distinct().withColumn("found", F.lit(True))
     return refs.join(known, "source_ref", "left").select("id", "source_ref", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def trigger_policy(entries: DataFrame, came: Column, last: str, now: str, *, least_hours: float = 24.0, least_new: int = 10) -> DataFrame:
+    """One row (hours, fresh, run, reason): whether consolidation should run ``now``.
+
+    It should if ``least_hours`` have gone by since it ran ``last`` and ``least_new`` entries came
+    since; entries without a time don't count.  The reason names the first condition that fails.
+    """
+    since = F.lit(last).cast("timestamp")
+    hours = F.round((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(since)) / 3600.0, 3)
+    row = entries.agg(F.coalesce(F.sum((came > since).cast("long")), F.lit(0)).alias("fresh")).withColumn("hours", hours)
+    reason = F.when(F.col("hours") < least_hours, "too soon").when(F.col("fresh") < least_new, "too few entries").otherwise("due")
+    return row.select("hours", "fresh", (reason == "due").alias("run"), reason.alias("reason"))

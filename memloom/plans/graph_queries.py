@@ -9,10 +9,11 @@ from memloom.functions import scoring as S
 from memloom.operators import codegraph as K
 from memloom.operators import graph as G
 from memloom.operators import lifecycle as L
-from memloom.operators import parsers
+from memloom.operators import outline
 from memloom.operators import search as R
 from memloom.operators.ordering import global_rank
 from memloom.operators.similarity import nth_of
+from memloom.plans import golden_code
 from memloom.plans.base import SQL_GRAPH, Catalog, read
 from memloom.plans.relational_queries import _DEG, _ENTRY, _HUBS, _USAGE, NO_HUBS, USAGE
 from memloom.sources.tables import graph_edges, graph_nodes
@@ -284,7 +285,7 @@ def gr_18(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    return parsers.parse_sources(read(spark, d, "documents"), "doc_id", "path", "text")
+    return outline.parse_sources(read(spark, d, "documents"), "doc_id", "path", "text")
 
 
 @C.add("parse_sources")
@@ -312,23 +313,39 @@ def gr_19(spark: SparkSession, d: str) -> DataFrame:
     return K.resolve_imports(_import_edges(spark, d), files)
 
 
-@C.add("gr_20")
+@C.add(
+    "gr_20",
+    """SELECT caller, target, provenance FROM (VALUES
+('store/cache.py#get', 'store/cache.py#load', 'RESOLVED'), ('store/cache.py#load', 'store/cache.py#get', 'RESOLVED'), ('store/cache.py#load', 'store/cache.py#decode', 'RESOLVED'),
+('store/cache.py#create_row', 'store/cache.py#Cache', 'RESOLVED'), ('store/cache.py#create_row', 'store/cache.py#get', 'RESOLVED'), ('src/graph.rs#step', 'src/graph.rs#visit', 'RESOLVED'),
+('src/graph.rs#visit', 'src/graph.rs#check', 'RESOLVED'), ('web/client.ts#main', 'web/client.ts#load', 'RESOLVED'), ('web/client.ts#main', 'web/client.ts#format', 'RESOLVED'),
+('web/client.ts#main', 'cmd/server.go#log', 'HEURISTIC'), ('cmd/server.go#Serve', 'cmd/server.go#log', 'RESOLVED'), ('cmd/server.go#Serve', 'cmd/server.go#check', 'RESOLVED'),
+('cmd/server.go#main', 'cmd/server.go#newServer', 'RESOLVED'), ('app/jobs.py#nightly', 'store/cache.py#decode', 'RESOLVED'), ('app/jobs.py#nightly', 'store/cache.py#create_row', 'RESOLVED')
+) t(caller, target, provenance)""",
+)
 def gr_20(spark: SparkSession, d: str) -> DataFrame:
-    """Calls named in texts, resolved to the symbols that the texts define."""
-    s = symbols(spark, d).filter(F.col("kind") == "Function")
-    defined = s.groupBy(F.col("path").alias("file"), "name").agg(F.min("file_id").alias("first")).select(F.xxhash64("file", "name").alias("id"), "file", "name", F.lit(None).cast("string").alias("owner"))
-    docs = read(spark, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL")
-    called = docs.select("doc_id", "path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)\("), 1))).alias("name"))
-    sites = called.select(F.xxhash64("doc_id", "name").alias("id"), F.col("path").alias("file"), F.xxhash64("path").alias("caller"), "name", F.lit(None).cast("string").alias("owner"))
-    imports = gr_19(spark, d).filter("resolved").select(F.regexp_replace("src", "^file:", "").alias("file"), F.regexp_replace("dst", "^file:", "").alias("target_file")).distinct()
-    return K.resolve_calls(sites, defined, imports)
+    """The calls of the golden sources, resolved over their own symbols and imports."""
+    files = spark.createDataFrame(list(golden_code.SOURCES.items()), "path string, text string")
+    named = F.concat_ws("#", "path", "name")
+    defined = outline.parse_sources(files, "path", "path", "text").filter("kind <> 'Import'").groupBy("path", "name").agg(F.min("owner").alias("owner"))
+    defined = defined.select(named.alias("id"), F.col("path").alias("file"), "name", "owner")
+    edges = outline.parse_edges(files, "path", "path", "text")
+    sites = edges.filter("label = 'CALLS'").select(F.concat_ws("#", "path", "line", "src", "dst").alias("id"), F.col("path").alias("file"), F.concat_ws("#", "path", "src").alias("caller"), F.col("dst").alias("name"), "owner")
+    modules = edges.filter("label = 'IMPORTS'").select(F.concat_ws("#", "path", "dst").alias("id"), F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("module:"), "dst").alias("dst"))
+    found = K.resolve_imports(modules, files.select("path")).filter("resolved")
+    bare = lambda c: F.regexp_replace(c, "^file:", "")
+    return K.resolve_calls(sites.distinct(), defined, found.select(bare("src").alias("file"), bare("dst").alias("target_file")).distinct())
 
 
-@C.add("gr_21")
+@C.add(
+    "gr_21",
+    r"""WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b[A-Z][a-z]+[A-Z][a-z]+\b')) AS rpc FROM documents), h AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b[a-z]+_[a-z]+\b')) AS handler FROM documents)
+SELECT rpc, handler FROM r JOIN h ON handler = lower(regexp_replace(rpc, '([a-z])([A-Z])', '\1_\2'))""",
+)
 def gr_21(spark: SparkSession, d: str) -> DataFrame:
-    """Tables and functions that bear the same name in snake case."""
-    s = symbols(spark, d)
-    return K.rpc_bridges(s.filter("kind = 'Table'").select(F.concat_ws("#", "path", "name").alias("id"), "name").distinct(), s.filter("kind = 'Function'").select(F.concat_ws("#", "path", "name").alias("id"), "name").distinct())
+    """Names in the form of rpc methods and in the form of functions that are the same in snake case."""
+    named = lambda p: read(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"\b({p})\b"), 1))).alias("name")).distinct().withColumn("id", F.col("name"))
+    return K.rpc_bridges(named("[A-Z][a-z]+[A-Z][a-z]+"), named("[a-z]+_[a-z]+"))
 
 
 @C.add("gr_22", "SELECT doc_id, 'pkg:pypi:' || split_part(m, '.', 1) AS dst FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z]+[.][a-z]+'))) AS m FROM documents WHERE path IS NOT NULL AND ends_with(path, '.py'))")
@@ -379,7 +396,7 @@ def xo_16(spark: SparkSession, d: str) -> DataFrame:
 def xo_18(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL")
     files = docs.groupBy("path").agg(F.min_by("text", "doc_id").alias("content"))
-    spans = symbols(spark, d).select(F.xxhash64("file_id", "name", "line").alias("id"), "path", F.col("line").alias("line_start"), F.lit(None).cast("long").alias("line_end"), F.col("name").alias("scope"))
+    spans = symbols(spark, d).select(F.xxhash64("file_id", "name", "line").alias("id"), "path", F.col("line").alias("line_start"), F.when(F.col("line_end") > F.col("line"), F.col("line_end")).alias("line_end"), F.col("name").alias("scope"))
     return K.span_chunk(files, spans).select("id", "chunk")
 
 

@@ -132,11 +132,17 @@ def lc_12(spark: SparkSession, d: str) -> DataFrame:
     return L.pinned_context(slots(spark, d).withColumn("pinned", F.col("label") != "todo"), "prj_hub")
 
 
-@C.add("lc_13", "SELECT event_type AS action, count(*) AS n, min(event_id) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1")
+@C.add("lc_13", "SELECT event_id AS entry_id, event_type AS action FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 16 DAY AND event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50")
 def lc_13(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger after pruning what is older than its retention."""
-    kept = read(spark, d, "events").filter("ts >= TIMESTAMP '2024-01-15 00:00:00'")
-    return kept.groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    """The last errors of the ledger after pruning what is older than its retention."""
+    ledger = read(spark, d, "events").select(F.col("event_id").alias("entry_id"), "ts", F.col("event_type").alias("action"))
+    return L.audit_entries(L.audit_pruned(ledger, "2024-01-31 00:00:00", 16), action="error").select("entry_id", "action")
+
+
+@C.add("lc_13_kept", "SELECT event_type AS action, count(*) AS n, min(event_id) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 16 DAY GROUP BY 1")
+def lc_13_kept(spark: SparkSession, d: str) -> DataFrame:
+    ledger = read(spark, d, "events").select(F.col("event_id").alias("entry_id"), "ts", F.col("event_type").alias("action"))
+    return L.audit_pruned(ledger, "2024-01-31 00:00:00", 16).groupBy("action").agg(F.count("*").alias("n"), F.min("entry_id").alias("first"))
 
 
 _ENVS = "list_filter([CASE WHEN list_has_any(w, ['prod', 'production']) THEN 'prod' END, CASE WHEN list_has_any(w, ['dev', 'development']) THEN 'dev' END, " + ", ".join(f"CASE WHEN list_contains(w, '{e}') THEN '{e}' END" for e in ("staging", "local", "vps", "windows", "linux", "macos")) + "], lambda x: x IS NOT NULL)"
@@ -316,11 +322,20 @@ def ex_3(spark: SparkSession, d: str) -> DataFrame:
     return extract_chunks(docs, "doc_id", "text", tickets).select("id", "label")
 
 
-@C.add("snk_1", "SELECT trim(mem_key) AS mem_key, arg_max(content, (feed_id)) AS content FROM memory_feed WHERE trim(mem_key) <> '' AND content IS NOT NULL GROUP BY 1")
+_VERSION_OF = lambda r: f"""(SELECT {sql_trim('mem_key')} AS mem_key, arg_max(struct_pack(c := content, p := project_id, d := deleted_at), feed_id) AS v FROM memory_feed WHERE feed_id % 2 = {r} AND {sql_trim('mem_key')} <> '' GROUP BY 1)"""
+
+
+@C.add(
+    "snk_1",
+    f"""SELECT mem_key, CASE WHEN b.v IS NOT NULL THEN b.v.c ELSE a.v.c END AS content, coalesce(b.v.p, a.v.p) AS project_id, CASE WHEN b.v IS NULL THEN a.v.d END IS NOT NULL AS dead
+FROM {_VERSION_OF(0)} a FULL JOIN {_VERSION_OF(1)} b USING (mem_key)""",
+)
 def snk_1(spark: SparkSession, d: str) -> DataFrame:
-    """Upsert by key in order of arrival."""
-    f = read(spark, d, "memory_feed").withColumn("mem_key", F.trim("mem_key")).filter("mem_key <> '' AND content IS NOT NULL")
-    return f.groupBy("mem_key").agg(F.max_by("content", "feed_id").alias("content"))
+    """The last versions of keys in one half of the feed saved over those in the other."""
+    f = read(spark, d, "memory_feed").withColumn("mem_key", trimmed("mem_key")).filter("mem_key <> ''")
+    last = lambda r: f.filter(F.col("feed_id") % 2 == r).groupBy("mem_key").agg(F.max_by(F.struct("content", "project_id", "deleted_at"), "feed_id").alias("v")).select("mem_key", "v.*")
+    out = L.upsert_records(last(0), last(1), "mem_key", values=["content"])
+    return out.select("mem_key", "content", "project_id", F.col("deleted_at").isNotNull().alias("dead"))
 
 
 @C.add("snk_2", f"{G_} SELECT src, dst, label, (2 * seen)::double AS weight FROM (SELECT from_id AS src, to_id AS dst, lower({sql_trim('kind')}) AS label, count(*) AS seen FROM memory_links GROUP BY ALL)")
@@ -354,10 +369,15 @@ def ev_2(spark: SparkSession, d: str) -> DataFrame:
     return approximate_recall(exact, R.int8_search(v, "mem_id", "embedding", q, 10, oversample=2))
 
 
-@C.add("ev_3", "SELECT user_id % 2 = 0 AS even, quantile_cont(value, 0.5) AS median FROM events GROUP BY 1")
+_FELL = lambda a, b, most: f"CASE WHEN {a} > 0 THEN ({a} - {b}) / {a} > {most} ELSE false END"
+
+
+@C.add("ev_3", f"WITH m AS (SELECT mem_id, {_TRUST} AS t, {_IMP} AS i, access_count AS n FROM memories) SELECT mem_id, ({_FELL('t', '(t - n / 400.0)', 0.1)}) OR ({_FELL('i', '(i - n / 300.0)', 0.15)}) AS degraded FROM m")
 def ev_3(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events")
-    return e.groupBy((F.col("user_id") % 2 == 0).alias("even")).agg(F.expr("percentile(value, 0.5)").alias("median"))
+    """The gate over many pairs of runs, here trust and importance as recall and MRR before, and less by use as now."""
+    n = F.col("access_count")
+    bad = E.is_degraded(F.col("trust"), F.col("importance"), F.col("trust") - n / 400.0, F.col("importance") - n / 300.0)
+    return _m(spark, d).select("mem_id", bad.alias("degraded"))
 
 
 @C.add(
@@ -380,8 +400,24 @@ def ev_4(spark: SparkSession, d: str) -> DataFrame:
     return E.triplet_accuracy(at(0, "a").join(at(1, "p"), "vec_id").join(at(2, "n"), "vec_id"), cosine("a", "p"), cosine("a", "n"))
 
 
-@C.add("ev_5", "WITH f AS (SELECT DISTINCT from_id, to_id FROM memory_links WHERE deleted_at IS NULL), g AS (SELECT DISTINCT from_id, to_id FROM memory_links WHERE weight >= 0.3), s AS (SELECT (SELECT count(*) FROM (FROM f INTERSECT FROM g)) AS tp, (SELECT count(*) FROM (FROM f EXCEPT FROM g)) AS fp, (SELECT count(*) FROM (FROM g EXCEPT FROM f)) AS fn) SELECT tp, fp, fn, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM s")
+@C.add("ev_5", "SELECT * FROM (VALUES ('symbols', 26::bigint, 0::bigint, 0::bigint, 1.0::double, true), ('calls', 25, 0, 0, 1.0, true)) t(what, tp, fp, fn, f1, passes)")
 def ev_5(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols and calls found in the golden sources against those listed by hand, with the gates 0.95 and 0.90."""
+    from memloom.operators.outline import parse_edges, parse_sources
+    from memloom.plans import golden_code as GC
+
+    files = spark.createDataFrame(list(GC.SOURCES.items()), "path string, text string")
+    kinds = "path string, kind string, name string, line long, line_end long, owner string"
+    blank = lambda df, *keys: df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys])
+    gate = lambda found, golden, keys, what, least: E.set_f1(blank(found, *keys), blank(golden, *keys), keys).select(F.lit(what).alias("what"), "tp", "fp", "fn", "f1", (F.col("f1") >= least).alias("passes"))
+    symbols = parse_sources(files, "path", "path", "text").filter("kind <> 'Import'")
+    calls = parse_edges(files, "path", "path", "text").filter("label = 'CALLS'")
+    a = gate(symbols, spark.createDataFrame(GC.SYMBOLS, kinds), ["path", "kind", "name", "line", "line_end", "owner"], "symbols", 0.95)
+    return a.unionByName(gate(calls, spark.createDataFrame(GC.CALLS, "path string, src string, dst string, owner string"), ["path", "src", "dst", "owner"], "calls", 0.90))
+
+
+@C.add("ev_5_links", "WITH f AS (SELECT DISTINCT from_id, to_id FROM memory_links WHERE deleted_at IS NULL), g AS (SELECT DISTINCT from_id, to_id FROM memory_links WHERE weight >= 0.3), s AS (SELECT (SELECT count(*) FROM (FROM f INTERSECT FROM g)) AS tp, (SELECT count(*) FROM (FROM f EXCEPT FROM g)) AS fp, (SELECT count(*) FROM (FROM g EXCEPT FROM f)) AS fn) SELECT tp, fp, fn, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM s")
+def ev_5_links(spark: SparkSession, d: str) -> DataFrame:
     links = read(spark, d, "memory_links")
     return E.set_f1(live(links), links.filter("weight >= 0.3"), ["from_id", "to_id"])
 
@@ -430,34 +466,24 @@ def st_2(spark: SparkSession, d: str) -> DataFrame:
     return T.consolidation_rounds(T.log_messages(read(spark, d, "daily_log")), 2_000)
 
 
-@C.add("st_3", "SELECT count(*) FILTER (ingested_at > TIMESTAMP '2026-11-01') AS fresh, count(*) FILTER (ingested_at > TIMESTAMP '2026-11-01') >= 10 AS run FROM daily_log")
+@C.add("st_3", "SELECT round(epoch(TIMESTAMP '2026-12-01' - TIMESTAMP '2026-11-01') / 3600.0, 3)::double AS hours, count(*) FILTER (ingested_at > TIMESTAMP '2026-11-01') AS fresh, fresh >= 10 AS run, CASE WHEN fresh < 10 THEN 'too few entries' ELSE 'due' END AS reason FROM daily_log")
 def st_3(spark: SparkSession, d: str) -> DataFrame:
-    """Whether enough entries came since the last run."""
-    fresh = F.sum((F.col("ingested_at") > F.lit("2026-11-01").cast("timestamp")).cast("long"))
-    return read(spark, d, "daily_log").agg(fresh.alias("fresh"), (fresh >= 10).alias("run"))
+    """Whether enough time went by and enough entries came since the last run."""
+    return T.trigger_policy(read(spark, d, "daily_log"), F.col("ingested_at"), "2026-11-01 00:00:00", "2026-12-01 00:00:00")
 
 
-@C.add("src_3", "SELECT log_file, line_no, log_file || '#L' || line_no AS source_ref FROM daily_log WHERE regexp_full_match(log_file, 'daily/[0-9]{4}-[0-9]{2}-[0-9]{2}[.]jsonl')")
-def src_3(spark: SparkSession, d: str) -> DataFrame:
-    log = read(spark, d, "daily_log").filter(F.col("log_file").rlike(r"^daily/\d{4}-\d{2}-\d{2}\.jsonl$"))
-    return log.select("log_file", "line_no", F.concat("log_file", F.lit("#L"), F.col("line_no").cast("string")).alias("source_ref"))
-
-
-@C.add("src_4", "SELECT entry_id FROM daily_log WHERE meta.session_id = 's1'")
-def src_4(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "daily_log").filter("meta.session_id = 's1'").select("entry_id")
-
-
-@C.add("src_5", "SELECT entry_id FROM daily_log WHERE entry_id > 500 ORDER BY entry_id LIMIT 50")
-def src_5(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "daily_log").filter("entry_id > 500").orderBy("entry_id").limit(50).select("entry_id")
-
-
-@C.add("src_8")
+@C.add(
+    "src_8",
+    """WITH k(lang, endings) AS (VALUES ('rust', ['rs']), ('python', ['py', 'pyi']), ('ts-js', ['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs']), ('go', ['go']), ('sql', ['sql']), ('markdown', ['md', 'markdown']))
+SELECT path, lang, CASE WHEN lang IS NOT NULL THEN 2097152 END::bigint AS cap_bytes FROM (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL) LEFT JOIN k ON list_contains(endings, regexp_extract(path, '[.]([a-z]+)$', 1))""",
+)
 def src_8(spark: SparkSession, d: str) -> DataFrame:
-    from memloom.operators.parsers import registry
+    """Every path with the format that the registry has for it, and its cap."""
+    from memloom.operators.parsers import format_column, registry
 
-    return registry(spark)
+    paths = read(spark, d, "documents").filter("path IS NOT NULL").select("path").distinct().withColumn("lang", format_column("path"))
+    caps = F.broadcast(registry(spark).select(F.col("format").alias("lang"), "cap_bytes"))  # a row per format
+    return paths.join(caps, "lang", "left").select("path", "lang", "cap_bytes")
 
 
 @C.add("snk_5", "SELECT entry_id FROM daily_log QUALIFY row_number() OVER (ORDER BY entry_id DESC) <= 100")

@@ -21,14 +21,6 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/memloom-{uuid.uuid4().hex}/{name}"
 
 
-def _log_folder(spark: SparkSession, d: str) -> str:
-    """The log as a folder of JSON lines."""
-    folder = _folder(spark, "daily")
-    log = read(spark, d, "daily_log").filter("logged_at IS NOT NULL")
-    log.select("entry_id", F.col("logged_at").alias("timestamp"), "user_text", "assistant_text", "meta").write.json(folder)
-    return folder
-
-
 @C.add("src_1", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def src_1(spark: SparkSession, d: str) -> DataFrame:
     """Every other text as windows-1251 bytes if it can be, decoded again."""
@@ -49,13 +41,52 @@ def src_2(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_texts(spark, d).select("file_name", "format", "size_bytes")
 
 
-@C.add("src_6", "SELECT count(*) AS entries, count(user_text) AS asked FROM daily_log WHERE logged_at IS NOT NULL")
+def _log_days(spark: SparkSession, d: str) -> str:
+    """The log as a folder of days, lines in order."""
+    folder = _folder(spark, "days")
+    log = read(spark, d, "daily_log").filter("logged_at <> ''").withColumn("day", F.regexp_extract("log_file", r"(\d{4}-\d{2}-\d{2})", 1)).filter("day <> ''")
+    log = log.select("day", "line_no", "entry_id", F.col("logged_at").alias("timestamp"), "user_text", "assistant_text", "meta")
+    log.repartition("day").sortWithinPartitions("day", "line_no", "entry_id").drop("line_no", "entry_id").write.partitionBy("day").json(folder)
+    return folder
+
+
+_DAYS = """days AS (SELECT *, 'daily/' || regexp_extract(log_file, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) || '.jsonl' AS f FROM daily_log WHERE logged_at <> '' AND regexp_matches(log_file, '[0-9]{4}-[0-9]{2}-[0-9]{2}')),
+lines AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY line_no, entry_id) AS n FROM days)"""
+
+
+@C.add("src_3", f"WITH {_DAYS} SELECT f AS log_file, n AS line_no, f || '#L' || n AS source_ref, user_text FROM lines")
+def src_3(spark: SparkSession, d: str) -> DataFrame:
+    """The log written as files of days and read back line by line."""
+    return readers.read_daily_logs(spark, _log_days(spark, d)).select("log_file", "line_no", "source_ref", "user_text")
+
+
+@C.add("src_4", f"WITH {_DAYS} SELECT f || '#L' || n AS source_ref FROM lines WHERE meta.session_id = (SELECT min(meta.session_id) FROM daily_log)")
+def src_4(spark: SparkSession, d: str) -> DataFrame:
+    """The first session's entries; other lines are not parsed."""
+    first = read(spark, d, "daily_log").agg(F.min("meta.session_id").alias("s")).first()["s"]
+    return readers.read_daily_logs(spark, _log_days(spark, d), session=first).select("source_ref")
+
+
+@C.add("src_5", "SELECT entry_id AS cursor, user_text AS content FROM daily_log WHERE entry_id > 500 ORDER BY entry_id LIMIT 50")
+def src_5(spark: SparkSession, d: str) -> DataFrame:
+    """The next page of a history file after a cursor."""
+    path = _folder(spark, "history")
+    read(spark, d, "daily_log").select(F.col("entry_id").alias("cursor"), F.col("logged_at").alias("timestamp"), F.col("user_text").alias("content")).write.json(path)
+    return readers.read_history(spark, path, 500, 50).select("cursor", "content")
+
+
+@C.add("src_6", "SELECT logged_at AS timestamp, user_text, count(*) AS n FROM daily_log WHERE logged_at IS NOT NULL GROUP BY ALL")
 def src_6(spark: SparkSession, d: str) -> DataFrame:
-    """The log tailed as a stream until all is read."""
-    folder = _log_folder(spark, d)
+    """The log tailed as a stream in two runs: the second gets what came since, and nothing twice."""
+    folder = _folder(spark, "daily")
+    log = read(spark, d, "daily_log").filter("logged_at IS NOT NULL")
+    log = log.select("entry_id", F.col("logged_at").alias("timestamp"), "user_text", "assistant_text", "meta")
+    middle = F.broadcast(log.agg(F.expr("percentile_approx(entry_id, 0.5)").alias("m")))  # one row
     out = _folder(spark, "tailed")
-    ST.run_once(ST.tail_logs(spark, folder, files_per_batch=4), out + "-state", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination()
-    return spark.read.parquet(out).agg(F.count("*").alias("entries"), F.count("user_text").alias("asked"))
+    for part in ("entry_id <= m", "entry_id > m"):
+        log.join(middle).filter(part).drop("entry_id", "m").write.mode("append").json(folder)
+        ST.run_once(ST.tail_logs(spark, folder, files_per_batch=4), out + "-state", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination()
+    return spark.read.parquet(out).groupBy("timestamp", "user_text").agg(F.count("*").alias("n"))
 
 
 @C.add(
@@ -106,37 +137,73 @@ def snk_3(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@C.add("snk_4", "SELECT count(*) AS kept FROM daily_log WHERE coalesce(try_cast(regexp_extract(log_file, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS date) >= DATE '2026-12-01' - 120, true)")
+_OLD = "try_cast(regexp_extract(log_file, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS date)"
+
+
+@C.add("snk_4", f"SELECT CASE WHEN coalesce({_OLD} >= DATE '2026-12-01' - 120, true) THEN 'kept' ELSE strftime({_OLD}, '%Y-%m') END AS place, entry_id, user_text FROM daily_log")
 def snk_4(spark: SparkSession, d: str) -> DataFrame:
+    """Where each entry lies after archiving twice: in a month's archive, or kept."""
     folder = _folder(spark, "archive")
-    return writers.archive_logs(read(spark, d, "daily_log"), folder, "2026-12-01", 120).agg(F.count("*").alias("kept"))
+    log = read(spark, d, "daily_log").select("log_file", "entry_id", "user_text")
+    for _ in range(2):
+        kept = writers.archive_logs(log, folder, "2026-12-01", 120)
+    old = spark.read.schema("entry_id long, user_text string, month string").json(folder)
+    return kept.select(F.lit("kept").alias("place"), "entry_id", "user_text").unionByName(old.select(F.col("month").alias("place"), "entry_id", "user_text"))
 
 
-@C.add("snk_7", "SELECT count(*) AS restored FROM lessons")
+@C.add("snk_7", "SELECT n AS name, lesson_id, content FROM lessons, (VALUES ('2026-01-02'), ('2026-01-03')) t(n)")
 def snk_7(spark: SparkSession, d: str) -> DataFrame:
+    """Three snapshots, of which the last two are kept and restored."""
     folder = _folder(spark, "backups")
-    for name in ("2026-01-01", "2026-01-02", "2026-01-03"):
+    names = ("2026-01-01", "2026-01-02", "2026-01-03")
+    for name in names:
         writers.backup(read(spark, d, "lessons"), folder, name)
-    writers.rotate_backups(spark, folder, 2)
-    return spark.read.parquet(f"{folder}/2026-01-03").agg(F.count("*").alias("restored"))
+    kept = [n for n in names if n not in writers.rotate_backups(spark, folder, 2)]
+    parts = [spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("name"), "lesson_id", "content") for n in kept]
+    return parts[0].unionByName(parts[1])
 
 
-@C.add("st_1_stream", "SELECT count(*) AS answers FROM daily_log WHERE assistant_text <> ''")
+@C.add(
+    "st_1_stream",
+    """WITH m AS (SELECT coalesce(meta.session_id, '') AS session, entry_id * 2 AS turn, 0 AS said, user_text AS c FROM daily_log WHERE user_text <> '' UNION ALL SELECT coalesce(meta.session_id, ''), entry_id * 2 + 1, 1, assistant_text FROM daily_log WHERE assistant_text <> ''),
+g AS (SELECT *, sum(said) OVER (PARTITION BY session ORDER BY turn) - said AS pair FROM m)
+SELECT session, max(turn) FILTER (said = 1) AS turn, coalesce(string_agg(c, chr(10) ORDER BY turn) FILTER (said = 0), '') AS user_text, max(c) FILTER (said = 1) AS assistant_text FROM g GROUP BY session, pair HAVING count(*) FILTER (said = 1) > 0""",
+)
 def st_1_stream(spark: SparkSession, d: str) -> DataFrame:
     """Pairs from a stream of messages, with state per session."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     messages, path = materialize(T.log_messages(read(spark, d, "daily_log")), "messages")
     out = _folder(spark, "pairs")
     stream = spark.readStream.schema(messages.schema).parquet(path)
-    ST.run_once(ST.stream_pairs(stream), out + "-state", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination()
-    return spark.read.parquet(out).agg(F.count("*").alias("answers"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        ST.run_once(ST.stream_pairs(stream), out + "-state", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.parquet(out).select("session", "turn", "user_text", "assistant_text")
 
 
 @C.add(
     "st_4",
-    "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
+    """WITH c AS (SELECT path, created_at AS t, coalesce(created_at - lag(created_at) OVER w >= INTERVAL 7 DAY, true)::int AS new FROM documents WHERE path IS NOT NULL AND created_at IS NOT NULL WINDOW w AS (PARTITION BY path ORDER BY created_at)),
+b AS (SELECT path, t, sum(new) OVER (PARTITION BY path ORDER BY t) AS b FROM c) SELECT path, min(t) AS first, max(t) AS last, count(*) AS changes FROM b GROUP BY path, b HAVING max(t) + INTERVAL 7 DAY <= (SELECT max(created_at) - INTERVAL 10 MINUTE FROM documents WHERE path IS NOT NULL)""",
 )
 def st_4(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of changed files, put off until a file has been quiet for a week: one scan for every burst of changes that has ended."""
+    changes, path = materialize(read(spark, d, "documents").filter("path IS NOT NULL AND created_at IS NOT NULL").select("path", F.col("created_at").alias("at")), "changes")
+    out = _folder(spark, "scans")
+    stream = spark.readStream.schema(changes.schema).parquet(path)
+    apply = lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    ST.run_once(ST.debounced(stream, "path", "at", quiet="7 days"), out + "-state", apply).awaitTermination()
+    return spark.read.parquet(out).select("path", "first", "last", "changes")
+
+
+@C.add(
+    "st_4_windows",
+    "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
+)
+def st_4_windows(spark: SparkSession, d: str) -> DataFrame:
     return ST.windowed_counts(read(spark, d, "events"), size="6 hours")
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.operators.ordering import running
+from memloom.session import materialize
+
 LOG_SCHEMA = "timestamp string, user_text string, assistant_text string, meta struct<session_id:string,author:string,source:string>"
 HISTORY_SCHEMA = "cursor long, timestamp string, content string"
 # Folders of a source tree that hold no sources.
 SKIP_FOLDERS = (".git", "target", "node_modules", "dist", "build", "venv", ".venv", "vendor", "data", "logs", "backups", "__pycache__")
-_LOG_NAME = r"(\d{4}-\d{2}-\d{2})\.jsonl$"
+_LOG_NAME = r"/(?:day=)?(\d{4}-\d{2}-\d{2})(?:\.jsonl$|(?:\.jsonl)?/[^/]+$)"
 
 
 def decode_bytes(raw: bytes) -> str:
@@ -73,14 +76,18 @@ def parsed_log(lines: DataFrame) -> DataFrame:
 def read_daily_logs(spark: SparkSession, folder: str, *, session: str | None = None, most: int | None = None) -> DataFrame:
     """Entries of all ``YYYY-MM-DD.jsonl`` files of a folder; foreign files and broken lines are skipped.
 
-    A log file is one day; its lines are numbered within the file.  With ``session``
-    lines are searched for the id before they are parsed; ``most`` caps the rows.
+    A log is one day: a file of that name, or a folder of that name (or ``day=`` and the date) whose files
+    follow each other by name.  Lines are numbered within the day, over ranges of them, so
+    a day may be of any size.  With ``session`` lines are searched for the id before they are
+    parsed; ``most`` caps the rows.
     """
-    whole = spark.read.option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True)
-    name = F.concat(F.lit("daily/"), F.regexp_extract(F.col("_metadata.file_name"), _LOG_NAME, 0))
-    files = whole.select(name.alias("log_file"), "value").filter("log_file <> 'daily/'")
-    lines = files.select("log_file", F.posexplode(F.split("value", "\n")).alias("n", "value")).filter("value <> ''")
-    lines = lines.select("log_file", (F.col("n") + 1).cast("long").alias("line_no"), "value")
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(folder)
+    day = F.regexp_extract(F.col("_metadata.file_path"), _LOG_NAME, 1)
+    at = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__i": F.monotonically_increasing_id()}
+    lines = lines.select("value", F.concat(F.lit("daily/"), day, F.lit(".jsonl")).alias("log_file"), *[c.alias(n) for n, c in at.items()]).filter("log_file <> 'daily/.jsonl'")
+    # the numbers of a partition's rows ascend but may change when it is read again, so they are kept
+    lines, _ = materialize(lines, "lines")
+    lines = running(lines, ["log_file"], [F.asc(n) for n in at], totals={"line_no": F.lit(1).cast("long")}).drop(*at).filter("value <> ''")
     if session is not None:
         lines = lines.filter(F.contains("value", F.lit(session)))
     out = parsed_log(lines)

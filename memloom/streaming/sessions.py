@@ -85,6 +85,12 @@ def watch(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int],
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=debounce).start()
 
 
+def debounced(changes: DataFrame, key: str, time: str, *, quiet: str = "2500 milliseconds", late: str = "10 minutes") -> DataFrame:
+    """(key, first, last, changes): bursts of changes of a key, each given out once ``quiet`` and ``late`` went by without one."""
+    bursts = changes.withWatermark(time, late).groupBy(key, F.session_window(time, quiet).alias("w"))
+    return bursts.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("changes")).select(key, "first", "last", "changes")
+
+
 def counter_flush(path: str) -> Callable[[DataFrame, int], None]:
     """A batch function that writes the batch's counts per id as one table named by its number, so that a batch run again overwrites its own."""
 

@@ -12,7 +12,7 @@ from memloom.operators import evaluation as E
 from memloom.operators import extraction as O
 from memloom.operators import joins as J
 from memloom.operators import lifecycle as L
-from memloom.operators import parsers
+from memloom.operators import outline, parsers
 from memloom.operators import replica as P
 from memloom.operators import search as R
 from memloom.operators import sessions as T
@@ -250,10 +250,10 @@ def test_module_paths(spark):
 
 def test_parsers(spark):
     files = [(1, "a.py", "import os\nclass A(B):\n    async def f(self): pass\n"), (2, "b.rs", "use std::io;\npub struct S;\npub fn go() {}\n"), (3, "x.unknown", "def f(): pass"), (4, "c.ts", "import x from './y'\nexport class T {}\nconst g = async (a) => a\n"), (5, "d.sql", None)]
-    out = parsers.parse_sources(spark.createDataFrame(files, "i long, p string, t string"), "i", "p", "t")
+    out = outline.parse_sources(spark.createDataFrame(files, "i long, p string, t string"), "i", "p", "t")
     assert rows(out, "file_id", "kind", "name", "line") == sorted([(1, "Import", "os", 1), (1, "Class", "A", 2), (1, "Function", "f", 3), (2, "Import", "std::io", 1), (2, "Struct", "S", 2), (2, "Function", "go", 3), (4, "Import", "./y", 1), (4, "Class", "T", 2), (4, "Function", "g", 3)], key=str)
     for name, (_, patterns) in parsers.FORMATS.items():
-        assert patterns and parsers.parse_line_symbols("", name) == []
+        assert patterns and outline.outline("", name) == ([], [])
 
 
 def test_call_resolution(spark):
