@@ -103,8 +103,16 @@ def oversample_for(k: int, wanted: int = 400) -> int:
 
 
 def exact_search(vectors: DataFrame, id_col: str, vec_col: str, query: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
-    """(id, score, rank) by exact cosine; query: one row ``q``.  Vectors of another length score 0 and are left out."""
-    hits = vectors.join(F.broadcast(query.limit(1))).filter(F.size(vec_col) == F.size("q")).select(F.col(id_col).alias("id"), V.cosine(vec_col, "q").alias("score"))
+    """(id, score, rank) by exact cosine; query: one row ``q``.  Vectors of another length score 0 and are left out.
+
+    Where ``vectors`` has a column ``norm`` it is taken as the length of the vector.
+    """
+    one = query.limit(1).select("q", F.sqrt(V.dot("q", "q")).alias("q_norm"))
+    if "norm" in vectors.columns:
+        score = F.when((F.col("norm") > 0) & (F.col("q_norm") > 0), V.dot(vec_col, "q") / (F.col("norm") * F.col("q_norm"))).otherwise(0.0)
+    else:
+        score = V.cosine(vec_col, "q")
+    hits = vectors.join(F.broadcast(one)).filter(F.size(vec_col) == F.size("q")).select(F.col(id_col).alias("id"), score.alias("score"))
     return ranked(hits.filter(F.col("score") >= min_score), k)
 
 

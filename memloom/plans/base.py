@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memloom.functions.keys import NO_VALUE_WORDS, WHITE_SPACE
+from memloom.session import materialize
+from memloom.sources import tables
 
 AS_OF = "2026-12-01 00:00:00"
 
@@ -36,6 +38,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_PREPARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that a store keeps beside its records (search columns, vectors, graph), written once per application and folder.
+
+    The folder's tables must not change while the application runs.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PREPARED:
+        df = build()
+        few = df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+        _PREPARED[key], _ = materialize(df.repartition(spark.sparkContext.defaultParallelism) if few else df, name)
+    return _PREPARED[key]
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir, "nodes", lambda: tables.graph_nodes(spark, sf_dir))
+
+
+def graph_edges(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
+    return prepared(spark, sf_dir, "edges", lambda: tables.graph_edges(spark, sf_dir, graph_nodes(spark, sf_dir)))
+
+
 WS = "'" + WHITE_SPACE + "'"
 
 

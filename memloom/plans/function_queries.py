@@ -11,8 +11,7 @@ from memloom.functions import vectors as V
 from memloom.functions.keys import has_value, trimmed, unit_interval
 from memloom.operators.codegraph import manifest_hash, node_type_of_id, package_of_module
 from memloom.operators.lifecycle import merge_meta_existing, merge_meta_incoming
-from memloom.plans.base import AS_OF, SQL_GRAPH, WS, Catalog, read, sql_cos, sql_trim, sql_unit, sql_value
-from memloom.sources.tables import graph_edges, graph_nodes
+from memloom.plans.base import AS_OF, SQL_GRAPH, WS, Catalog, read, sql_cos, sql_trim, sql_unit, sql_value, graph_edges, graph_nodes
 
 C = Catalog()
 QUERIES, ORACLES = C.QUERIES, C.ORACLES

@@ -14,9 +14,8 @@ from memloom.operators import search as R
 from memloom.operators.ordering import global_rank
 from memloom.operators.similarity import nth_of
 from memloom.plans import golden_code
-from memloom.plans.base import SQL_GRAPH, Catalog, read
+from memloom.plans.base import SQL_GRAPH, Catalog, read, graph_edges, graph_nodes
 from memloom.plans.relational_queries import _DEG, _ENTRY, _HUBS, _USAGE, NO_HUBS, USAGE
-from memloom.sources.tables import graph_edges, graph_nodes
 
 C = Catalog()
 QUERIES, ORACLES = C.QUERIES, C.ORACLES

@@ -18,10 +18,10 @@ from memloom.operators import search as R
 from memloom.operators import sessions as T
 from memloom.operators.similarity import approximate_recall, best_neighbour
 from memloom.plans.graph_queries import rank_sql
-from memloom.plans.base import AS_OF, SQL_GRAPH, Catalog, read, sql_trim, sql_unit
+from memloom.plans.base import AS_OF, SQL_GRAPH, Catalog, read, sql_trim, sql_unit, graph_edges, graph_nodes
 from memloom.plans.relational_queries import _BEST, _FACTS, _MAPPING, _MSGS, _PAIRS, _SLOTS, _STATS, USAGE, canonical_mapping, close_memories, facts, memory_stats, slots
 from memloom.plans.search_queries import _NEAR, _VEC, _bm25_sql, _hybrid, _query_vector, _vectors, hits_rank_sql
-from memloom.sources.tables import graph_edges, graph_nodes, live
+from memloom.sources.tables import live
 
 C = Catalog()
 QUERIES, ORACLES = C.QUERIES, C.ORACLES

@@ -17,9 +17,9 @@ from memloom.operators import replica as P
 from memloom.operators import sessions as T
 from memloom.operators.similarity import best_neighbour, similar_pairs
 from memloom.operators.vectors import usable
-from memloom.plans.base import SQL_GRAPH, SQL_USABLE, WS, Catalog, read, sql_cos, sql_trim, sql_unit, sql_value
+from memloom.plans.base import SQL_GRAPH, SQL_USABLE, WS, Catalog, read, sql_cos, sql_trim, sql_unit, sql_value, graph_edges, graph_nodes
 from memloom.plans.function_queries import document_chunks, _CHUNKS
-from memloom.sources.tables import cleaned, graph_edges, graph_nodes, live
+from memloom.sources.tables import cleaned, live
 
 C = Catalog()
 QUERIES, ORACLES = C.QUERIES, C.ORACLES

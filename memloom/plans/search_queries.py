@@ -12,8 +12,8 @@ from memloom.operators import graph as G
 from memloom.operators import joins as J
 from memloom.operators import search as R
 from memloom.operators.vectors import usable
-from memloom.plans.base import AS_OF, SQL_GRAPH, SQL_USABLE, Catalog, read, sql_cos, sql_unit
-from memloom.sources.tables import graph_edges, graph_nodes, live
+from memloom.plans.base import AS_OF, SQL_GRAPH, SQL_USABLE, Catalog, prepared, read, sql_cos, sql_unit, graph_edges, graph_nodes
+from memloom.sources.tables import live
 
 C = Catalog()
 QUERIES, ORACLES = C.QUERIES, C.ORACLES
@@ -22,17 +22,21 @@ PROJECT = "prj_hub"
 
 
 def _live(spark: SparkSession, d: str) -> DataFrame:
-    return live(read(spark, d, "memories"))
+    """Live memories, the text columns of the store."""
+    return prepared(spark, d, "live", lambda: live(read(spark, d, "memories")))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _live(spark, d).filter(usable("embedding")).select("mem_id", "embedding", "project_id")
+    """The vectors of the store that can be searched, with their lengths and masks."""
+    build = lambda: _live(spark, d).filter(usable("embedding")).select("mem_id", "embedding", "project_id", F.sqrt(V.dot("embedding", "embedding")).alias("norm"), V.sign_mask("embedding").alias("mask"))
+    return prepared(spark, d, "vectors", build)
 
 
 def _query_vector(spark: SparkSession, d: str, mask: bool = False) -> DataFrame:
-    """The embedding of the first live memory that has one."""
-    v = _vectors(spark, d).orderBy("mem_id").limit(1).select(F.col("embedding").alias("q"))
-    return v.withColumn("q_mask", V.sign_mask("q")) if mask else v
+    """The embedding of the first live memory that has one, as a query of its own."""
+    build = lambda: _vectors(spark, d).orderBy("mem_id").limit(1).select(F.col("embedding").alias("q"), F.col("mask").alias("q_mask")).coalesce(1)
+    one = prepared(spark, d, "query", build)
+    return one if mask else one.select("q")
 
 
 def _bm25_sql(table: str, id_col: str, text: str, terms: list[str], k: int | None, every: bool = True) -> str:
@@ -84,7 +88,7 @@ two AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FR
 
 @C.add("ret_2", f"WITH {_VEC}, {_TWO()} SELECT id, round(score, 6) AS score, rank FROM two")
 def ret_2(spark: SparkSession, d: str) -> DataFrame:
-    masked = R.with_mask(_vectors(spark, d), "embedding")
+    masked = _vectors(spark, d)
     return _hits(R.two_stage_search(masked, "mem_id", "embedding", _query_vector(spark, d, True), 10, 0.1))
 
 
@@ -112,7 +116,7 @@ def ret_3_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add("ret_4", f"WITH {_VEC}, {_TWO(f'project_id = {chr(39)}{PROJECT}{chr(39)}')} SELECT id, round(score, 6) AS score, rank FROM two")
 def ret_4(spark: SparkSession, d: str) -> DataFrame:
-    masked = R.with_mask(_vectors(spark, d), "embedding")
+    masked = _vectors(spark, d)
     return _hits(R.two_stage_search(masked, "mem_id", "embedding", _query_vector(spark, d, True), 10, 0.1, namespace=F.col("project_id") == PROJECT))
 
 
