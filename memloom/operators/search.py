@@ -196,10 +196,17 @@ def two_stage_search(
 
 
 def int8_search(vectors: DataFrame, id_col: str, vec_col: str, query: DataFrame, k: int, *, oversample: int = 2) -> DataFrame:
-    """(id, score, rank): cosine over int8 vectors keeps ``k * oversample`` candidates, exact cosine orders them."""
-    one = F.broadcast(query.limit(1))
-    quantised = vectors.select(F.col(id_col).alias("id"), V.int8_quantize(vec_col).alias("s"))
-    rough = quantised.join(one.select(V.int8_quantize("q").alias("qs"))).select("id", V.cosine(F.col("s.q"), F.col("qs.q")).alias("c"))
+    """(id, score, rank): cosine over int8 vectors keeps ``k * oversample`` candidates, exact cosine orders them.
+
+    Where ``vectors`` has the columns ``q8`` and ``q8_norm`` they are taken as the quantised vector and its length.
+    """
+    q8 = V.int8_quantize("q")
+    one = F.broadcast(query.limit(1).select("q", q8.alias("qs")))
+    stored = "q8" in vectors.columns
+    quantised = vectors.select(F.col(id_col).alias("id"), "q8" if stored else V.int8_quantize(vec_col)["q"].alias("q8"), "q8_norm" if stored else F.lit(None).cast("double").alias("q8_norm"))
+    quantised = quantised if stored else quantised.withColumn("q8_norm", F.sqrt(V.dot("q8", "q8")))
+    ones = one.select(F.col("qs.q").alias("qs"))
+    rough = quantised.join(ones).select("id", F.when(F.col("q8_norm") > 0, V.dot("q8", "qs") / F.col("q8_norm")).otherwise(0.0).alias("c"))  # the query's length orders nothing
     kept = rough.orderBy(F.desc("c"), "id").limit(k * oversample).select("id")
     again = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).join(F.broadcast(kept), "id", "left_semi")
     return ranked(again.join(one.select("q")).select("id", V.cosine("vec", "q").alias("score")), k)

@@ -50,7 +50,7 @@ def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Da
     if key not in _PREPARED:
         df = build()
         few = df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-        _PREPARED[key], _ = materialize(df.repartition(spark.sparkContext.defaultParallelism) if few else df, name)
+        _PREPARED[key], _ = materialize(df.repartition(spark.sparkContext.defaultParallelism) if few else df, name, keep=True)
     return _PREPARED[key]
 
 

@@ -28,7 +28,12 @@ def _live(spark: SparkSession, d: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """The vectors of the store that can be searched, with their lengths and masks."""
-    build = lambda: _live(spark, d).filter(usable("embedding")).select("mem_id", "embedding", "project_id", F.sqrt(V.dot("embedding", "embedding")).alias("norm"), V.sign_mask("embedding").alias("mask"))
+
+    def build() -> DataFrame:
+        q8 = V.int8_quantize("embedding")["q"]
+        v = _live(spark, d).filter(usable("embedding")).select("mem_id", "embedding", "project_id", F.sqrt(V.dot("embedding", "embedding")).alias("norm"), V.sign_mask("embedding").alias("mask"), q8.alias("q8"))
+        return v.withColumn("q8_norm", F.sqrt(V.dot("q8", "q8")))
+
     return prepared(spark, d, "vectors", build)
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators import sessions as T
 from memloom.plans.base import Catalog, read
-from memloom.session import materialize, scratch_root
+from memloom.session import materialize, scratch_folder
 from memloom.sources import readers, writers
 from memloom.streaming import sessions as ST
 
@@ -17,10 +15,6 @@ C = Catalog()
 QUERIES, ORACLES = C.QUERIES, C.ORACLES
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/memloom-{uuid.uuid4().hex}/{name}"
-
-
 @C.add("src_1", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def src_1(spark: SparkSession, d: str) -> DataFrame:
     """Every other text as windows-1251 bytes if it can be, decoded again."""
@@ -35,15 +29,24 @@ def src_1(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", readers.decoded(raw).alias("text"))
 
 
-@C.add("src_2")
+@C.add(
+    "src_2",
+    """WITH t AS (SELECT lower(lang) AS lang, doc_id, title FROM documents WHERE title IS NOT NULL AND lang IS NOT NULL)
+SELECT lang, 'txt' AS format, sum(strlen(title) + 1)::bigint AS size_bytes, sha256(string_agg(title || chr(10), '' ORDER BY doc_id)) AS digest FROM t GROUP BY lang""",
+)
 def src_2(spark: SparkSession, d: str) -> DataFrame:
-    """Names, formats and sizes of the files of the data folder."""
-    return readers.read_texts(spark, d).select("file_name", "format", "size_bytes")
+    """Titles as one text file per language, read back with name, format and size."""
+    folder = scratch_folder(spark, "titles")
+    titles = read(spark, d, "documents").filter("title IS NOT NULL AND lang IS NOT NULL").select(F.lower("lang").alias("l"), "doc_id", "title")
+    titles.repartition("l").sortWithinPartitions("l", "doc_id").select("l", "title").write.partitionBy("l").text(folder)
+    files = readers.read_texts(spark, folder, glob="*.txt")
+    lang = F.regexp_extract("path", "/l=([^/]*)/", 1)
+    return files.select(lang.alias("lang"), "format", "size_bytes", F.sha2("text", 256).alias("digest"))
 
 
 def _log_days(spark: SparkSession, d: str) -> str:
     """The log as a folder of days, lines in order."""
-    folder = _folder(spark, "days")
+    folder = scratch_folder(spark, "days")
     log = read(spark, d, "daily_log").filter("logged_at <> ''").withColumn("day", F.regexp_extract("log_file", r"(\d{4}-\d{2}-\d{2})", 1)).filter("day <> ''")
     log = log.select("day", "line_no", "entry_id", F.col("logged_at").alias("timestamp"), "user_text", "assistant_text", "meta")
     log.repartition("day").sortWithinPartitions("day", "line_no", "entry_id").drop("line_no", "entry_id").write.partitionBy("day").json(folder)
@@ -70,7 +73,7 @@ def src_4(spark: SparkSession, d: str) -> DataFrame:
 @C.add("src_5", "SELECT entry_id AS cursor, user_text AS content FROM daily_log WHERE entry_id > 500 ORDER BY entry_id LIMIT 50")
 def src_5(spark: SparkSession, d: str) -> DataFrame:
     """The next page of a history file after a cursor."""
-    path = _folder(spark, "history")
+    path = scratch_folder(spark, "history")
     read(spark, d, "daily_log").select(F.col("entry_id").alias("cursor"), F.col("logged_at").alias("timestamp"), F.col("user_text").alias("content")).write.json(path)
     return readers.read_history(spark, path, 500, 50).select("cursor", "content")
 
@@ -78,11 +81,11 @@ def src_5(spark: SparkSession, d: str) -> DataFrame:
 @C.add("src_6", "SELECT logged_at AS timestamp, user_text, count(*) AS n FROM daily_log WHERE logged_at IS NOT NULL GROUP BY ALL")
 def src_6(spark: SparkSession, d: str) -> DataFrame:
     """The log tailed as a stream in two runs: the second gets what came since, and nothing twice."""
-    folder = _folder(spark, "daily")
+    folder = scratch_folder(spark, "daily")
     log = read(spark, d, "daily_log").filter("logged_at IS NOT NULL")
     log = log.select("entry_id", F.col("logged_at").alias("timestamp"), "user_text", "assistant_text", "meta")
     middle = F.broadcast(log.agg(F.expr("percentile_approx(entry_id, 0.5)").alias("m")))  # one row
-    out = _folder(spark, "tailed")
+    out = scratch_folder(spark, "tailed")
     for part in ("entry_id <= m", "entry_id > m"):
         log.join(middle).filter(part).drop("entry_id", "m").write.mode("append").json(folder)
         ST.run_once(ST.tail_logs(spark, folder, files_per_batch=4), out + "-state", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination()
@@ -104,6 +107,22 @@ def src_7(spark: SparkSession, d: str) -> DataFrame:
     return files.select("path", format_column("path").alias("lang"), F.octet_length("text").alias("size_bytes"), manifest_hash("text").alias("hash"))
 
 
+@C.add(
+    "src_7_tree",
+    "SELECT * FROM (VALUES ('store/cache.py', 'python'), ('src/graph.rs', 'rust'), ('web/client.ts', 'ts-js'), ('cmd/server.go', 'go'), ('app/jobs.py', 'python'), ('web/kept.min.js', 'ts-js'), ('app/__init__.py', 'python')) t(path, lang)",
+)
+def src_7_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The golden sources among files that a walk leaves out: folders without sources, generated modules, what ignore files name."""
+    from memloom.plans.golden_code import SOURCES
+
+    root = scratch_folder(spark, "tree")
+    out = ["target/x.rs", "logs/a.py", "app/x_pb2.py", "app/x_pb2_grpc.py", "web/a.min.js", "web/gen/b.ts", "cmd/tmp/deep/c.go", ".ci/d.py", "notes.unknown"]
+    more = {"web/kept.min.js": "x\n", "app/__init__.py": "", ".gitignore": "# generated\n*.min.js\n!kept.min.js\n/web/gen/\n", "cmd/.gitignore": "tmp\n"}
+    for path, text in {**SOURCES, **dict.fromkeys(out, "x\n"), **more}.items():
+        writers.write_file(spark, f"{root}/{path}", text)
+    return readers.read_source_tree(spark, root).select("path", "lang")
+
+
 @C.add(
     "src_9",
     """WITH n AS (SELECT mem_id AS id FROM memories), e AS (SELECT from_id AS src, to_id AS dst FROM memory_links WHERE from_id IN (FROM n) AND to_id IN (FROM n))
@@ -111,7 +130,7 @@ SELECT 'imported' AS project_id, (SELECT count(*) FROM n) AS nodes, src, dst, co
 )
 def src_9(spark: SparkSession, d: str) -> DataFrame:
     """Memories and links as the JSON lines of another tool's graph, read back and imported with their edges."""
-    path = _folder(spark, "graph")
+    path = scratch_folder(spark, "graph")
     read(spark, d, "memories").select(F.col("mem_id").alias("id"), F.col("mem_key").alias("label")).write.json(f"{path}/nodes")
     read(spark, d, "memory_links").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("kind").alias("label")).write.json(f"{path}/edges")
     back = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
@@ -123,14 +142,14 @@ def src_9(spark: SparkSession, d: str) -> DataFrame:
 @C.add("src_10", "SELECT lesson_id AS query, len(source_ids)::bigint AS expected FROM lessons WHERE len(source_ids) > 0")
 def src_10(spark: SparkSession, d: str) -> DataFrame:
     """Lessons as golden cases, written as JSON lines and read with their checks."""
-    path = _folder(spark, "golden")
+    path = scratch_folder(spark, "golden")
     read(spark, d, "lessons").filter(F.size("source_ids") > 0).select(F.col("lesson_id").alias("query"), F.col("source_ids").alias("expect_keys"), F.lit("").alias("note")).write.json(path)
     return readers.read_golden(spark, path).select("query", F.size("expect_keys").cast("long").alias("expected"))
 
 
 @C.add("snk_3", "SELECT substr(logged_at, 1, 10) AS day, count(*) AS n FROM daily_log WHERE regexp_matches(logged_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T') GROUP BY 1")
 def snk_3(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "appended")
+    folder = scratch_folder(spark, "appended")
     log = read(spark, d, "daily_log").filter(F.col("logged_at").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T"))
     writers.append_daily_log(log.select(F.col("logged_at").alias("timestamp"), "user_text", "assistant_text", "meta"), folder)
     back = spark.read.option("inferSchema", "false").schema("timestamp string, day string").json(folder)
@@ -143,7 +162,7 @@ _OLD = "try_cast(regexp_extract(log_file, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS
 @C.add("snk_4", f"SELECT CASE WHEN coalesce({_OLD} >= DATE '2026-12-01' - 120, true) THEN 'kept' ELSE strftime({_OLD}, '%Y-%m') END AS place, entry_id, user_text FROM daily_log")
 def snk_4(spark: SparkSession, d: str) -> DataFrame:
     """Where each entry lies after archiving twice: in a month's archive, or kept."""
-    folder = _folder(spark, "archive")
+    folder = scratch_folder(spark, "archive")
     log = read(spark, d, "daily_log").select("log_file", "entry_id", "user_text")
     for _ in range(2):
         kept = writers.archive_logs(log, folder, "2026-12-01", 120)
@@ -154,7 +173,7 @@ def snk_4(spark: SparkSession, d: str) -> DataFrame:
 @C.add("snk_7", "SELECT n AS name, lesson_id, content FROM lessons, (VALUES ('2026-01-02'), ('2026-01-03')) t(n)")
 def snk_7(spark: SparkSession, d: str) -> DataFrame:
     """Three snapshots, of which the last two are kept and restored."""
-    folder = _folder(spark, "backups")
+    folder = scratch_folder(spark, "backups")
     names = ("2026-01-01", "2026-01-02", "2026-01-03")
     for name in names:
         writers.backup(read(spark, d, "lessons"), folder, name)
@@ -172,7 +191,7 @@ SELECT session, max(turn) FILTER (said = 1) AS turn, coalesce(string_agg(c, chr(
 def st_1_stream(spark: SparkSession, d: str) -> DataFrame:
     """Pairs from a stream of messages, with state per session."""
     messages, path = materialize(T.log_messages(read(spark, d, "daily_log")), "messages")
-    out = _folder(spark, "pairs")
+    out = scratch_folder(spark, "pairs")
     stream = spark.readStream.schema(messages.schema).parquet(path)
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
@@ -192,7 +211,7 @@ b AS (SELECT path, t, sum(new) OVER (PARTITION BY path ORDER BY t) AS b FROM c)
 def st_4(spark: SparkSession, d: str) -> DataFrame:
     """A stream of changed files, put off until a file has been quiet for a week: one scan for every burst of changes that has ended."""
     changes, path = materialize(read(spark, d, "documents").filter("path IS NOT NULL AND created_at IS NOT NULL").select("path", F.col("created_at").alias("at")), "changes")
-    out = _folder(spark, "scans")
+    out = scratch_folder(spark, "scans")
     stream = spark.readStream.schema(changes.schema).parquet(path)
     apply = lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")
     ST.run_once(ST.debounced(stream, "path", "at", quiet="7 days"), out + "-state", apply).awaitTermination()
@@ -220,7 +239,7 @@ def st_7(spark: SparkSession, d: str) -> DataFrame:
 @C.add("st_5", "SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1")
 def st_5(spark: SparkSession, d: str) -> DataFrame:
     """Counters of a stream, flushed batch by batch and summed."""
-    out = _folder(spark, "counts")
+    out = scratch_folder(spark, "counts")
     schema = read(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("user_id").alias("id"), "ts")
     ST.run_once(stream, out + "-state", ST.counter_flush(out)).awaitTermination()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,25 +49,92 @@ def read_texts(spark: SparkSession, path: str, *, glob: str | None = None) -> Da
     return files.select("path", name.alias("file_name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("format"), F.col("length").alias("size_bytes"), decoded("content").alias("text"))
 
 
+def ignore_pattern(line: str, folder: str) -> tuple[str, bool] | None:
+    """(regular expression over relative paths, whether it ignores) of a line of an ignore file in ``folder``; null for blank lines and comments."""
+    rule = line.rstrip("\r\n").rstrip()
+    if not rule or rule.startswith("#"):
+        return None
+    ignores, rule = not rule.startswith("!"), rule.lstrip("!")
+    inner = rule.rstrip("/")
+    anchored, inner = "/" in inner, inner.lstrip("/")
+    parts = re.split(r"(\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\])", inner)
+    wild = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    body = "".join(wild.get(p) or (p if p.startswith("[") and p.endswith("]") else re.escape(p)) for p in parts if p)
+    base = re.escape(folder + "/") if folder else ""
+    return f"^{base}{'' if anchored else '(?:.*/)?'}{body}{'/' if rule.endswith('/') else '(?:/|$)'}", ignores
+
+
+def _ignored(paths: Column, rules: list[tuple[str, bool]]) -> Column:
+    """True for paths that the last rule that fits ignores."""
+
+    @F.pandas_udf("boolean")
+    def ignored(values):
+        compiled = [(re.compile(p), flag) for p, flag in reversed(rules)]
+        return values.map(lambda v: next((flag for p, flag in compiled if p.search(v)), False))
+
+    return ignored(paths)
+
+
+#: Rules of all ignore files of a tree, and files of a tree, at most.
+RULES_MOST = 20_000
+FILES_MOST = 5_000_000
+
+
+def _file_system(root: str):
+    """(file system, path in it) of a folder; a path without a scheme is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def _contents(root: str):
+    def read(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        files, base = _file_system(root)
+        for batch in batches:
+            for i, rel in enumerate(batch.column(0).to_pylist()):
+                with files.open_input_stream(f"{base}/{rel}") as f:
+                    content = f.read()
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], names=["path", "lang", "size_bytes", "content"])
+
+    return read
+
+
 def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, lang, size_bytes, hash, text) of the files of a source tree that a format of the registry takes, relative to its root.
 
-    Folders without sources, generated protocol modules and files above the format's cap are left out
-    before their content is decoded.
+    Hidden files and folders, folders without sources, what ``.gitignore`` files name, generated protocol modules
+    and files above the format's cap are left out before any content is read.  Of the ignore
+    rules the last that fits counts, deeper files after higher ones.  The tree is listed here and
+    its files are read by the tasks, as Spark's own readers pass over names like ``__init__.py``.
     """
+    from pyarrow.fs import FileSelector, FileType
+
     from memloom.operators.parsers import CAP_BYTES, NOTEBOOK_CAP_BYTES, format_column
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inner = F.regexp_replace("path", "^.*?" + _quoted(root.rstrip("/").split("://")[-1]) + "/+", "")
-    files = files.withColumn("rel", inner).withColumn("lang", format_column("rel"))
-    folders = F.slice(F.split("rel", "/"), 1, F.greatest(F.lit(0), F.size(F.split("rel", "/")) - 1))
+    files, base = _file_system(root)
+    found = [(x.path[len(base) :].lstrip("/"), x.size) for x in files.get_file_info(FileSelector(base, recursive=True)) if x.type == FileType.File]
+    if len(found) > FILES_MOST:
+        raise ValueError(f"more than {FILES_MOST} files; read the tree folder by folder")
+    left_out = lambda rel: any(p in SKIP_FOLDERS for p in rel.split("/")[:-1])
+    rules: list[tuple[str, bool]] = []
+    for rel, _ in sorted((x for x in found if x[0].split("/")[-1] == ".gitignore" and not left_out(x[0])), key=lambda x: (x[0].count("/"), x[0])):
+        with files.open_input_stream(f"{base}/{rel}") as f:
+            rules += [r for line in decode_bytes(f.read()).split("\n") if (r := ignore_pattern(line, rel.rpartition("/")[0]))]
+    if len(rules) > RULES_MOST:
+        raise ValueError(f"more than {RULES_MOST} ignore rules")
+    hidden = F.exists(F.split("path", "/"), lambda p: p.startswith("."))
+    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.lit(0), F.size(F.split("path", "/")) - 1))
+    sourceless = F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_FOLDERS)))
+    tree = spark.createDataFrame(found, "path string, size_bytes long").withColumn("lang", format_column("path"))
     cap = F.when(F.col("lang") == "notebook", NOTEBOOK_CAP_BYTES).otherwise(CAP_BYTES)
-    kept = files.filter(F.col("lang").isNotNull() & ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_FOLDERS))) & ~F.col("rel").endswith("_pb2.py") & (F.col("length") <= cap))
-    return kept.select(F.col("rel").alias("path"), "lang", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("hash"), decoded("content").alias("text"))
-
-
-def _quoted(s: str) -> str:
-    return "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in s)
+    kept = tree.filter(F.col("lang").isNotNull() & ~hidden & ~sourceless & ~F.col("path").rlike("_pb2(?:_grpc)?\\.py$") & (F.col("size_bytes") <= cap))
+    if rules:
+        kept = kept.filter(~_ignored(F.col("path"), rules))
+    kept = kept.select("path", "lang", "size_bytes").mapInArrow(_contents(root), "path string, lang string, size_bytes long, content binary")
+    return kept.select("path", "lang", "size_bytes", F.sha2("content", 256).alias("hash"), decoded("content").alias("text"))
 
 
 def parsed_log(lines: DataFrame) -> DataFrame:

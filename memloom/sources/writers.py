@@ -21,13 +21,8 @@ def archive_logs(entries: DataFrame, folder: str, as_of: str, keep_days: int) ->
     """
     day = F.try_to_timestamp(F.regexp_extract("log_file", r"(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd")).cast("date")
     old = F.coalesce(day < F.date_sub(F.lit(as_of).cast("date"), keep_days), F.lit(False))
-    spark = entries.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        entries.filter(old).withColumn("month", F.date_format(day, "yyyy-MM")).write.mode("overwrite").partitionBy("month").option("compression", "gzip").json(folder)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    writer = entries.filter(old).withColumn("month", F.date_format(day, "yyyy-MM")).write.mode("overwrite").partitionBy("month")
+    writer.option("partitionOverwriteMode", "dynamic").option("compression", "gzip").json(folder)
     return entries.filter(~old)
 
 
@@ -63,3 +58,14 @@ def rotate_backups(spark: SparkSession, folder: str, keep: int) -> list[str]:
     for n in gone:
         fs.delete(jvm.org.apache.hadoop.fs.Path(root, n), True)
     return gone
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file at a path of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
