@@ -122,8 +122,8 @@ def trust_after(events: DataFrame, start: DataFrame, key: str, order: list[str])
     for name, d in TRUST_STEPS.items():
         step = F.when(F.col("verdict") == name, F.lit(d)).otherwise(step)
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = events.select(F.col(key).alias("k"), *order, step.alias("d")).repartitionByRange(n, "k", *order).sortWithinPartitions("k", *order)
-    kind = ranged.schema["k"].dataType.simpleString()
+    ranged = events.select(F.col(key).alias("__k"), *order, step.alias("__d")).repartitionByRange(n, "__k", *order).sortWithinPartitions("__k", *order)
+    kind = ranged.schema["__k"].dataType.simpleString()
 
     def fold(batches):
         import numpy as np
@@ -136,14 +136,14 @@ def trust_after(events: DataFrame, start: DataFrame, key: str, order: list[str])
             code = k.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
             first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             runs = _folded(first, d)
-            yield pa.RecordBatch.from_arrays([k.take(pa.array(first)), batch.column(1).take(pa.array(first)), *map(pa.array, runs)], names=["k", "first", "d", "lo", "hi"])
-
-    numbered = ranged.select("k", F.monotonically_increasing_id().alias("i"), "d")
-    parts = numbered.mapInArrow(fold, f"k {kind}, first long, d double, lo double, hi double")
-    chains = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("first", "d", "lo", "hi"))).alias("parts"))  # one an Arrow batch at most
-    after = F.aggregate("parts", F.col("trust"), lambda x, p: F.least(p["hi"], F.greatest(p["lo"], x + p["d"])))
-    out = start.join(chains, F.col(key) == F.col("k"), "left")
-    return out.select(key, F.round(F.when(F.col("parts").isNull(), F.col("trust")).otherwise(after), 6).alias("trust"))
+            yield pa.RecordBatch.from_arrays([k.take(pa.array(first)), batch.column(1).take(pa.array(first)), *map(pa.array, runs)], names=["__k", "first", "d", "lo", "hi"])
+
+    numbered = ranged.select("__k", F.monotonically_increasing_id().alias("i"), F.col("__d").alias("d"))
+    parts = numbered.mapInArrow(fold, f"__k {kind}, first long, d double, lo double, hi double")
+    chains = parts.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("first", "d", "lo", "hi"))).alias("__parts"))  # one an Arrow batch at most
+    after = F.aggregate("__parts", F.col("trust"), lambda x, p: F.least(p["hi"], F.greatest(p["lo"], x + p["d"])))
+    out = start.join(chains, F.col(key) == F.col("__k"), "left")
+    return out.select(key, F.round(F.when(F.col("__parts").isNull(), F.col("trust")).otherwise(after), 6).alias("trust"))
 
 
 def decayed(records: DataFrame, rate: float) -> DataFrame:

@@ -57,8 +57,8 @@ def ignore_pattern(line: str, folder: str) -> tuple[str, bool] | None:
     ignores, rule = not rule.startswith("!"), rule.lstrip("!")
     inner = rule.rstrip("/")
     anchored, inner = "/" in inner, inner.lstrip("/")
-    parts = re.split(r"(\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\])", inner)
-    wild = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\])", inner)
+    wild = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
     body = "".join(wild.get(p) or (p if p.startswith("[") and p.endswith("]") else re.escape(p)) for p in parts if p)
     base = re.escape(folder + "/") if folder else ""
     return f"^{base}{'' if anchored else '(?:.*/)?'}{body}{'/' if rule.endswith('/') else '(?:/|$)'}", ignores
