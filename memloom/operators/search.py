@@ -116,17 +116,19 @@ def exact_search(vectors: DataFrame, id_col: str, vec_col: str, query: DataFrame
     return ranked(hits.filter(F.col("score") >= min_score), k)
 
 
-def batch_search(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int, min_score: float = -1.0, *, block: int = 50_000) -> DataFrame:
+def batch_search(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int, min_score: float = -1.0, *, block: int = 50_000, slice_: int = 20_000) -> DataFrame:
     """(query, id, score): for each of many queries (query, q) its ``k`` nearest by exact cosine, itself left out; ties to the smaller id.
 
-    Rows are spread over blocks of about ``block``; every block meets the queries, a slice of
-    them at a time, as one matrix product, and hands on its best ``k`` of each
+    Rows are spread over blocks of about ``block``, queries over slices of about ``slice_``; every block meets
+    every slice in a task of its own, as one matrix product, and hands on its best ``k`` of each
     query; these are merged per query, at most ``k`` a block.  For many queries on many
     rows the work is their product; nothing else grows with it.
     """
-    n_blocks = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("b"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    wanted = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.col("query").cast("long").alias("query"), F.col("q").cast("array<float>").alias("v"))
+    n_blocks, n_slices = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // slice_))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = vectors.select(part(id_col, n_blocks).alias("b"), every(n_slices).alias("s"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    wanted = queries.select(every(n_blocks).alias("b"), part("query", n_slices).alias("s"), F.col("query").cast("long").alias("query"), F.col("q").cast("array<float>").alias("v"))
 
     def nearest(left, right):
         import numpy as np
@@ -153,7 +155,7 @@ def batch_search(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFra
         query, i, score = (np.concatenate(c) for c in zip(*out))
         return pa.table({"query": query, "id": i, "score": score})
 
-    best = rows.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(nearest, "query long, id long, score double")
+    best = rows.groupBy("b", "s").cogroup(wanted.groupBy("b", "s")).applyInArrow(nearest, "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
