@@ -9,7 +9,7 @@ task: their minimum is pre-aggregated and their edges meet it part by part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.session import materialize, release
@@ -35,11 +35,10 @@ def _towards_minimum(arcs: DataFrame, n_arcs: int) -> DataFrame:
 
 
 def _written(edges: DataFrame, name: str) -> tuple[DataFrame, str, tuple[int, int]]:
-    """The edges as a table, its path, and a mark of what they are, taken while they are written."""
-    seen = Observation()
-    marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-    table, path = materialize(edges.observe(seen, *marks), name)
-    return table, path, (seen.get["n"], int(seen.get["h"] or 0))
+    """The edges as a table, its path, and a mark of what they are."""
+    table, path = materialize(edges, name)
+    r = table.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return table, path, (r["n"], int(r["h"] or 0))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, *, node: str = "node", component: str = "component", max_rounds: int = 60) -> DataFrame:
