@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators.collisions import SAMPLED, in_sample
 from memloom.operators.joins import spread_join
+from memloom.operators.ordering import partitions_for
 from memloom.session import materialize
 
 LEAST = 120
@@ -177,15 +178,16 @@ def _repeated(batches: Iterable) -> Iterator:
         yield from held[0].combine_chunks().to_batches()
 
 
-def _hot_anchors(source: DataFrame, k: int, s: int) -> DataFrame:
-    """(h, n): anchors of very many documents and about how often they stand, told by one document in 32.
+def _hot_anchors(source: DataFrame, k: int, s: int) -> tuple[DataFrame, int]:
+    """(h, n): anchors of very many documents and about how often they stand, told by one document in 32; and about how many rows there are in all.
 
     What is counted in the sample stands in several documents for sure; that others stay
     untold changes how work is spread and nothing else.
     """
     sampled = source.filter(in_sample("doc")).mapInArrow(_occurrences(k, s), _ANCHORS)
-    counts = sampled.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("e"))
-    return counts.filter((F.col("n") > _HOT_ROWS // SAMPLED) & (F.col("d") != F.col("e"))).select("h", (F.col("n") * SAMPLED).alias("n"))
+    counts, _ = materialize(sampled.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("e")), "sampled")
+    rows = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return counts.filter((F.col("n") > _HOT_ROWS // SAMPLED) & (F.col("d") != F.col("e"))).select("h", (F.col("n") * SAMPLED).alias("n")), rows * SAMPLED
 
 
 def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, *, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -193,9 +195,10 @@ def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, *, least: int
     k, s = _anchor_size(least)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     source = source.filter((F.char_length("text") >= least) & F.col("doc").isNotNull())
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = source.mapInArrow(_occurrences(k, s), _ANCHORS)
-    hot, _ = materialize(_hot_anchors(source, k, s), "hot")
+    hot, n_rows = _hot_anchors(source, k, s)
+    hot, _ = materialize(hot, "hot")
+    n = partitions_for(docs.sparkSession, n_rows)
     n_hot = hot.count()
     if not n_hot:
         return found.repartition(n, "h").sortWithinPartitions("h", "doc").mapInArrow(_repeated, _ANCHORS), hot

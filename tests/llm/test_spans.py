@@ -63,3 +63,18 @@ def test_hot_passage_and_empty(spark, monkeypatch):
     assert sharing_pairs(shared_passages(df.limit(0), "i", "t")).count() == 0
     assert shared_share(df.limit(0), "i", "t").count() == 0
     assert sharing_pairs(shared_passages(df.limit(1), "i", "t")).count() == 0
+
+
+def test_hot_anchors_are_spread(spark, monkeypatch):
+    from memloom.llm import spans
+    from memloom.operators import collisions, joins
+
+    for module, name, value in ((collisions, "SAMPLED", 1), (spans, "SAMPLED", 1), (spans, "_HOT_ROWS", 12), (joins, "HOT_ROWS", 6)):
+        monkeypatch.setattr(module, name, value)
+    rnd = random.Random(4)
+    standing = "".join(rnd.choice("abcdefgh ijkl") for _ in range(260))
+    rows = texts(7, 30) + [(1000 + i, f"{rnd.random()} {standing[: 200 + i]} {rnd.random()}") for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, t string")
+    pairs, shared = brute(rows, 120)
+    assert {tuple(r) for r in sharing_pairs(shared_passages(df, "i", "t")).collect()} == pairs
+    assert {r.doc: r.shared_chars for r in shared_share(df, "i", "t").collect()} == {i: n for i, (n, _) in shared.items()}
