@@ -145,3 +145,15 @@ def trigger_policy(entries: DataFrame, came: Column, last: str, now: str, *, lea
     row = entries.agg(F.coalesce(F.sum((came > since).cast("long")), F.lit(0)).alias("fresh")).withColumn("hours", hours)
     reason = F.when(F.col("hours") < least_hours, "too soon").when(F.col("fresh") < least_new, "too few entries").otherwise("due")
     return row.select("hours", "fresh", (reason == "due").alias("run"), reason.alias("reason"))
+
+
+def fresh_values(writes: DataFrame, key: str, time: str, as_of: str, *, ttl_minutes: int = 30) -> DataFrame:
+    """The last write of each key, where it is no older than ``ttl_minutes`` at ``as_of``; later writes and those without a time don't count.
+
+    Writes of equal times are told apart by their other columns, so that the result is defined.
+    """
+    at = F.lit(as_of).cast("timestamp")
+    known = writes.filter(F.col(key).isNotNull() & (F.col(time) <= at))
+    rest = [c for c in writes.columns if c != key]
+    last = known.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(time, *[c for c in rest if c != time])).alias("__w")).select(key, "__w.*")
+    return last.filter(F.col(time) >= at - F.expr(f"INTERVAL {ttl_minutes} MINUTES"))

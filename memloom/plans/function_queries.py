@@ -257,7 +257,7 @@ def fn_24(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", X.trim_chars("text", 80).alias("short"))
 
 
-@C.add("fn_25")
+@C.add("fn_25", "SELECT mem_id, CASE WHEN json_valid(meta) THEN trim(meta) END AS json FROM memories")
 def fn_25(spark: SparkSession, d: str) -> DataFrame:
     from memloom.operators.extraction import first_json_value
 

@@ -391,11 +391,35 @@ def xo_16(spark: SparkSession, d: str) -> DataFrame:
     return want.join(placed, "id", "left").agg(F.count("*").alias("expected"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
-@C.add("xo_18")
-def xo_18(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL")
-    files = docs.groupBy("path").agg(F.min_by("text", "doc_id").alias("content"))
-    spans = symbols(spark, d).select(F.xxhash64("file_id", "name", "line").alias("id"), "path", F.col("line").alias("line_start"), F.when(F.col("line_end") > F.col("line"), F.col("line_end")).alias("line_end"), F.col("name").alias("scope"))
+def _golden_rows() -> str:
+    """The golden sources and, by hand, their symbols as SQL rows."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    files = ", ".join(f"({q(p)}, {q(t)})" for p, t in golden_code.SOURCES.items())
+    spans = ", ".join(f"({q(p)}, {q(n)}, {a}, {b if b > a else a + 40})" for p, _, n, a, b, _ in golden_code.SYMBOLS)
+    return f"files(path, text) AS (VALUES {files}), spans(path, name, a, b) AS (VALUES {spans})"
+
+
+def span_chunks(files: DataFrame) -> DataFrame:
+    """(id, chunk) of the symbols of files (path, content)."""
+    found = outline.parse_sources(files, "path", "path", "content").filter("kind <> 'Import'")
+    line_end = F.when(F.col("line_end") > F.col("line"), F.col("line_end"))
+    spans = found.select(F.concat_ws("#", "path", "name", "line").alias("id"), "path", F.col("line").alias("line_start"), line_end.alias("line_end"), F.col("name").alias("scope"))
     return K.span_chunk(files, spans).select("id", "chunk")
 
 
+@C.add(
+    "xo_18",
+    f"""WITH {_golden_rows()}, b AS (SELECT path, name, a, '// ' || path || ' :: ' || name AS head, string_split(text, chr(10))[a:b] AS l FROM spans JOIN files USING (path)),
+r AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: length(head || chr(10) || array_to_string(l[1:i], chr(10))) <= 1500) AS ok FROM b)
+SELECT path || '#' || name || '#' || a AS id, CASE WHEN ok[1] THEN head || chr(10) || array_to_string(l[1:len(list_filter(ok, lambda x: x))], chr(10)) ELSE head END AS chunk FROM r""",
+)
+def xo_18(spark: SparkSession, d: str) -> DataFrame:
+    """The golden sources cut into the spans of their symbols."""
+    return span_chunks(spark.createDataFrame(list(golden_code.SOURCES.items()), "path string, content string"))
+
+
+@C.add("xo_18_documents")
+def xo_18_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One file per path of the documents cut into the spans of its symbols."""
+    docs = read(spark, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL")
+    return span_chunks(docs.groupBy("path").agg(F.min_by("text", "doc_id").alias("content")))

@@ -228,11 +228,23 @@ def st_4_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(
     "st_7",
+    """SELECT user_id, ts, event_id FROM (SELECT * FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY - INTERVAL 720 MINUTE""",
+)
+def st_7(spark: SparkSession, d: str) -> DataFrame:
+    """Hints of users that are still fresh a day before the end: their last event, no more than 12 hours old then."""
+    e = read(spark, d, "events").select("user_id", "ts", "event_id")
+    as_of = e.agg(F.date_format(F.max("ts") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first()["t"]
+    return T.fresh_values(e, "user_id", "ts", as_of, ttl_minutes=720)
+
+
+@C.add(
+    "st_7_sessions",
     """WITH b AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 12 HOUR, true)::int AS new FROM events),
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM b)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, s""",
 )
-def st_7(spark: SparkSession, d: str) -> DataFrame:
+def st_7_sessions(spark: SparkSession, d: str) -> DataFrame:
     return ST.session_windows(read(spark, d, "events"), gap="12 hours")
 
 
