@@ -134,9 +134,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, itera
     ``superseded`` neither get nor give anything.  Edges whose weight isn't
     positive don't count; without seeds the result is empty.
 
-    Ranks are carried as two parts, what came over edges and what went back to the
-    seeds, and added up at the end only, as a step is linear.  So a step is one
-    join and one aggregate; the sum that came over edges is all the driver sees.
+    A step is linear, so the ranks are a sum of what the seeds' own weights become after 0, 1, 2, .. steps
+    over edges alone.  Only these powers are computed, one join and one aggregate each;
+    how much of each counts follows from their sums, which is all the driver sees.
     """
     spark = edges.sparkSession
     damping, iterations = min(0.85, max(0.5, damping)), min(20, max(1, iterations))
@@ -149,25 +149,40 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, itera
     total = good.groupBy("src").agg(F.sum("w").alias("total"))
     arcs, arcs_path = materialize(good.join(total, "src").groupBy("src", "dst").agg(F.sum(F.col("w") / F.col("total")).alias("p")), "arcs")
     seed_sum = F.broadcast(start.agg(F.sum("weight").alias("s")))  # one row
-    p0, _ = materialize(start.groupBy("id").agg(F.sum("weight").alias("weight")).join(seed_sum).select("id", (F.col("weight") / F.col("s")).alias("p0")), "seeds")
-    ranks, path = p0.select("id", F.col("p0").alias("rank")), None
-    for _ in range(iterations):
-        moved = ranks.join(arcs, ranks["id"] == arcs["src"]).groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("rank") * F.col("p"))).alias("rank"))
-        moved, new_path = materialize(moved, "ranks")
-        # what isn't moved along an edge goes back to the seeds
-        rest = 1.0 - (moved.agg(F.sum("rank").alias("s")).first()["s"] or 0.0)
-        new = moved.unionByName(p0.select("id", (F.col("p0") * rest).alias("rank")))
-        settled = False
+    first = start.groupBy("id").agg(F.sum("weight").alias("weight")).join(seed_sum).select("id", (F.col("weight") / F.col("s")).alias("rank"), F.lit(0).alias("step"))
+    power, path = materialize(first, "powers")
+    schema, paths, shares = power.schema, [path], [1.0]
+    for i in range(1, iterations + 1):
+        moved = power.join(arcs, power["id"] == arcs["src"]).groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("rank") * F.col("p"))).alias("rank"))
+        power, path = materialize(moved.withColumn("step", F.lit(i)), "powers")
+        paths.append(path)
         if tolerance is not None:
-            change = new.unionByName(ranks.select("id", (-F.col("rank")).alias("rank"))).groupBy("id").agg(F.abs(F.sum("rank")).alias("c")).agg(F.sum("c").alias("c")).first()["c"]
-            settled = (change or 0.0) < tolerance
-        if path:
-            release(spark, path)
-        ranks, path = new, new_path
-        if settled:
-            break
+            powers = spark.read.schema(schema).parquet(*paths)
+            before, shares = shares, _shares(_sums(powers), i)
+            change = _weighted_sum(powers, [b - a for a, b in zip([*before, 0.0], shares)]).agg(F.sum(F.abs("rank")).alias("c")).first()["c"]
+            if (change or 0.0) < tolerance:
+                break
+    powers = spark.read.schema(schema).parquet(*paths)
     release(spark, arcs_path)
-    return ranks.groupBy("id").agg(F.sum("rank").alias("rank"))
+    return _weighted_sum(powers, _shares(_sums(powers), len(paths) - 1))
+
+
+def _sums(powers: DataFrame) -> dict[int, float]:
+    return {r["step"]: r["s"] for r in powers.groupBy("step").agg(F.sum("rank").alias("s")).collect()}  # a row a step
+
+
+def _shares(sums: dict[int, float], steps: int) -> list[float]:
+    """How much of each power the ranks after so many steps hold: all move on by one, and what got lost starts anew."""
+    shares = [1.0]
+    for _ in range(steps):
+        moved = sum(c * sums.get(j + 1, 0.0) for j, c in enumerate(shares))
+        shares = [1.0 - moved, *shares]
+    return shares
+
+
+def _weighted_sum(powers: DataFrame, shares: list[float]) -> DataFrame:
+    share = F.element_at(F.array(*map(F.lit, shares)), F.col("step") + 1)
+    return powers.groupBy("id").agg(F.sum(F.col("rank") * share).alias("rank"))
 
 
 def elbow_cut(hits: DataFrame, score: str = "score", order: tuple[str, ...] = ("id",)) -> DataFrame:
