@@ -25,6 +25,12 @@ def partitions_for(spark: SparkSession, n_rows: int, per_task: int = ROWS_PER_TA
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // per_task))
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer parts than that: for work that is slow against its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def running(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], *, totals: Mapping[str, Column] | None = None, before: Mapping[str, Column] | None = None, carried: Mapping[str, Column] | None = None
 ) -> DataFrame:

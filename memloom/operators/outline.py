@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.operators.ordering import spread_out
 from memloom.operators.parsers import CAP_BYTES, NOTEBOOK_CAP_BYTES, format_column, line_patterns
 
 INDENTED = frozenset({"python"})
@@ -222,7 +223,7 @@ def _each(files: DataFrame, id_col: str, path_col: str, text_col: str, schema: s
                 types = [batch.schema.field(0).type, *(pa.int64() if t.endswith(" long") else pa.string() for t in ("path string, lang string, " + schema).split(", "))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=["file_id", "path", "lang", *names])
 
-    return chosen.mapInArrow(parse, f"file_id {kind}, path string, lang string, {schema}")
+    return spread_out(chosen).mapInArrow(parse, f"file_id {kind}, path string, lang string, {schema}")
 
 
 def parse_sources(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:

@@ -67,15 +67,16 @@ def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, least: float, *
     Every pair is verified exactly; one at the limit is met with probability
     ``recall``, closer ones more surely.  Takes usable vectors of length ``dim``.
     """
-    rows, _ = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")), "vectors")
+    vec = F.col(vec_col).cast("array<float>")
+    rows, _ = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), V.dot(vec, vec).alias("sq")), "vectors")
     n = rows.count()
     bits, bands, most = _plan(n, least, recall)
     schema = "key long, id long, " + ", ".join(f"s{i} long" for i in range(_SKETCH))
-    hashed = lambda df: df.mapInArrow(_banded(bits, bands, dim, seed), schema)
+    hashed = lambda df: df.select("id", "vec").mapInArrow(_banded(bits, bands, dim, seed), schema)
     hot = split_hot_keys(hashed(rows), hashed(rows.filter(in_sample())))
     met, _ = materialize(colliding_pairs(hot, [(_SKETCH, most)], partitions=partitions_for(rows.sparkSession, n * bands)), "met")
-    a, b = (rows.select(F.col("id").alias(x), F.col("vec").alias(f"v{x}")) for x in "ab")
-    scored = met.join(a, "a").join(b, "b").select("a", "b", V.cosine("va", "vb").alias("cos"))
+    a, b = (rows.select(F.col("id").alias(x), F.col("vec").alias(f"v{x}"), F.col("sq").alias(f"sq{x}")) for x in "ab")
+    scored = met.join(a, "a").join(b, "b").select("a", "b", (V.dot("va", "vb") / F.sqrt(F.col("sqa") * F.col("sqb"))).alias("cos"))
     return scored.filter(F.col("cos") >= least)
 
 

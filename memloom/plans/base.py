@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from memloom.functions import vectors as V
 from memloom.functions.keys import NO_VALUE_WORDS, WHITE_SPACE
+from memloom.operators.vectors import usable
 from memloom.session import materialize
 from memloom.sources import tables
 
@@ -62,6 +65,23 @@ def graph_edges(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None
     return prepared(spark, sf_dir, "edges", lambda: tables.graph_edges(spark, sf_dir, graph_nodes(spark, sf_dir)))
 
 
+def live_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live memories."""
+    return prepared(spark, sf_dir, "live", lambda: tables.live(read(spark, sf_dir, "memories")))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the store that can be searched, with their lengths, masks and quantised forms."""
+
+    def build() -> DataFrame:
+        q8 = V.int8_quantize("embedding")["q"]
+        found = live_memories(spark, sf_dir).filter(usable("embedding"))
+        found = found.select("mem_id", "embedding", "project_id", F.sqrt(V.dot("embedding", "embedding")).alias("norm"), V.sign_mask("embedding").alias("mask"), q8.alias("q8"))
+        return found.withColumn("q8_norm", F.sqrt(V.dot("q8", "q8")))
+
+    return prepared(spark, sf_dir, "vectors", build)
+
+
 WS = "'" + WHITE_SPACE + "'"
 
 

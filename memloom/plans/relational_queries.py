@@ -17,7 +17,7 @@ from memloom.operators import replica as P
 from memloom.operators import sessions as T
 from memloom.operators.similarity import best_neighbour, similar_pairs
 from memloom.operators.vectors import usable
-from memloom.plans.base import SQL_GRAPH, SQL_USABLE, WS, Catalog, read, sql_cos, sql_trim, sql_unit, sql_value, graph_edges, graph_nodes
+from memloom.plans.base import SQL_GRAPH, SQL_USABLE, WS, Catalog, graph_edges, graph_nodes, read, sql_cos, sql_trim, sql_unit, sql_value, vectors
 from memloom.plans.function_queries import document_chunks, _CHUNKS
 from memloom.sources.tables import cleaned, live
 
@@ -198,8 +198,7 @@ pairs AS (SELECT a.id AS a, b.id AS b, {sql_cos('a.embedding', 'b.embedding')} A
 
 
 def close_memories(spark: SparkSession, d: str) -> DataFrame:
-    v = live(_memories(spark, d)).filter(usable("embedding")).select("mem_id", "embedding")
-    return similar_pairs(v, "mem_id", "embedding", 0.75)
+    return similar_pairs(vectors(spark, d).select("mem_id", "embedding"), "mem_id", "embedding", 0.75)
 
 
 @C.add("jn_10", f"WITH {_PAIRS} SELECT a, b, round(cos, 5) AS cos FROM pairs")

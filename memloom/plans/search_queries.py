@@ -12,7 +12,7 @@ from memloom.operators import graph as G
 from memloom.operators import joins as J
 from memloom.operators import search as R
 from memloom.operators.vectors import usable
-from memloom.plans.base import AS_OF, SQL_GRAPH, SQL_USABLE, Catalog, prepared, read, sql_cos, sql_unit, graph_edges, graph_nodes
+from memloom.plans.base import AS_OF, SQL_GRAPH, SQL_USABLE, Catalog, live_memories, prepared, read, vectors, sql_cos, sql_unit, graph_edges, graph_nodes
 from memloom.sources.tables import live
 
 C = Catalog()
@@ -21,20 +21,7 @@ QUERY = "ledger stale"
 PROJECT = "prj_hub"
 
 
-def _live(spark: SparkSession, d: str) -> DataFrame:
-    """Live memories, the text columns of the store."""
-    return prepared(spark, d, "live", lambda: live(read(spark, d, "memories")))
-
-
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors of the store that can be searched, with their lengths and masks."""
-
-    def build() -> DataFrame:
-        q8 = V.int8_quantize("embedding")["q"]
-        v = _live(spark, d).filter(usable("embedding")).select("mem_id", "embedding", "project_id", F.sqrt(V.dot("embedding", "embedding")).alias("norm"), V.sign_mask("embedding").alias("mask"), q8.alias("q8"))
-        return v.withColumn("q8_norm", F.sqrt(V.dot("q8", "q8")))
-
-    return prepared(spark, d, "vectors", build)
+_live, _vectors = live_memories, vectors
 
 
 def _query_vector(spark: SparkSession, d: str, mask: bool = False) -> DataFrame:
