@@ -38,8 +38,9 @@ _NAME = rf"{_C}[{_C[1:-1]}'’-]+"
 _INITIAL = rf"{_C}\."
 # Small words between given and family names.
 _PARTICLE = r"(?:(?:van|von)(?:[ ](?:der|den|dem))?|de(?:[ ](?:la|los|las))?|del|della|di|da|dos|du|bin|ibn|ter|ten)"
+_PARTICLES = frozenset("van von der den dem de la los las del della di da dos du bin ibn ter ten".split())
 _NAME_SHAPES = (
-    rf"(?P<g5>{_NAME})(?:[ ](?:{_INITIAL}|{_NAME})){{0,3}}?[ ]{_PARTICLE}[ ](?P<f5>{_UP}[{_C[1:-1]}'’-]+)"
+    rf"(?P<g5>{_NAME})(?:[ ](?-i:{_UP}\.|{_UP}[{_C[1:-1]}'’-]+)){{0,2}}?[ ]{_PARTICLE}[ ](?P<f5>(?-i:{_UP}[{_C[1:-1]}'’-]+))"
     rf"|(?P<f1>{_NAME}),[ ](?P<g1>{_NAME}(?:[ ]{_INITIAL})?)"
     rf"|(?P<g2>{_NAME})(?:[ ]{_INITIAL}){{0,2}}[ ](?P<f2>{_NAME})"
     rf"|(?P<g3>{_INITIAL}(?:[ ]?{_INITIAL})?)[ ]?(?P<f3>{_NAME})"
@@ -205,7 +206,7 @@ _CAPITALS = re.compile(
     rf"(?<![\w.@/'’-])(?P<given>{_UPNAME})(?:(?:[ ](?:{_UP}\.|{_UPNAME})){{0,3}}?[ ]{_PARTICLE}|(?:[ ]{_UP}\.){{0,2}})[ ](?P<family>{_UPNAME})(?![\w@])"
 )
 _ROLE, _LEAD, _THING = (re.compile(x) for x in (_ROLES, _LEADS, _THINGS))
-_TITLED = re.compile(r"(?:^|[^\w])(?:dr|prof|mr|mrs|ms|herrn?|frau|hr|fr|sir|г-н|г-жа|господин|госпожа)\.?[ ]$")
+_TITLED = re.compile(r"(?:^|[^\w])(?<!\d[ ])(?:dr|prof|mr|mrs|ms|herrn?|frau|hr|fr|sir|г-н|г-жа|господин|госпожа)\.?[ ]$")
 _NAMED = re.compile(rf"{_TITLE}(?:{_NAME_SHAPES})(?![\w@])", re.I)
 _AFTER = re.compile(_PERSON_AFTER, re.I)
 _SHAPE = re.compile(rf"(?:{_NAME_SHAPES})(?![\w@])")
@@ -277,6 +278,8 @@ def _person(text: str, m: re.Match, trust: float, lexicon: Lexicon) -> tuple[int
     given, family = sorted(parts, key=lambda x: x[0] == "f")
     a, b = min(map(m.start, parts)), max(map(m.end, parts))
     given, family = m[given], m[family]
+    if m["g5"] and (words := text[a:b].split(" "))[1].lower() not in _PARTICLES and not _NOT_NAMES.isdisjoint(x.lower() for x in words[2:] if x.lower() not in _PARTICLES):
+        family, b = words[1], a + len(words[0]) + 1 + len(words[1])  # the name ends before other words
     g, f = given.split(" ")[0].lower(), family.lower()
     if f in _NOT_NAMES or g in _NOT_NAMES:
         return a, b, "person", 0.0
@@ -345,7 +348,8 @@ def _cued(text: str, lower: str, lexicon: Lexicon) -> Iterator[tuple[int, int, s
             if kind == "email":
                 yield from _mailboxes(text, a, b)
             elif kind == "person":
-                if begins and (m := _NAMED.match(text, b)):
+                unit = lower[b - 2 : b] == ". " and a > 1 and lower[a - 2].isdigit()  # milliseconds, no title
+                if begins and not unit and (m := _NAMED.match(text, b)):
                     yield _person(text, m, _PERSON_CUES[lower[a:b]], lexicon)
             elif kind == "family":
                 apart = begins and lower[a - 1 : a] not in ("@", "+", ".", "/", ":") and not (b < len(lower) and (lower[b].isalnum() or lower[b] in "_@+-/:"))

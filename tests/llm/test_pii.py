@@ -30,6 +30,13 @@ def test_mentions(text, want):
     assert kinds(text) == want
 
 
+def test_spans_end_with_the_name():
+    assert kinds("bitte kesrin quarndon Innerhalb von reject") == [("kesrin quarndon", "person")]
+    assert kinds("bitte Kesrin Quarndon Innerhalb von Anfang") == [("Kesrin Quarndon", "person")]
+    assert kinds("ab 404 ms. Amber Relay restarts; Ms. Amber Relay restarts") == [("Amber Relay", "person")]
+    assert [text for text, _ in kinds("danke, Kesrin van der Quarndon Berg")] == ["Kesrin van der Quarndon"]
+
+
 def test_validators():
     assert luhn_ok("4111111111111111") and not luhn_ok("4111111111111112")
     assert mod97_ok("DE89370400440532013000") and not mod97_ok("DE89370400440532013001")
