@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.operators.containment import names_within
 from memloom.operators.ordering import running
+from memloom.session import materialize
 
 # Labels that are no entities.
 JUNK_LABELS = (
@@ -41,32 +43,24 @@ def valid_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return r.join(labels.withColumnRenamed("label", "source"), ["doc", "source"], "left_semi").join(labels.withColumnRenamed("label", "target"), ["doc", "target"], "left_semi")
 
 
-#: Characters of a label by which it meets the texts that could contain it.
-_ANCHOR = 8
-
-
 def infer_relations(entities: DataFrame) -> DataFrame:
     """(doc, source, target, label, context): from each description the first pattern in it, towards every other entity of the document that it contains.
 
     A label is contained wherever it stands in the small-lettered description, within
-    words too, however long it is.  Labels meet descriptions by equality of their first characters with
-    the runs of as many characters in the text, and what meets is verified, so a
-    document isn't paired with itself.  Null and empty labels and descriptions give nothing.
+    words too, however long it is.  Descriptions are searched where they lie for the labels of their document
+    (see :func:`names_within`); only what was found is shuffled, once a task and
+    relation, so a document isn't paired with itself.  Null and empty labels and descriptions give nothing.
     """
     text = F.lower("description")
     relation = F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(r)) for w, r in RELATION_WORDS])
     spoken = entities.select("doc", F.col("label").alias("source"), "description", relation.alias("label")).filter("source IS NOT NULL AND label IS NOT NULL")
-    others = entities.filter("label <> ''").select("doc", F.col("label").alias("target"), F.lower("label").alias("name")).distinct()
-    others = others.withColumn("anchor", F.substring("name", 1, _ANCHOR))
-    # labels shorter than an anchor are few lengths: 1 to 7 at most
-    short = [r["n"] for r in others.select(F.char_length("anchor").alias("n")).distinct().collect()]
-    starts = lambda t, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(t) - (n - 1))), lambda i: F.substring(t, i, F.lit(n)))
-    runs = F.flatten(F.transform(F.array(text), lambda t: F.concat(*[starts(t, n) for n in short]))) if short else F.array().cast("array<string>")
-    met = spoken.withColumn("anchor", F.explode(F.array_distinct(runs))).join(others, ["doc", "anchor"])
-    out = met.filter((F.col("source") != F.col("target")) & F.contains(text, F.col("name")))
+    others, _ = materialize(entities.filter("label <> ''").select("doc", F.col("label").alias("target"), F.lower("label").alias("name")).distinct(), "labels")
+    within = names_within(others, "name", "doc")
+    context = F.concat(F.lit("inferred: "), F.substring("description", 1, 200))
+    met = spoken.select("doc", "source", "label", context.alias("context"), F.explode(within(text, "doc")).alias("name"))
     # of the descriptions that speak of a relation the smallest text counts
-    context = F.min(F.concat(F.lit("inferred: "), F.substring("description", 1, 200))).alias("context")
-    return out.groupBy("doc", "source", "target", "label").agg(context)
+    out = met.groupBy("doc", "source", "label", "name").agg(F.min("context").alias("context")).join(others, ["doc", "name"])
+    return out.filter("source <> target").select("doc", "source", "target", "label", "context")
 
 
 def merged_entities(entities: DataFrame, most: int = 1000) -> DataFrame:
